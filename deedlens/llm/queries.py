@@ -4,16 +4,19 @@ from __future__ import annotations
 
 from .bpe import op9_byte_bpe
 from .html_main import op1_html_extraction
+from .merkle import OP6_SQL, op6_document_fingerprints
 from .ogg import op7_media_columns
 from .url_rules import OP4_SQL, op4_url_filter
 
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op4_url_filter": op4_url_filter,
+    "op6_document_fingerprints": op6_document_fingerprints,
     "op7_media_columns": op7_media_columns,
     "op9_byte_bpe": op9_byte_bpe,
 }
 
 SQL = {
     "op4_url_filter": OP4_SQL,
+    "op6_document_fingerprints": OP6_SQL,
 }
