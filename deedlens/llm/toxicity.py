@@ -108,8 +108,11 @@ class Subwords:
         return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
 
-def train(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int = 10, batch: int = 64, rate: float = 0.5, scale: float = 60.0, toxic_weight: float = 2.0, decay: float = 0.0, seed: int = 1) -> Subwords:
-    """Embeddings and softmax layer by Adagrad on mini-batches."""
+def train(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, steps: int = 1600, batch: int = 64, rate: float = 0.5, scale: float = 60.0, toxic_weight: float = 3.0, dropout: float = 0.6, seed: int = 1) -> Subwords:
+    """Embeddings and softmax layer by Adagrad on about ``steps`` mini-batches.
+
+    N-grams drop out at random, so that no document is learned by its rare ones.
+    """
     if not len(y) or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.0
         return Subwords(np.zeros(BUCKETS, np.float32), float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
@@ -126,6 +129,7 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int
     sizes = np.array([len(k) for k, _ in bags])
     cost = np.where(y == 1, toxic_weight, 1.0)
     usable = np.flatnonzero(sizes)
+    epochs = max(1, -(-steps * batch // max(1, len(usable))))
     for epoch in range(epochs):
         order = random.permutation(usable)
         step = rate * (1 - epoch / epochs)
@@ -134,6 +138,7 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int
             ids = np.concatenate([bags[i][0] for i in rows])
             weight = np.concatenate([bags[i][1] for i in rows])
             starts = np.concatenate([[0], np.cumsum(sizes[rows])[:-1]])
+            weight = weight * ((random.random(len(weight)) >= dropout) / np.float32(1 - dropout)).astype(np.float32)
             doc = scale * np.add.reduceat(e[ids] * weight[:, None], starts, axis=0)
             logits = doc @ w + b
             logits -= logits.max(1, keepdims=True)
@@ -146,7 +151,6 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int
             owner = np.repeat(np.arange(len(rows)), sizes[rows])
             touched, inverse = np.unique(ids, return_inverse=True)
             ge = np.stack([np.bincount(inverse, gd[owner, k] * weight, len(touched)) for k in range(DIM)], 1)
-            ge += decay * e[touched]
             se[touched] += (ge**2).mean(1)
             e[touched] -= (step * ge / np.sqrt(se[touched])[:, None]).astype(np.float32)
             sw += gw**2
