@@ -6,6 +6,7 @@ from .bpe import op9_byte_bpe
 from .html_main import op1_html_extraction
 from .merkle import OP6_SQL, op6_document_fingerprints
 from .ogg import op7_media_columns
+from .packing import op5_best_fit_packing
 from .quality import op8_quality_classifier
 from .toxicity import op3_toxicity
 from .url_rules import OP4_SQL, op4_url_filter
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op3_toxicity": op3_toxicity,
     "op4_url_filter": op4_url_filter,
+    "op5_best_fit_packing": op5_best_fit_packing,
     "op6_document_fingerprints": op6_document_fingerprints,
     "op7_media_columns": op7_media_columns,
     "op8_quality_classifier": op8_quality_classifier,
