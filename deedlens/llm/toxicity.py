@@ -4,8 +4,7 @@ A word is the mean of the embeddings of its character n-grams (and of itself),
 hashed into buckets; a document is the mean of its words, repeats counting by
 their logarithm; two outputs follow from a linear layer.  Embeddings and layer are trained jointly in numpy, so a
 misspelling never seen shares the n-gram vectors of what was.  Training takes a
-bounded sample of labelled documents, whole texts each; their bags are built on
-the executors.  As the model is linear, scoring adds up one number per word.
+bounded sample of labelled documents, whole texts each.  As the model is linear, scoring adds up one number per word.
 
 Edge cases: a null text is empty, and an empty text scores by the bias alone;
 documents with several labels count once for each; labels other than 0 and 1
@@ -17,6 +16,7 @@ columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import Counter
 from dataclasses import dataclass
 
@@ -33,7 +33,7 @@ FIT_DOCUMENTS = 8_000
 #: Characters that they have together at most (whole documents are left out beyond it).
 FIT_CHARS = 32_000_000
 BUCKETS = 1 << 18
-DIM = 8
+DIM = 4
 SHORTEST, LONGEST = 3, 6
 #: Blank words that every average includes: they steady the shortest texts.
 BLANKS = 8.0
@@ -41,7 +41,6 @@ BLANKS = 8.0
 LEAST_DOCUMENTS = 3
 #: Words in a worker's cache.
 CACHE_WORDS = 500_000
-_UNIT = np.float32(4096)  # weights travel as half floats of this unit
 _EDGE = ".,;:!?\"'()[]{}*#%$&|-_<>"
 
 
@@ -63,20 +62,46 @@ def shares(counts) -> np.ndarray:
     return share / (share.sum() + BLANKS)
 
 
-def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """A text's buckets and their weights in the average; with the blanks' they add up to 1."""
-    seen: dict[str, int] = {}
-    for w in words_of(text):
-        w = w.strip(_EDGE)
-        seen[w] = seen.get(w, 0) + 1
-    if not seen:
-        return np.zeros(0, np.int32), np.zeros(0, np.float32)
-    ids = [buckets(w) for w in seen]
-    sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-    share = shares(seen.values())
-    used, inverse = np.unique(np.concatenate([np.array(x, np.int64) for x in ids]), return_inverse=True)
-    total = np.bincount(inverse, np.repeat(share / sizes, sizes), len(used))
-    return used.astype(np.int32), total.astype(np.float32)
+@dataclass
+class Corpus:
+    """Training documents: distinct words with their shares, and the words' buckets."""
+
+    words: list[np.ndarray]
+    shares: list[np.ndarray]
+    first: np.ndarray
+    grams: np.ndarray  # numbers of learned buckets
+    sizes: np.ndarray
+    learned: np.ndarray  # buckets that enough documents hold
+
+    @classmethod
+    def of(cls, texts: list[str]) -> Corpus:
+        ids: dict[str, int] = {}
+        words, weights = [], []
+        for text in texts:
+            seen = Counter(w.strip(_EDGE) for w in words_of(text))
+            words.append(np.fromiter((ids.setdefault(w, len(ids)) for w in seen), np.int32, len(seen)))
+            weights.append(shares(seen.values()).astype(np.float32))
+        flat, sizes = array("i"), np.zeros(len(ids), np.int64)
+        for i, w in enumerate(ids):
+            found = buckets(w)
+            flat.extend(found)
+            sizes[i] = len(found)
+        grams = np.frombuffer(flat, np.int32) if len(flat) else np.zeros(0, np.int32)
+        frequency = np.zeros(BUCKETS, np.int64)
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        ends = np.cumsum(sizes)
+        for w in words:
+            frequency[np.unique(grams[_flat(ends[w] - sizes[w], sizes[w])])] += 1
+        kept = frequency[grams] >= LEAST_DOCUMENTS
+        count = np.bincount(owner[kept], minlength=len(sizes))
+        learned = np.flatnonzero(frequency >= LEAST_DOCUMENTS)
+        return cls(words, weights, np.concatenate([[0], np.cumsum(count)]), np.searchsorted(learned, grams[kept]), np.maximum(sizes, 1), learned)
+
+
+def _flat(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The positions of all ranges [start, start + size), one after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
 @dataclass
@@ -108,7 +133,7 @@ class Subwords:
         return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
 
-def train(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, steps: int = 1600, batch: int = 64, rate: float = 0.5, scale: float = 60.0, toxic_weight: float = 3.0, dropout: float = 0.6, seed: int = 1) -> Subwords:
+def train(texts: list[str], y: np.ndarray, steps: int = 1200, batch: int = 64, rate: float = 0.5, scale: float = 60.0, toxic_weight: float = 3.0, dropout: float = 0.6, seed: int = 1) -> Subwords:
     """Embeddings and softmax layer by Adagrad on about ``steps`` mini-batches.
 
     N-grams drop out at random, so that no document is learned by its rare ones.
@@ -116,48 +141,46 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, steps: int =
     if not len(y) or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.0
         return Subwords(np.zeros(BUCKETS, np.float32), float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
+    c = Corpus.of(texts)
     random = np.random.default_rng(seed)
-    e = np.zeros((BUCKETS, DIM), np.float32)  # an n-gram that is not learned says nothing
-    w = random.normal(0, 0.5, (DIM, 2)).astype(np.float32)
-    b = np.zeros(2, np.float32)
-    se, sw, sb = np.full(BUCKETS, 1e-4, np.float32), np.full(w.shape, 1e-4, np.float32), np.full(2, 1e-4, np.float32)
-    frequency = np.zeros(BUCKETS, np.int64)
-    for k, _ in bags:
-        frequency[k] += 1  # a bag holds a bucket once
-    known = [frequency[k] >= LEAST_DOCUMENTS for k, _ in bags]
-    bags = [(k[m], v[m].astype(np.float32) / _UNIT) for (k, v), m in zip(bags, known)]
-    sizes = np.array([len(k) for k, _ in bags])
+    e = np.zeros((len(c.learned), DIM))  # an n-gram that is not learned says nothing
+    w, b = random.normal(0, 0.5, (DIM, 2)), np.zeros(2)
+    se, sw, sb = np.full(len(e), 1e-4), np.full(w.shape, 1e-4), np.full(2, 1e-4)
     cost = np.where(y == 1, toxic_weight, 1.0)
-    usable = np.flatnonzero(sizes)
+    usable = np.flatnonzero([len(x) for x in c.words])
     epochs = max(1, -(-steps * batch // max(1, len(usable))))
+    summed = lambda at, values, n: np.stack([np.bincount(at, values[:, k], n) for k in range(values.shape[1])], 1)
     for epoch in range(epochs):
         order = random.permutation(usable)
         step = rate * (1 - epoch / epochs)
         for lo in range(0, len(order), batch):
             rows = order[lo : lo + batch]
-            ids = np.concatenate([bags[i][0] for i in rows])
-            weight = np.concatenate([bags[i][1] for i in rows])
-            starts = np.concatenate([[0], np.cumsum(sizes[rows])[:-1]])
-            weight = weight * ((random.random(len(weight)) >= dropout) / np.float32(1 - dropout)).astype(np.float32)
-            doc = scale * np.add.reduceat(e[ids] * weight[:, None], starts, axis=0)
+            word, at = np.unique(np.concatenate([c.words[i] for i in rows]), return_inverse=True)
+            share = np.concatenate([c.shares[i] for i in rows])
+            doc_of = np.repeat(np.arange(len(rows)), [len(c.words[i]) for i in rows])
+            n = c.first[word + 1] - c.first[word]
+            gram = c.grams[_flat(c.first[word], n)]
+            word_of = np.repeat(np.arange(len(word)), n)
+            part = (random.random(len(gram)) >= dropout) / (1 - dropout) / c.sizes[word][word_of]
+            vectors = summed(word_of, e[gram] * part[:, None], len(word))
+            doc = scale * summed(doc_of, vectors[at] * share[:, None], len(rows))
             logits = doc @ w + b
-            logits -= logits.max(1, keepdims=True)
-            p = np.exp(logits)
+            p = np.exp(logits - logits.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             p[np.arange(len(rows)), y[rows]] -= 1
             p *= cost[rows][:, None] / len(rows)
             gw, gb = doc.T @ p, p.sum(0)
-            gd = scale * (p @ w.T)
-            owner = np.repeat(np.arange(len(rows)), sizes[rows])
-            touched, inverse = np.unique(ids, return_inverse=True)
-            ge = np.stack([np.bincount(inverse, gd[owner, k] * weight, len(touched)) for k in range(DIM)], 1)
-            se[touched] += (ge**2).mean(1)
-            e[touched] -= (step * ge / np.sqrt(se[touched])[:, None]).astype(np.float32)
+            by_word = summed(at, (scale * (p @ w.T))[doc_of] * share[:, None], len(word))
+            ge = summed(gram, by_word[word_of] * part[:, None], len(e))
+            se += (ge**2).mean(1)
+            e -= step * ge / np.sqrt(se)[:, None]
             sw += gw**2
             w -= step * gw / np.sqrt(sw)
             sb += gb**2
             b -= step * gb / np.sqrt(sb)
-    return Subwords(scale * (e @ (w[:, 1] - w[:, 0])), float(b[1] - b[0]))
+    bucket = np.zeros(BUCKETS, np.float32)
+    bucket[c.learned] = scale * (e @ (w[:, 1] - w[:, 0]))
+    return Subwords(bucket, float(b[1] - b[0]))
 
 
 def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 5, held: int = 0, limit: int = FIT_DOCUMENTS) -> Subwords:
@@ -172,23 +195,10 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
             room -= 0 if k in marks else n
             marks.setdefault(k, []).append(y)
 
-    def run(batches):
-        for b in batches:
-            found = [bag(x) for x in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array([k.tobytes() for k, _ in found], pa.binary()), pa.array([(v * _UNIT).astype(np.float16).tobytes() for _, v in found], pa.binary())],
-                ["k", "ids", "weights"],
-            )
-
-    kind = dict(docs.dtypes)["doc_id"]
     got = docs.where(F.col("doc_id").isin(list(marks))).dropDuplicates(["doc_id"]) if marks else docs.limit(0)
-    got = got.mapInArrow(run, f"k {kind}, ids binary, weights binary").toPandas().sort_values("k", kind="stable")
-    bags, y = [], []
-    for k, ids, weights in zip(got["k"], got["ids"], got["weights"]):
-        for label in marks[k]:
-            bags.append((np.frombuffer(ids, np.int32), np.frombuffer(weights, np.float16)))
-            y.append(label)
-    return train(bags, np.array(y, np.int64))
+    got = got.toPandas().sort_values("doc_id", kind="stable")  # at most FIT_CHARS characters
+    pairs = [(text, label) for k, text in zip(got["doc_id"], got["text"]) for label in marks[k]]
+    return train([t for t, _ in pairs], np.array([v for _, v in pairs], np.int64))
 
 
 _CACHES: dict[tuple, dict[str, float]] = {}
