@@ -23,12 +23,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import full_text, table
+from .common import full_text, table, text_blocks
 
 #: Pieces of text in each of a worker's two cache generations.
 CACHE_PIECES = 300_000
-#: Characters of text encoded together.
-BLOCK_CHARS = 8_000_000
+#: Bytes of text encoded together.
+BLOCK_BYTES = 8_000_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -184,18 +184,6 @@ def codec(path: str, pattern: str) -> Replay:
     return _LOADED[path, pattern]
 
 
-def blocks(texts: list[str], most: int = BLOCK_CHARS):
-    """Ranges of texts of about ``most`` characters together."""
-    start, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= most:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def encode_documents(df: DataFrame, vocabulary: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """Encodes and decodes every text: doc_id, n_tokens, ids_sha256, decoded_sha256.
 
@@ -210,9 +198,8 @@ def encode_documents(df: DataFrame, vocabulary: str | None = None, pattern: str
 
         bpe = codec(vocabulary or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), pattern or public_tokenizers.PATTERN)
         for b in batches:
-            texts = b.column("text").to_pylist()
-            for lo, hi in blocks(texts):
-                ids = bpe.encode_block(texts[lo:hi])
+            for lo, hi, texts in text_blocks(b, "text", BLOCK_BYTES):
+                ids = bpe.encode_block(texts)
                 columns = [
                     b.column("doc_id").slice(lo, hi - lo),
                     pa.array([len(x) // 4 for x in ids], pa.int64()),

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,9 +65,19 @@ def full_text(col: str = "text"):
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
-def strings(batch: pa.RecordBatch, name: str) -> list[str]:
-    """A string column as Python strings, null as empty."""
-    return [x or "" for x in batch.column(name).to_pylist()]
+def text_blocks(batch: pa.RecordBatch, name: str, most: int):
+    """(from, to, texts) of row ranges of about ``most`` bytes together.
+
+    Only one range's Python strings exist at a time.
+    """
+    column = batch.column(name)
+    sizes = pc.binary_length(column).to_pylist()
+    start, size = 0, 0
+    for i, n in enumerate(sizes):
+        size += n or 0
+        if size >= most or i + 1 == len(sizes):
+            yield start, i + 1, [x or "" for x in column.slice(start, i + 1 - start).to_pylist()]
+            start, size = i + 1, 0
 
 
 def single_thread() -> None:

@@ -29,18 +29,20 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import full_text, single_thread, stored, table
+from .common import full_text, single_thread, stored, table, text_blocks
 
 SEQUENCE = 2048
 END_ID = 0
 ROUNDS = 300
 #: Pieces of a length class that are ranked together, and groups of a class at most.
 RANK_GROUP, MOST_GROUPS = 400, 4096
-CACHE_CHUNKS = 300_000
-BLOCK_CHARS = 8_000_000
+CACHE_CHUNKS = 250_000
+BLOCK_BYTES = 2_000_000
 
 # White space and cases on which Python and the tokenizer's own rules differ.
-_ODD = regex.compile("[\x1c-\x1fΣ]")
+_ODD = regex.compile(r"[\x1c-\x1fΣ]|<\|")
+#: A special token between chunks that are encoded together; texts with its first signs go another way.
+_BETWEEN, _JOINED = "<|endoftext|>", 500
 
 
 class ChunkTokenizer:
@@ -54,7 +56,8 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = True
+        self.between = self.tokenizer.token_to_id(_BETWEEN)
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -79,10 +82,23 @@ class ChunkTokenizer:
                 new.append(c)
             else:
                 cache[c] = known
-        for lo in range(0, len(new), 20_000):
-            part = new[lo : lo + 20_000]
-            for c, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                cache[c] = np.array(e.ids, "<u4").tobytes()
+        ended = []  # a word with one sign at its end is the word's ids and the sign's
+        for i, c in enumerate(new):
+            if c[-1] in ".," and c[:-1].isalpha():
+                ended.append(c)
+                new[i] = c[:-1]
+        if ended:
+            new = list({c for c in (*new, ".", ",") if c not in cache})
+        self.tokenizer.encode_special_tokens = False
+        for lo in range(0, len(new), _JOINED):
+            part = new[lo : lo + _JOINED]
+            ids = np.array(self.tokenizer.encode_batch_fast([_BETWEEN.join(part)], add_special_tokens=False)[0].ids, "<u4")
+            raw, ends = ids.tobytes(), (np.flatnonzero(ids == self.between) * 4).tolist()
+            for c, a, b in zip(part, [0, *[x + 4 for x in ends]], [*ends, len(raw)]):
+                cache[c] = raw[a:b]
+        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        for c in ended:
+            cache[c] = cache[c[:-1]] + cache[c[-1]]
         get = cache.__getitem__
         return [
             b"".join(map(get, chunks)) if chunks is not None else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
@@ -109,14 +125,11 @@ def cut_pieces(df: DataFrame, path: str | None = None, size: int = SEQUENCE, id_
     def run(batches):
         import public_tokenizers
 
-        from .bpe import blocks
-
         tok = tokenizer(path or public_tokenizers.path("word_bpe_49k.json"))
         for b in batches:
-            texts = b.column("text").to_pylist()
-            for lo, hi in blocks(texts, BLOCK_CHARS):
+            for lo, _, texts in text_blocks(b, "text", BLOCK_BYTES):
                 owner, piece, start, length, crc, kept = [], [], [], [], [], []
-                for i, ids in enumerate(tok.encode(texts[lo:hi])):
+                for i, ids in enumerate(tok.encode(texts)):
                     ids += end
                     for k, at in enumerate(range(0, len(ids), 4 * size)):
                         part = ids[at : at + 4 * size]
