@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op9_byte_bpe
 from .html_main import op1_html_extraction
 from .merkle import OP6_SQL, op6_document_fingerprints
+from .minhash import op10_minhash_near_dedup
 from .ogg import op7_media_columns
 from .packing import op5_best_fit_packing
 from .quality import op8_quality_classifier
@@ -20,6 +21,7 @@ QUERIES = {
     "op7_media_columns": op7_media_columns,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
 SQL = {
