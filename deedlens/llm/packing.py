@@ -19,13 +19,13 @@ table gives no rows.
 from __future__ import annotations
 
 import bisect
+import re
 import unicodedata
 import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,9 +40,9 @@ CACHE_CHUNKS = 250_000
 BLOCK_BYTES = 2_000_000
 
 # White space and cases on which Python and the tokenizer's own rules differ.
-_ODD = regex.compile(r"[\x1c-\x1fΣ]|<\|")
-#: A special token between chunks that are encoded together; texts with its first signs go another way.
-_BETWEEN, _JOINED = "<|endoftext|>", 500
+# The sign stands between chunks that are encoded together; it must be one token.
+_SIGN, _JOINED = "\u00d7", 500
+_ODD = re.compile(f"[\x1c-\x1fΣ{_SIGN}]")
 
 
 class ChunkTokenizer:
@@ -56,8 +56,11 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.between = self.tokenizer.token_to_id(_BETWEEN)
+        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        sign = self.tokenizer.encode(_SIGN, add_special_tokens=False).ids
+        if len(sign) != 1:
+            raise ValueError("the separating sign is not one token of this vocabulary")
+        self.sign = sign[0]
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -89,14 +92,12 @@ class ChunkTokenizer:
                 new[i] = c[:-1]
         if ended:
             new = list({c for c in (*new, ".", ",") if c not in cache})
-        self.tokenizer.encode_special_tokens = False
         for lo in range(0, len(new), _JOINED):
             part = new[lo : lo + _JOINED]
-            ids = np.array(self.tokenizer.encode_batch_fast([_BETWEEN.join(part)], add_special_tokens=False)[0].ids, "<u4")
-            raw, ends = ids.tobytes(), (np.flatnonzero(ids == self.between) * 4).tolist()
+            ids = np.array(self.tokenizer.encode_batch_fast([f"\n{_SIGN}\n".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            raw, ends = ids.tobytes(), (np.flatnonzero(ids == self.sign) * 4).tolist()
             for c, a, b in zip(part, [0, *[x + 4 for x in ends]], [*ends, len(raw)]):
                 cache[c] = raw[a:b]
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         for c in ended:
             cache[c] = cache[c[:-1]] + cache[c[-1]]
         get = cache.__getitem__
