@@ -9,11 +9,13 @@ from .minhash import op10_minhash_near_dedup
 from .ogg import op7_media_columns
 from .packing import op5_best_fit_packing
 from .quality import op8_quality_classifier
+from .suffix_dedup import op2_suffix_dedup
 from .toxicity import op3_toxicity
 from .url_rules import OP4_SQL, op4_url_filter
 
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_toxicity": op3_toxicity,
     "op4_url_filter": op4_url_filter,
     "op5_best_fit_packing": op5_best_fit_packing,
