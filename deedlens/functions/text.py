@@ -23,7 +23,7 @@ CLEAN_RULES = (
     (r"(?U)\bARLS\b", "NMLS"),
     (r"\$\s+", r"\$"),
     (r"(\d)\s+(\d)", "$1$2"),
-    (r"(\d{1,2})\s*/\s*(\d{1,2})\s*/\s*(\d{4})", "$1/$2/$3"),
+    (r"\b(\d{1,2})\s*/\s*(\d{1,2})\s*/\s*(\d{4})\b", "$1/$2/$3"),
     (r"[|_]{2,}", ""),
     (r"[\[\]{}]", ""),
 )

@@ -175,7 +175,7 @@ _ENGINES = "WITH e AS (" + q.ENGINES_SQL + ")"
 def _clean(x):
     steps = [
         (r"\s+", " "), (r"\bO\b", "0"), (r"\bl\b", "1"), (r"\bS\b", "5"), (r"\b(RILS|NRLS|ARLS)\b", "NMLS"), (r"\$\s+", "$"),
-        (r"(\d)\s+(\d)", r"\1\2"), (r"(\d{1,2})\s*/\s*(\d{1,2})\s*/\s*(\d{4})", r"\1/\2/\3"), (r"[|_]{2,}", ""), (r"[\[\]{}]", ""),
+        (r"(\d)\s+(\d)", r"\1\2"), (r"\b(\d{1,2})\s*/\s*(\d{1,2})\s*/\s*(\d{4})\b", r"\1/\2/\3"), (r"[|_]{2,}", ""), (r"[\[\]{}]", ""),
     ]
     x = f"coalesce({x}, '')"
     for pattern, new in steps:
