@@ -141,13 +141,14 @@ def with_next(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     groups = [bounds[i : i + _GROUP] for i in range(0, len(bounds), _GROUP)]
     lit_long = lambda xs: F.array(*[F.lit(int(x)) for x in xs])
     smaller = lambda arr: F.size(F.filter(arr, lambda b: b < F.col("doc_id")))
-    coarse = smaller(lit_long([g[-1] for g in groups]))
+    # ids beyond the bounds, which only an unstable input can have, go to the last range
+    coarse = F.least(smaller(lit_long([g[-1] for g in groups])), F.lit(len(groups) - 1))
     rows = rows.withColumn("coarse", F.when(F.col("doc_id").isNull(), 0).otherwise(coarse))
     rows = rows.withColumn("group", F.element_at(F.array(*[lit_long(g) for g in groups]), F.col("coarse") + 1))
     rows = rows.withColumn("fine", F.when(F.col("doc_id").isNull(), 0).otherwise(smaller(F.col("group"))))
-    at = F.col("coarse") * _GROUP + F.col("fine")
     last = len(bounds) - 1
-    edge = F.col("doc_id") == F.element_at("group", F.col("fine") + 1)
+    at = F.least(F.col("coarse") * _GROUP + F.col("fine"), F.lit(last))
+    edge = F.coalesce(F.col("doc_id") == F.try_element_at("group", F.col("fine") + 1), F.lit(False))
     own = F.struct(at.alias("at"), F.lit(False).alias("ghost"))
     ghost = F.struct(F.when(at == last, 0).otherwise(at + 1).alias("at"), F.lit(True).alias("ghost"))
     rows = rows.select("doc_id", "text", F.explode(F.when(edge, F.array(own, ghost)).otherwise(F.array(own))).alias("deal"))
