@@ -60,6 +60,11 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def small_batches(spark: SparkSession, size: str = "4m") -> None:
+    """Keeps Arrow batches of large rows small, in the JVM and in the workers."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def full_text(col: str = "text"):
     """The whole text; null counts as empty."""
     return F.coalesce(F.col(col).cast("string"), F.lit(""))

@@ -8,14 +8,15 @@ unique and must not travel.  So:
    anchor, the position of its ``GRAM``-gram of the least hash: equal strings have
    equal anchors.  Blocks send each distinct anchor's hash (4 bytes) to a bucket
    of hashes and learn which anchors occur in several documents.
-2. For those only, the anchor's context (the union of its strings) goes to its
-   bucket, once a block, with the block's smallest doc_id.  There equal contexts
-   are joined.  Contexts of one anchor that differ are cut into strings whose
-   suffixes are ordered by bucket-pointer refinement: buckets of initial q-grams
+2. For those only, a hash of the anchor's context (the union of its strings) goes
+   to its bucket, once a block, with the block's smallest doc_id.  Equal contexts
+   of a larger document go whole.
+3. Anchors with several different contexts send the bytes of each context, once.
+   They are suffix-sorted by bucket-pointer refinement: buckets of initial q-grams
    are refined by sorting on the bucket identifiers of later offsets, and the
    refined identifiers serve the next, deeper refinement, until buckets hold equal
    strings of ``LENGTH`` bytes.
-3. Blocks receive a mask of removed strings for each context and cut their texts.
+4. Blocks receive a mask of removed strings for each context and cut their texts.
 
 A block sends a repeated passage at most once, so a hot passage is aggregated
 before the shuffle; no group of documents is ever collected.
@@ -37,13 +38,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, full_text, release, stored, table
+from .common import full_text, release, small_batches, stored, table
 
 LENGTH = 50
 GRAM = 32
 SPAN = LENGTH - GRAM + 1  # grams, and so strings per anchor at most
 Q = 4
-BLOCK_BYTES = 1_500_000
+BLOCK_BYTES = 1_000_000
 #: Bytes of text whose anchors one bucket takes, about.
 BUCKET_BYTES = 40_000_000
 LAST = np.iinfo(np.int64).max
@@ -181,8 +182,7 @@ class Block:
 
     def hash_contexts(self, hit: np.ndarray) -> np.ndarray:
         a = self.anchors
-        h = a.hash if hasattr(a, "hash") else RangeHash(self.bytes)
-        return h.of(a.first[hit], a.n[hit] + LENGTH - 1) + (a.at[hit] - a.first[hit]).astype(np.uint64)
+        return a.hash.of(a.first[hit], a.n[hit] + LENGTH - 1) + (a.at[hit] - a.first[hit]).astype(np.uint64)
 
 
 def pack_blocks(docs: DataFrame) -> DataFrame:
@@ -322,104 +322,142 @@ def bucket_pointers(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.unique(key, return_inverse=True)[1]
 
 
-def removed_strings(blocks: DataFrame, buckets: int, partitions: int) -> DataFrame:
-    """Replies of kind 1: for each (block, bucket) its entries' masks of removed strings.
+#: What a bucket says of an entry: nothing goes, all strings go, or its bytes are needed.
+KEEP, GONE, BYTES = 0, 1, 2
+
+
+class Entries:
+    """A block's entries with all that its replies say of them."""
+
+    def __init__(self, row: list, buckets: int):
+        self.block, ids, sizes, data, replies = row
+        self.x = Block(ids, sizes, data)
+        values, _ = self.x.distinct()
+        self.hit, self.of, self.entry = self.x.candidates(values, _shared(values, buckets, replies))
+        a = self.x.anchors
+        self.bucket = bucket_of(a.h[self.entry], buckets)
+        self.n, self.doc = a.n[self.entry], self.x.ids[a.doc[self.entry]]
+        self.say = np.zeros(len(self.entry), np.uint8)
+        for r in replies or ():
+            if r["kind"] == 1:
+                lo, hi = np.searchsorted(self.bucket, [r["bucket"], r["bucket"] + 1])
+                self.say[lo:hi] = np.frombuffer(r["reply"], np.uint8)
+        self.mask = np.where(self.say == GONE, (np.int64(1) << self.n) - 1, 0)
+        asked = np.flatnonzero(self.say == BYTES)
+        for r in replies or ():
+            if r["kind"] == 2:
+                lo, hi = np.searchsorted(self.bucket[asked], [r["bucket"], r["bucket"] + 1])
+                self.mask[asked[lo:hi]] = np.frombuffer(r["reply"], np.uint32)
+
+    def parts(self, entries: np.ndarray, content: bool) -> pa.RecordBatch:
+        """One row for each bucket of some entries, with their contexts' bytes or hashes."""
+        a, x = self.x.anchors, self.x
+        compress = zstandard.ZstdCompressor(3).compress
+        own, first = _groups(self.bucket[entries])
+        out = []
+        for i, j in zip(first, np.append(first[1:], len(entries))):
+            e = self.entry[entries[i:j]]
+            small = np.stack([a.n[e], a.at[e] - a.first[e]]).astype(np.uint8)
+            what = compress(x.bytes[flat(a.first[e], a.n[e] + LENGTH - 1)].tobytes()) if content else x.hash_contexts(e).tobytes()
+            out.append((a.h[e].astype(np.uint32).tobytes(), compress(x.ids[a.doc[e]].tobytes()), compress(small.tobytes()) if content else b"", what))
+        columns = list(zip(*out)) or [()] * 4
+        return pa.RecordBatch.from_arrays(
+            [pa.array(own, pa.int64()), pa.array([self.block] * len(own), pa.int64()), *(pa.array(c, pa.binary()) for c in columns)], PART
+        )
+
+
+PART = ["bucket", "block", "h", "doc", "small", "what"]
+BLOCK = ("block", "ids", "sizes", "data", "replies")
 
-    A mask holds for the entry's occurrence in the block's smallest document; in
-    larger documents all strings of the context go.
-    """
+
+def _ask(blocks: DataFrame, buckets: int, partitions: int, content: bool, find) -> DataFrame:
+    """Blocks send entries to buckets, which answer by ``find``."""
 
     def send(batches):
-        compress = zstandard.ZstdCompressor(3).compress
         for b in batches:
-            for block, ids, sizes, data, replies in _rows(b, "block", "ids", "sizes", "data", "replies"):
-                if not replies:
-                    continue
-                x = Block(ids, sizes, data)
-                a = x.anchors
-                values, _ = x.distinct()
-                _, _, entry = x.candidates(values, _shared(values, buckets, replies))
-                if not len(entry):
-                    continue
-                own, first = _groups(bucket_of(a.h[entry], buckets))
-                ends = np.append(first[1:], len(entry))
-                out = []
-                for i, j in zip(first, ends):
-                    e = entry[i:j]
-                    text = x.bytes[flat(a.first[e], a.n[e] + LENGTH - 1)].tobytes()
-                    small = np.stack([a.n[e], a.at[e] - a.first[e]]).astype(np.uint8).tobytes()
-                    out.append((a.h[e].tobytes(), x.ids[a.doc[e]].tobytes(), small, compress(text)))
-                h, doc, small, text = zip(*out)
-                yield pa.RecordBatch.from_pydict({
-                    "bucket": pa.array(own, pa.int64()), "block": pa.array([block] * len(own), pa.int64()), "h": pa.array(h, pa.binary()),
-                    "doc": pa.array(doc, pa.binary()), "small": pa.array(small, pa.binary()), "text": pa.array(text, pa.binary()),
-                })
-
-    def find(bucket, rows):
-        h = np.concatenate([np.frombuffer(r[2], np.uint64) for r in rows])
-        doc = np.concatenate([np.frombuffer(r[3], np.int64) for r in rows])
-        each = [len(r[2]) // 8 for r in rows]
-        small = [np.frombuffer(r[4], np.uint8).reshape(2, -1) for r in rows]
-        n, offset = (np.concatenate([s[k] for s in small]).astype(np.int64) for k in (0, 1))
-        # classes of equal contexts: the bytes themselves decide
-        known: dict[tuple[bytes, int], int] = {}
-        of, texts, i = np.zeros(len(h), np.int64), [], 0
-        for r, count in zip(rows, each):
-            text, at = zstandard.decompress(r[5]), 0
-            for size, o in zip((n[i : i + count] + LENGTH - 1).tolist(), offset[i : i + count].tolist()):
-                part = text[at : at + size]
-                at += size
-                c = known.setdefault((part, o), len(known))
-                if c == len(texts):
-                    texts.append(part)
-                of[i] = c
-                i += 1
-        least = np.full(len(texts), LAST)
-        np.minimum.at(least, of, doc)
-        class_h, class_n = np.zeros(len(texts), np.uint64), np.zeros(len(texts), np.int64)
-        class_h[of], class_n[of] = h, n
-        mask = np.zeros(len(texts), np.int64)
-        # anchors with several contexts: their strings are compared one by one
-        order = np.argsort(class_h, kind="stable")
-        _, first = _groups(class_h[order])
-        sizes = np.diff(np.append(first, len(order)))
-        mixed_ = order[np.repeat(sizes, sizes) > 1]
-        if len(mixed_):
-            data = np.frombuffer(b"".join([texts[c] for c in mixed_]), np.uint8)
-            begin = np.concatenate([[0], np.cumsum([len(texts[c]) for c in mixed_])[:-1]])
-            starts = flat(begin, class_n[mixed_])
-            owner = np.repeat(mixed_, class_n[mixed_])
-            same = bucket_pointers(data, starts)
-            earliest = np.full(same.max() + 1, LAST)
-            np.minimum.at(earliest, same, least[owner])
-            bit = flat(np.zeros(len(mixed_), np.int64), class_n[mixed_])
-            gone = earliest[same] < least[owner]
-            np.bitwise_or.at(mask, owner[gone], np.int64(1) << bit[gone])
-        masks = np.where(doc > least[of], (np.int64(1) << n) - 1, mask[of]).astype(np.uint32)
-        parts = np.split(masks, np.cumsum(each)[:-1])
-        yield _reply(1, bucket, [r[1] for r in rows], [p.tobytes() for p in parts])
-
-    sent = blocks.mapInArrow(send, "bucket long, block long, h binary, doc binary, small binary, text binary")
+            for row in _rows(b, *BLOCK):
+                if row[-1]:
+                    e = Entries(row, buckets)
+                    wanted = np.flatnonzero(e.say == BYTES) if content else np.arange(len(e.entry))
+                    if len(wanted):
+                        yield e.parts(wanted, content)
+
+    sent = blocks.mapInArrow(send, "bucket long, block long, h binary, doc binary, small binary, what binary")
     sent = sent.repartition(partitions, "bucket").sortWithinPartitions("bucket")
-    return sent.mapInArrow(lambda batches: _per_bucket(batches, ("bucket", "block", "h", "doc", "small", "text"), find), REPLY)
+    return sent.mapInArrow(lambda batches: _per_bucket(batches, PART, find), REPLY)
 
 
-def removal_mask(x: Block, buckets: int, replies: list[dict]) -> np.ndarray | None:
+def _gathered(rows: list) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """Anchor hashes and documents of a bucket's rows, and the entries of each row."""
+    h = np.concatenate([np.frombuffer(r[2], np.uint32) for r in rows])
+    doc = np.concatenate([np.frombuffer(zstandard.decompress(r[3]), np.int64) for r in rows])
+    return h, doc, [len(r[2]) // 4 for r in rows]
+
+
+def _classify(bucket, rows):
+    """Replies of kind 1: what to do with each entry.
+
+    Of each class of equal contexts the smallest document stays.  Where an anchor
+    has several classes, one such entry of each class must show its bytes.
+    """
+    h, doc, each = _gathered(rows)
+    context = np.concatenate([np.frombuffer(r[5], np.uint64) for r in rows])
+    order = np.lexsort((doc, context, h))
+    h, doc, context = h[order], doc[order], context[order]
+    new_h = np.concatenate([[True], h[1:] != h[:-1]])
+    new_class = new_h | np.concatenate([[True], context[1:] != context[:-1]])
+    of_class, of_h = np.cumsum(new_class) - 1, np.cumsum(new_h) - 1
+    classes = np.bincount(of_h[new_class])
+    least = doc[new_class][of_class]
+    say = np.where(doc > least, GONE, np.where(classes[of_h] > 1, BYTES, KEEP)).astype(np.uint8)
+    back = np.empty(len(say), np.uint8)
+    back[order] = say
+    parts = np.split(back, np.cumsum(each)[:-1])
+    told = [(r[1], p.tobytes()) for r, p in zip(rows, parts) if p.any()]
+    if told:
+        yield _reply(1, bucket, [t[0] for t in told], [t[1] for t in told])
+
+
+def _compare(bucket, rows):
+    """Replies of kind 2: the mask of removed strings of each entry that showed its bytes."""
+    h, doc, each = _gathered(rows)
+    small = [np.frombuffer(zstandard.decompress(r[4]), np.uint8).reshape(2, -1) for r in rows]
+    n = np.concatenate([s[0] for s in small]).astype(np.int64)
+    data = np.frombuffer(b"".join(zstandard.decompress(r[5]) for r in rows), np.uint8)
+    size = n + LENGTH - 1
+    starts = flat(np.cumsum(size) - size, n)
+    owner = np.repeat(np.arange(len(n)), n)
+    same = bucket_pointers(data, starts)
+    earliest = np.full(same.max() + 1, LAST)
+    np.minimum.at(earliest, same, doc[owner])
+    gone = earliest[same] < doc[owner]
+    mask = np.zeros(len(n), np.int64)
+    np.bitwise_or.at(mask, owner[gone], np.int64(1) << flat(np.zeros(len(n), np.int64), n)[gone])
+    parts = np.split(mask.astype(np.uint32), np.cumsum(each)[:-1])
+    yield _reply(2, bucket, [r[1] for r in rows], [p.tobytes() for p in parts])
+
+
+def removed_strings(blocks: DataFrame, anchors: DataFrame, buckets: int, partitions: int) -> DataFrame:
+    """Replies of all kinds: of each entry, which strings go.
+
+    They hold for the entry's occurrence in the block's smallest document; in
+    larger documents all strings of the context go.
+    """
+    spark = blocks.sparkSession
+    known = anchors.unionByName(stored(_ask(with_replies(blocks, anchors), buckets, partitions, False, _classify), "classes"))
+    release(spark)
+    masks = stored(_ask(with_replies(blocks, known), buckets, partitions, True, _compare), "masks")
+    release(spark)
+    return known.unionByName(masks)
+
+
+def removal_mask(e: Entries) -> np.ndarray | None:
     """Which bytes of a block go; None if none."""
-    a = x.anchors
-    values, _ = x.distinct()
-    hit, of, entry = x.candidates(values, _shared(values, buckets, replies))
+    x, a, hit, of = e.x, e.x.anchors, e.hit, e.of
     if not len(hit):
         return None
-    masks = np.zeros(len(entry), np.int64)
-    own = bucket_of(a.h[entry], buckets)
-    for r in replies:
-        if r["kind"] == 1:
-            lo, hi = np.searchsorted(own, [r["bucket"], r["bucket"] + 1])
-            masks[lo:hi] = np.frombuffer(r["reply"], np.uint32)
-    later = x.ids[a.doc[hit]] > x.ids[a.doc[entry[of]]]
     full = (np.int64(1) << a.n[hit]) - 1
-    mask = np.where(later, full, masks[of])
+    mask = np.where(x.ids[a.doc[hit]] > e.doc[of], full, e.mask[of])
     change = np.zeros(len(x.bytes) + 1, np.int32)
     whole = mask == full
     np.add.at(change, a.first[hit[whole]], 1)
@@ -451,6 +489,7 @@ def cut(x: Block, gone: np.ndarray | None):
 def remove_repeats(docs: DataFrame, keep_bytes: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept) of (doc_id, data)."""
     spark = docs.sparkSession
+    small_batches(spark)
     blocks = stored(pack_blocks(docs), "blocks")
     total = blocks.agg(F.sum(F.octet_length("sizes")), F.sum(F.octet_length("data"))).first()
     shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -458,23 +497,21 @@ def remove_repeats(docs: DataFrame, keep_bytes: bool = False) -> DataFrame:
     buckets = 4 * partitions
     anchors = stored(shared_anchors(blocks, buckets, partitions), "shared")
     release(spark)
-    masks = stored(removed_strings(with_replies(blocks, anchors), buckets, partitions), "masks")
-    release(spark)
+    replies = removed_strings(blocks, anchors, buckets, partitions)
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * keep_bytes
     kinds = [pa.int64()] * 4 + [pa.string()] + [pa.binary()] * keep_bytes
 
     def run(batches):
         for b in batches:
-            for ids, sizes, data, replies in _rows(b, "ids", "sizes", "data", "replies"):
-                x = Block(ids, sizes, data)
-                gone = removal_mask(x, buckets, replies) if replies else None
+            for row in _rows(b, *BLOCK):
+                e = Entries(row, buckets)
                 rows = []
-                for doc_id, raw, size, removed, spans in cut(x, gone):
+                for doc_id, raw, size, removed, spans in cut(e.x, removal_mask(e)):
                     rows.append((None if doc_id == LAST else doc_id, size, removed, spans, hashlib.sha256(raw).hexdigest(), *([raw] * keep_bytes)))
                 yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows), kinds)], names)
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_bytes
-    return with_replies(blocks, anchors.unionByName(masks)).mapInArrow(run, schema)
+    return with_replies(blocks, replies).mapInArrow(run, schema)
 
 
 def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
