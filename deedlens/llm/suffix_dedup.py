@@ -47,6 +47,8 @@ Q = 4
 BLOCK_BYTES = 1_000_000
 #: Bytes of text whose anchors one bucket takes, about.
 BUCKET_BYTES = 40_000_000
+#: Bytes of contexts that are sorted together.
+SORT_BYTES = 400_000
 LAST = np.iinfo(np.int64).max
 
 _random = np.random.default_rng(20240229)
@@ -418,21 +420,62 @@ def _classify(bucket, rows):
         yield _reply(1, bucket, [t[0] for t in told], [t[1] for t in told])
 
 
+def _pieces(h: np.ndarray, begin: np.ndarray, n: np.ndarray, offset: np.ndarray, data: np.ndarray):
+    """(bytes, starts, entry, bit) of strings, in pieces of about ``SORT_BYTES``.
+
+    Equal strings have equal anchors, so anchors are dealt whole; one anchor with
+    more contexts than that is dealt by the strings' distance from the anchor, then by
+    their first bytes.
+    """
+    order = np.argsort(h, kind="stable")
+    _, first = _groups(h[order])
+    groups = np.split(order, first[1:])
+    held, size = [], 0
+    for group in [*groups, None]:
+        room = 0 if group is None else int((n[group] + LENGTH - 1).sum())
+        if held and (group is None or size + room > SORT_BYTES):
+            e = np.concatenate(held)
+            length = n[e] + LENGTH - 1
+            yield data[flat(begin[e], length)], flat(np.cumsum(length) - length, n[e]), np.repeat(e, n[e]), flat(np.zeros(len(e), np.int64), n[e])
+            held, size = [], 0
+        if group is None:
+            return
+        if room <= SORT_BYTES:
+            held.append(group)
+            size += room
+            continue
+        for distance in range(SPAN):
+            e = group[(offset[group] >= distance) & (offset[group] - distance < n[group])]
+            bit = offset[e] - distance
+            at = begin[e] + bit
+            code = np.zeros(len(e), np.int64)
+            for k in range(Q):
+                code = code << 8 | data[at + k]
+            e, bit, at, code = (v[np.argsort(code, kind="stable")] for v in (e, bit, at, code))
+            _, cuts = _groups(code)
+            lo = 0
+            for hi in [*cuts[1:].tolist(), len(e)]:
+                if hi == len(e) or (hi - lo) * LENGTH > SORT_BYTES:
+                    if hi > lo:
+                        part = slice(lo, hi)
+                        yield data[flat(at[part], np.full(hi - lo, LENGTH))], np.arange(hi - lo) * LENGTH, e[part], bit[part]
+                    lo = hi
+
+
 def _compare(bucket, rows):
     """Replies of kind 2: the mask of removed strings of each entry that showed its bytes."""
     h, doc, each = _gathered(rows)
     small = [np.frombuffer(zstandard.decompress(r[4]), np.uint8).reshape(2, -1) for r in rows]
-    n = np.concatenate([s[0] for s in small]).astype(np.int64)
+    n, offset = (np.concatenate([x[k] for x in small]).astype(np.int64) for k in (0, 1))
     data = np.frombuffer(b"".join(zstandard.decompress(r[5]) for r in rows), np.uint8)
     size = n + LENGTH - 1
-    starts = flat(np.cumsum(size) - size, n)
-    owner = np.repeat(np.arange(len(n)), n)
-    same = bucket_pointers(data, starts)
-    earliest = np.full(same.max() + 1, LAST)
-    np.minimum.at(earliest, same, doc[owner])
-    gone = earliest[same] < doc[owner]
     mask = np.zeros(len(n), np.int64)
-    np.bitwise_or.at(mask, owner[gone], np.int64(1) << flat(np.zeros(len(n), np.int64), n)[gone])
+    for text, starts, owner, bit in _pieces(h, np.cumsum(size) - size, n, offset, data):
+        same = bucket_pointers(text, starts)
+        earliest = np.full(same.max() + 1, LAST)
+        np.minimum.at(earliest, same, doc[owner])
+        gone = earliest[same] < doc[owner]
+        np.bitwise_or.at(mask, owner[gone], np.int64(1) << bit[gone])
     parts = np.split(mask.astype(np.uint32), np.cumsum(each)[:-1])
     yield _reply(2, bucket, [r[1] for r in rows], [p.tobytes() for p in parts])
 
