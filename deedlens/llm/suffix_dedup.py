@@ -514,10 +514,10 @@ def removal_mask(e: Entries) -> np.ndarray | None:
 
 
 def cut(x: Block, gone: np.ndarray | None):
-    """(doc_id, bytes kept, n_bytes, n_removed, n_spans) of a block's documents."""
+    """(doc_id, bytes, bytes kept, n_removed, n_spans) of a block's documents."""
     at = 0
     for doc_id, size in zip(x.ids.tolist(), x.sizes.tolist()):
-        raw = x.raw[at : at + size]
+        whole = raw = x.raw[at : at + size]
         removed = spans = 0
         if gone is not None:
             part = gone[at : at + size]
@@ -526,7 +526,7 @@ def cut(x: Block, gone: np.ndarray | None):
                 spans = int(np.count_nonzero(part[1:] & ~part[:-1])) + int(part[0])
                 raw = x.bytes[at : at + size][~part].tobytes()
         at += size
-        yield doc_id, raw, size, removed, spans
+        yield doc_id, whole, raw, removed, spans
 
 
 def remove_repeats(docs: DataFrame, keep_bytes: bool = False) -> DataFrame:
@@ -541,19 +541,20 @@ def remove_repeats(docs: DataFrame, keep_bytes: bool = False) -> DataFrame:
     anchors = stored(shared_anchors(blocks, buckets, partitions), "shared")
     release(spark)
     replies = removed_strings(blocks, anchors, buckets, partitions)
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * keep_bytes
-    kinds = [pa.int64()] * 4 + [pa.string()] + [pa.binary()] * keep_bytes
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept", "text_sha256"] * keep_bytes
+    kinds = [pa.int64()] * 4 + [pa.string()] + [pa.binary(), pa.string()] * keep_bytes
 
     def run(batches):
         for b in batches:
             for row in _rows(b, *BLOCK):
                 e = Entries(row, buckets)
                 rows = []
-                for doc_id, raw, size, removed, spans in cut(e.x, removal_mask(e)):
-                    rows.append((None if doc_id == LAST else doc_id, size, removed, spans, hashlib.sha256(raw).hexdigest(), *([raw] * keep_bytes)))
+                for doc_id, whole, raw, removed, spans in cut(e.x, removal_mask(e)):
+                    row = None if doc_id == LAST else doc_id, len(whole), removed, spans, hashlib.sha256(raw).hexdigest()
+                    rows.append((*row, raw, hashlib.sha256(whole).hexdigest()) if keep_bytes else row)
                 yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows), kinds)], names)
 
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_bytes
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, text_sha256 string" * keep_bytes
     return with_replies(blocks, replies).mapInArrow(run, schema)
 
 
@@ -565,18 +566,22 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` with the repeats cut out of its texts (bytes that no longer decode are dropped).
 
-    ``n_chars`` follows where it is a column.  doc_ids must be unique.
+    ``n_chars`` follows where it is a column.  Rows that repeat both doc_id and
+    text have one result, which all of them get.
     """
     kept = remove_repeats(df.select(df[id_col].cast("long").alias("doc_id"), full_text(text_col).cast("binary").alias("data")), keep_bytes=True)
 
     def decode(batches):
         for b in batches:
             texts = [x.decode("utf-8", "ignore") for x in b.column("kept").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string())], ["__id", "__text"])
-
-    new = kept.select("doc_id", "kept").mapInArrow(decode, "__id long, __text string")
-    out = df.drop(text_col).join(new, df[id_col] == new["__id"])
-    columns = [F.col("__text").alias(c) if c == text_col else F.char_length("__text").cast(dict(df.dtypes)[c]).alias(c) if c == "n_chars" else F.col(c) for c in df.columns]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_sha256"), pa.array(texts, pa.string())], ["__id", "__key", "__text"])
+
+    new = kept.select("doc_id", "text_sha256", "kept").mapInArrow(decode, "__id long, __key string, __text string")
+    new = new.dropDuplicates(["__id", "__key"])
+    same = df[id_col].cast("long").eqNullSafe(new["__id"]) & (F.sha2(full_text(text_col), 256) == new["__key"])
+    out = df.join(new, same)
+    kinds = dict(df.dtypes)
+    columns = [F.col("__text").alias(c) if c == text_col else F.char_length("__text").cast(kinds[c]).alias(c) if c == "n_chars" else df[c] for c in df.columns]
     return out.select(*columns)
 
 

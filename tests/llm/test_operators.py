@@ -131,6 +131,37 @@ def test_repeats_documents(spark, texts):
     check_repeats(spark, sorted(texts.items()))
 
 
+def test_repeats_in_small_pieces(monkeypatch):
+    random = np.random.default_rng(8)
+    core, out = random.integers(97, 99, 32).astype(np.uint8), {}
+    h, offset = np.array([7] * 60 + [9, 9], np.uint32), random.integers(0, 19, 62)
+    n = 1 + random.integers(0, 19, 62) % (offset + 1)  # every string of a context holds the anchor
+    texts = [np.concatenate([random.integers(97, 98 + i % 2, o).astype(np.uint8), core, np.full(k + 17 - o, 97, np.uint8)]) for i, (o, k) in enumerate(zip(offset, n))]
+    data, begin = np.concatenate(texts), np.cumsum([len(t) for t in texts]) - [len(t) for t in texts]
+    for limit in (10, 700):
+        monkeypatch.setattr(suffix_dedup, "SORT_BYTES", limit)
+        found = collections.defaultdict(set)
+        for k, (text, starts, owner, bit) in enumerate(suffix_dedup._pieces(h, begin, n, offset, data)):
+            for s, same, o, b in zip(starts, suffix_dedup.bucket_pointers(text, starts), owner, bit):
+                assert text[s : s + 50].tobytes() == data[begin[o] + b : begin[o] + b + 50].tobytes()
+                found[k, same].add((int(o), int(b)))
+        out[limit] = set(map(frozenset, found.values()))
+        assert sum(map(len, found.values())) == n.sum()
+    want = collections.defaultdict(set)
+    for o in range(62):
+        for b in range(n[o]):
+            want[h[o], offset[o] - b, data[begin[o] + b : begin[o] + b + 50].tobytes()].add((o, b))
+    assert out[10] == out[700] == set(map(frozenset, want.values()))
+
+
+def test_texts_without_repeats(spark):
+    a, b = "shared passage " * 6, "own words of the other one#"
+    rows = [(1, a, 90, "x"), (2, b + a, 5, "y"), (2, b + a, 5, "z"), (2, "other", 5, "w"), (None, a, 7, "v"), (3, None, None, "u")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars int, kept string")
+    got = {r["kept"]: (r["doc_id"], r["text"], r["n_chars"]) for r in suffix_dedup.without_repeats(df).collect()}
+    assert got == {"x": (1, a, 90), "y": (2, b, 27), "z": (2, b, 27), "w": (2, "other", 5), "v": (None, "", 0), "u": (3, "", 0)}
+
+
 def test_repeats_empty(spark, docs):
     assert suffix_dedup.dedup_substrings(docs.limit(0)).count() == 0
 
