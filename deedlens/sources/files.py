@@ -19,9 +19,13 @@ def documents(spark: SparkSession, path: str, pattern: str = "*.pdf", text: bool
     return df.withColumn("text", F.decode("content", "UTF-8")) if text else df
 
 
-def doc_info(df: DataFrame) -> DataFrame:
-    """Size in MB, two decimals."""
-    return df.select("doc_id", F.round(F.col("length") / (1024 * 1024), 2).alias("file_size_mb"))
+def doc_info(df: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """Size in MB, two decimals; with ``pages`` (doc_id, page_no, error) also page_count and error."""
+    info = df.select("doc_id", F.round(F.col("length") / (1024 * 1024), 2).alias("file_size_mb"))
+    if pages is None:
+        return info
+    counted = pages.groupBy("doc_id").agg(F.count_if(F.col("error").isNull()).alias("page_count"), F.max("error").alias("error"))
+    return info.join(counted, "doc_id", "left").withColumn("page_count", F.coalesce("page_count", F.lit(0)))
 
 
 def exists(spark: SparkSession, path: str) -> bool:

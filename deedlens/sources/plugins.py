@@ -74,6 +74,17 @@ def rasterize(df: DataFrame, rasterizer: Rasterizer, page_range: tuple[int, int]
     return df.select("doc_id", "content").mapInPandas(run, f"doc_id {kind}, page_no int, image binary, error string")
 
 
+def save_pages(images: DataFrame, save: Callable[[str, bytes], None], base: str = "doc_id", image_format: str = "png") -> None:
+    """Hands every page image to ``save`` (name, bytes) on the executors; saving again replaces."""
+
+    def run(rows) -> None:
+        for r in rows:
+            if r["image"] is not None:
+                save(page_name(str(r[base]).rsplit("/", 1)[-1], r["page_no"], image_format), bytes(r["image"]))
+
+    images.select(base, "page_no", "image").foreachPartition(run)
+
+
 def enhance(df: DataFrame, enhancer: ImageEnhancer) -> DataFrame:
     """``df`` with its images enhanced."""
 
@@ -109,10 +120,10 @@ def recognise(df: DataFrame, engines: list[OcrEngine]) -> DataFrame:
     )
 
 
-def ask(df: DataFrame, client: LlmClient, prompts: dict[str, str], tries: int = 2, retries: int = 3, delay: float = 1.0) -> DataFrame:
+def ask(df: DataFrame, client: LlmClient, prompts: dict[str, str], tries: int = 2, retries: int = 3, delay: float = 1.0, accept: Callable[[str], bool] = lambda answer: bool(answer.strip())) -> DataFrame:
     """Answers per document and prompt: (doc_id, prompt, answer, attempts, processing_time, errors).
 
-    Every prompt is tried up to ``tries`` times, until an answer is not blank.
+    Every prompt is tried up to ``tries`` times, until an answer is accepted (by default: not blank).
     """
     columns = ["doc_id", "prompt", "answer", "attempts", "processing_time", "errors"]
 
@@ -126,7 +137,7 @@ def ask(df: DataFrame, client: LlmClient, prompts: dict[str, str], tries: int =
                         attempts += 1
                         try:
                             got = with_retry(lambda t=template: client.complete(t.replace("{document_text}", text or "")), retries, delay)
-                            answer = got if got and got.strip() else None
+                            answer = got if got and accept(got) else None
                         except Exception as e:  # noqa: BLE001
                             errors.append(f"{name}: {e}")
                     rows.append((doc_id, name, answer, attempts, time.perf_counter() - began, errors))

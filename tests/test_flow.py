@@ -5,9 +5,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from deedlens import cli, config
+from deedlens import cli, config, doctor
 from deedlens.fields import FIELDS
-from deedlens.operators import pages, selection, summary
+from deedlens.operators import model, pages, selection, summary
 from deedlens.plans.pipeline import process_documents
 from deedlens.sources import files, plugins
 from deedlens.streaming import ingest
@@ -82,6 +82,43 @@ def test_plugins(spark):
     assert [(r["attempts"], r["answer"] is None, len(r["errors"])) for r in got] == [(1, False, 0), (2, True, 2)]
 
 
+class Answers:
+    """Answers JSON to prompts that ask for it, a quoted value otherwise, garbage at first."""
+
+    def __init__(self):
+        self.calls = 0
+
+    def complete(self, prompt):
+        self.calls += 1
+        if "one JSON object" not in prompt:
+            return ' "Frank Baker" ' if "borrowers" in prompt else "null"
+        if "whose keys are" in prompt and self.calls % 2:
+            return "sorry"
+        return '{"borrowers": "A B", "loan_amount": 20000, "lender_name": "Bank", "lender_nmls_id": null}'
+
+
+def test_model_strategies(spark):
+    docs = spark.createDataFrame([(1, "x")], "doc_id long, text string")
+    frames = model.run_strategies(docs, Answers(), ("full_document", "field_by_field", "unknown"), delay=0.0)
+    assert [name for name, _ in frames] == ["full_document", "field_by_field"]
+    full, each = (df.first() for _, df in frames)
+    assert (full["borrowers"], full["loan_amount"], full["lender_nmls_id"], full["attempts"]) == ("A B", "20000", None, 2)
+    assert (each["borrowers"], each["loan_amount"], each["lender_name"], each["recording_date"]) == ("Frank Baker", None, "Bank", None)
+    best = selection.best_extraction(selection.strategies(frames)).first()
+    assert best["strategy_used"] == "full_document"
+
+
+def test_page_sink_info_and_doctor(spark, tmp_path):
+    folder = str(tmp_path)
+    images = spark.createDataFrame([("a/x.pdf", 1, bytearray(b"i"), None), ("a/x.pdf", 2, bytearray(b"j"), None), ("b", 0, None, "bad")], "doc_id string, page_no int, image binary, error string")
+    plugins.save_pages(images, lambda name, data: open(f"{folder}/{name}", "wb").write(data))
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["x.pdf_page_001.png", "x.pdf_page_002.png"]
+    sizes = spark.createDataFrame([("a/x.pdf", 5 * 1024 * 1024), ("b", 1)], "doc_id string, length long")
+    got = {r["doc_id"]: (r["file_size_mb"], r["page_count"], r["error"]) for r in files.doc_info(sizes, images).collect()}
+    assert got == {"a/x.pdf": (5.0, 2, None), "b": (0.0, 0, "bad")}
+    assert doctor.checks({})["package pyspark"] and doctor.verdict({"a": True, "b": False})[1] == "fail"
+
+
 def test_retry():
     waits, left = [], [ValueError("a"), ValueError("b")]
 
