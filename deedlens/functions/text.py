@@ -12,7 +12,7 @@ PAGE_BREAK = "\n\n--- PAGE BREAK ---\n\n"
 OCR_LETTERS, OCR_DIGITS = "lIOoSsGg", "11005569"
 OCR_WORD = ("Lende7", "Lender")
 
-#: Cleaning rules in order; all ignore case.  Later rules see earlier results.
+#: Cleaning rules in order.  All ignore case; later rules see earlier results.
 CLEAN_RULES = (
     (r"(?U)\s+", " "),
     (r"(?U)\bO\b", "0"),

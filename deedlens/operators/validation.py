@@ -105,6 +105,7 @@ def quality_report(df: DataFrame) -> DataFrame:
     complete = F.size(F.filter("checked", lambda c: (c["value"] != "") & (F.lower(c["value"]) != "null")))
     low = F.col("field_breakdown.low_confidence")
     missing = lambda f, text: F.when(F.col(f"v_{f}.value") == "", F.lit(text))
+    # the texts below are fixed values
     return df.withColumn("completeness", complete / len(FIELDS) * 100).withColumn(
         "recommendations",
         F.array_compact(
