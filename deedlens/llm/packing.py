@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import full_text, single_thread, stored, table, text_blocks
+from .common import few_collections, full_text, single_thread, stored, table, text_blocks
 
 SEQUENCE = 2048
 END_ID = 0
@@ -126,6 +126,7 @@ def cut_pieces(df: DataFrame, path: str | None = None, size: int = SEQUENCE, id_
     def run(batches):
         import public_tokenizers
 
+        few_collections()
         tok = tokenizer(path or public_tokenizers.path("word_bpe_49k.json"))
         for b in batches:
             for lo, _, texts in text_blocks(b, "text", BLOCK_BYTES):
