@@ -23,7 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import full_text, table, text_blocks
+from .common import few_collections, full_text, table, text_blocks
 
 #: Pieces of text in each of a worker's two cache generations.
 CACHE_PIECES = 300_000
@@ -196,6 +196,7 @@ def encode_documents(df: DataFrame, vocabulary: str | None = None, pattern: str
     def run(batches):
         import public_tokenizers
 
+        few_collections()
         bpe = codec(vocabulary or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), pattern or public_tokenizers.PATTERN)
         for b in batches:
             for lo, hi, texts in text_blocks(b, "text", BLOCK_BYTES):
