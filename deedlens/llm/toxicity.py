@@ -88,14 +88,14 @@ class Corpus:
             sizes[i] = len(found)
         grams = np.frombuffer(flat, np.int32) if len(flat) else np.zeros(0, np.int32)
         frequency = np.zeros(BUCKETS, np.int64)
-        owner = np.repeat(np.arange(len(sizes)), sizes)
         ends = np.cumsum(sizes)
         for w in words:
             frequency[np.unique(grams[_flat(ends[w] - sizes[w], sizes[w])])] += 1
-        kept = frequency[grams] >= LEAST_DOCUMENTS
-        count = np.bincount(owner[kept], minlength=len(sizes))
-        learned = np.flatnonzero(frequency >= LEAST_DOCUMENTS)
-        return cls(words, weights, np.concatenate([[0], np.cumsum(count)]), np.searchsorted(learned, grams[kept]), np.maximum(sizes, 1), learned)
+        enough = frequency >= LEAST_DOCUMENTS
+        kept = enough[grams]
+        count = np.add.reduceat(kept, ends - sizes, dtype=np.int64) if len(ends) else np.zeros(0, np.int64)
+        number = (np.cumsum(enough) - 1).astype(np.int32)
+        return cls(words, weights, np.concatenate([[0], np.cumsum(count)]), number[grams[kept]], sizes, np.flatnonzero(enough))
 
 
 def _flat(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
