@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import full_text, stored, table
+from .common import full_text, give_back, stored, table
 
 #: Labelled rows that are learned from at most: those of the smallest hash of their id.
 FIT_ROWS = 30_000
@@ -210,7 +210,10 @@ def fit_rows(rows: DataFrame) -> Trees:
     sample = rows.select("x", "y").toPandas()
     x = np.array(sample["x"].tolist(), np.float32).reshape(-1, len(FEATURES))
     order = np.lexsort([*x.T, sample["y"].to_numpy()]) if len(x) else np.zeros(0, int)
-    return grow(x[order], sample["y"].to_numpy(float)[order])
+    model = grow(x[order], sample["y"].to_numpy(float)[order])
+    del sample, x
+    give_back()
+    return model
 
 
 def score_features(features: DataFrame, model: Trees) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import full_text, table
+from .common import full_text, give_back, table
 from .quality import fold, labelled_sample
 
 #: Labelled documents that are learned from at most: those of the smallest hash of their id.
@@ -198,7 +198,10 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     got = docs.where(F.col("doc_id").isin(list(marks))).dropDuplicates(["doc_id"]) if marks else docs.limit(0)
     got = got.toPandas().sort_values("doc_id", kind="stable")  # at most FIT_CHARS characters
     pairs = [(text, label) for k, text in zip(got["doc_id"], got["text"]) for label in marks[k]]
-    return train([t for t, _ in pairs], np.array([v for _, v in pairs], np.int64))
+    model = train([t for t, _ in pairs], np.array([v for _, v in pairs], np.int64))
+    del got, pairs
+    give_back()
+    return model
 
 
 _CACHES: dict[tuple, dict[str, float]] = {}
