@@ -9,10 +9,13 @@ their weighted Jaccard similarity.  Samples are banded; documents that share a
 band meet in a bucket.
 
 Copies of one text are one representative.  In every bucket the members are
-compared with one leader (a star, never all pairs), by the exact weighted Jaccard
-similarity of whole texts.  Buckets whose members are still in several classes
-get other leaders in further rounds.  Large stars are split over tasks with a copy
-of the leader's text; links become classes by label propagation in DataFrames.
+compared with leaders, by the exact weighted Jaccard similarity of whole texts.
+A bucket whose members are still in several classes gets leaders that have not
+led it yet, in each round ``GROWTH`` times as many, until every two members are in
+one class or were compared.  Pairs whose total weights alone rule out the
+similarity are not compared.  A member's text is sent once for a block of leaders;
+large blocks are split over tasks with copies of the leaders' texts; links become
+classes by label propagation in DataFrames.
 
 Edge cases: a null text is empty; texts of fewer than five words are one shingle,
 empty texts are copies of each other; rows that repeat a doc_id count as one
@@ -25,7 +28,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import dropped, full_text, stored, table, text_blocks
@@ -34,9 +37,16 @@ WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 14, 3
 IDF_BUCKETS = 1 << 16
-ROUNDS = 4
-#: Members of a star that one task compares with the leader.
+#: First rounds, whose leaders may come from any class; later ones leave out the class with the most members that have not led.
+OPEN_ROUNDS = 3
+#: Leaders of a bucket in a round, as a multiple of the round before.
+GROWTH = 4
+#: Leaders of a block, which a task compares with the same members.
+BLOCK_LEADERS = 16
+#: Members of a block that one task compares with its leaders.
 STAR_PART = 64
+#: Above rounding errors of sums of weights.
+MARGIN = 1e-6
 BLOCK_BYTES = 1_000_000
 
 _MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -122,13 +132,14 @@ def samples(first: np.ndarray, value: np.ndarray, weight: np.ndarray, k: int) ->
     return mixed(value[best] ^ mixed(t[best].astype(np.int64).astype(np.uint64) + np.uint64(k)))
 
 
-def band_keys(texts: list[str], idf: np.ndarray) -> list[list[int]]:
-    """The band keys of every text; none for a text without words."""
+def band_keys(texts: list[str], idf: np.ndarray) -> tuple[list[list[int]], np.ndarray]:
+    """The band keys and the total weight of every text; no keys for a text without words."""
     first, value, weight = shingles(texts, idf)
     full = np.flatnonzero(np.diff(first))
     out: list[list[int]] = [[] for _ in texts]
+    total = np.zeros(len(texts))
     if not len(full):
-        return out
+        return out, total
     starts = first[full]
     keys = np.zeros((len(full), BANDS), np.uint64)
     for band in range(BANDS):
@@ -138,7 +149,8 @@ def band_keys(texts: list[str], idf: np.ndarray) -> list[list[int]]:
         keys[:, band] = key
     for i, row in zip(full, keys.view(np.int64).tolist()):
         out[i] = row
-    return out
+    total[full] = np.add.reduceat(weight, starts)
+    return out, total
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -180,55 +192,62 @@ def idf_table(docs: DataFrame) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
-    """doc_id, a 128-bit hash of the text (two longs), and the band keys."""
+    """doc_id, a 128-bit hash of the text (two longs), the band keys and the total weight."""
 
     def run(batches):
         for b in batches:
             for lo, hi, texts in text_blocks(b, "text", BLOCK_BYTES):
                 digest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(t.encode()) for t in texts), np.int64).reshape(-1, 2)
+                keys, total = band_keys(texts, idf)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").slice(lo, hi - lo), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(band_keys(texts, idf), pa.list_(pa.int64()))],
-                    ["doc_id", "h1", "h2", "bands"],
+                    [b.column("doc_id").slice(lo, hi - lo), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(keys, pa.list_(pa.int64())), pa.array(total)],
+                    ["doc_id", "h1", "h2", "bands", "weight"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, h1 long, h2 long, bands array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, h1 long, h2 long, bands array<long>, weight double")
 
 
-def compare(stars: DataFrame, idf: np.ndarray) -> DataFrame:
-    """(leader, member, similarity) of rows (leader, part, member, text).
+def compare(blocks: DataFrame, idf: np.ndarray) -> DataFrame:
+    """(a, b, similarity), a < b, of rows (home, chunk, part, member, leaders, text).
 
-    The leader's own row comes first in each of its parts; rows stream.
+    The rows of the leaders themselves (``leaders`` is null) come first in each
+    part; rows stream.
     """
 
     def run(batches):
-        leader, vector = None, None
+        part, vectors = None, {}
         for b in batches:
             for lo, hi, texts in text_blocks(b, "text", BLOCK_BYTES):
-                leaders = list(zip(b.column("leader").slice(lo, hi - lo).to_pylist(), b.column("part").slice(lo, hi - lo).to_pylist()))
+                parts = list(zip(*(b.column(c).slice(lo, hi - lo).to_pylist() for c in ("home", "chunk", "part"))))
                 members = b.column("member").slice(lo, hi - lo).to_pylist()
+                leaders = b.column("leaders").slice(lo, hi - lo).to_pylist()
                 first, value, weight = shingles(texts, idf)
                 found = []
-                for i, (key, member) in enumerate(zip(leaders, members)):
+                for i, (key, member, wanted) in enumerate(zip(parts, members, leaders)):
                     own = value[first[i] : first[i + 1]], weight[first[i] : first[i + 1]]
-                    if member == key[0]:
-                        leader, vector = key, own
-                    elif key == leader:
-                        found.append((key[0], member, weighted_jaccard(vector, own)))
+                    if key != part:
+                        part, vectors = key, {}
+                    if wanted is None:
+                        vectors[member] = own[0].copy(), own[1].copy()
+                    else:
+                        found += [(min(x, member), max(x, member), weighted_jaccard(vectors[x], own)) for x in wanted if x in vectors]
                 a = list(zip(*found)) or [(), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(a[0], pa.int64()), pa.array(a[1], pa.int64()), pa.array(a[2], pa.float64())], ["leader", "member", "similarity"])
+                yield pa.RecordBatch.from_arrays([pa.array(a[0], pa.int64()), pa.array(a[1], pa.int64()), pa.array(a[2], pa.float64())], ["a", "b", "similarity"])
 
-    return stars.mapInArrow(run, "leader long, member long, similarity double")
+    return blocks.mapInArrow(run, "a long, b long, similarity double")
 
 
 def verified(edges: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
-    """The similarity of each (leader, member); members' and leaders' texts come from ``texts``."""
-    parts = edges.groupBy("leader").agg(F.ceil(F.count("*") / STAR_PART).cast("int").alias("parts"))
-    own = parts.select("leader", F.col("leader").alias("member"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    rest = edges.join(parts, "leader").select("leader", "member", F.pmod(F.xxhash64("member"), F.col("parts")).cast("int").alias("part"))
+    """The similarity of each (leader, member) of a block (home, chunk); the texts come from ``texts``."""
+    wanted = edges.groupBy("home", "chunk", "member").agg(F.collect_list("leader").alias("leaders"))
+    parts = edges.groupBy("home", "chunk").agg(F.ceil(F.count_distinct("member") / STAR_PART).cast("int").alias("parts"))
+    own = edges.select("home", "chunk", "leader").distinct().join(parts, ["home", "chunk"])
+    own = own.select("home", "chunk", F.col("leader").alias("member"), F.lit(None).cast("array<long>").alias("leaders"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    rest = wanted.join(parts, ["home", "chunk"]).select("home", "chunk", "member", "leaders", F.pmod(F.xxhash64("member"), F.col("parts")).cast("int").alias("part"))
     roles = own.unionByName(rest)
-    stars = roles.join(texts.hint("merge"), roles["member"] == texts["doc_id"]).select("leader", "part", "member", "text")
-    stars = stars.repartition("leader", "part").sortWithinPartitions("leader", "part", F.col("member") != F.col("leader"))
-    return compare(stars, idf)
+    blocks = roles.join(texts.hint("merge"), roles["member"] == texts["doc_id"]).select("home", "chunk", "part", "member", "leaders", "text")
+    blocks = blocks.repartition("home", "chunk", "part").sortWithinPartitions("home", "chunk", "part", F.col("leaders").isNotNull())
+    return compare(blocks, idf)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -253,7 +272,19 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY, rounds: int = ROUNDS) -> DataFrame:
+def unresolved(members: DataFrame) -> DataFrame:
+    """(key, rest) of the buckets that hold two members of different classes which were not compared.
+
+    A member that led a bucket was compared with all others there.  So a bucket is
+    done when all who have not led are in one class; ``rest`` is the class with the
+    most of them, which need not lead once the others have.
+    """
+    classes = members.groupBy("key", "class").agg(F.count(F.when(~F.col("led"), 1)).alias("n"))
+    buckets = classes.groupBy("key").agg(F.max(F.struct("n", "class")).alias("most"), F.sum("n").alias("n"))
+    return buckets.where(F.col("n") > F.col("most.n")).select("key", F.col("most.class").alias("rest"))
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id (the class's smallest doc_id) and n_links of every document.
 
     ``n_links`` counts verified links of the document's text to other texts.
@@ -261,32 +292,60 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     docs = df.select(df[id_col].cast("long").alias("doc_id"), full_text(text_col).alias("text"))
     idf = idf_table(docs)
     signed = stored(signatures(docs, idf), "signatures")
-    groups = stored(signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "texts")
-    band = groups.where(F.col("rep").isNotNull()).select("rep", F.explode("bands").alias("key"))
+    groups = stored(signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.max("weight").alias("weight")), "texts")
+    band = groups.where(F.col("rep").isNotNull()).select("rep", "weight", F.explode("bands").alias("key"))
     shared = band.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     members = stored(band.join(shared, "key"), "buckets")  # only documents that meet another
     texts = members.select(F.col("rep").alias("doc_id")).distinct()
     # merge joins at every size: a broadcast would only do while the candidates are few
     texts = stored(docs.join(texts.hint("merge"), "doc_id"), "candidates")
-    links, done, labels = None, None, None
-    for round_ in range(rounds):
-        rank = F.struct("rep") if round_ == 0 else F.struct(F.xxhash64("rep", F.lit(round_)).alias("h"), "rep")
-        known = members if labels is None else members.join(labels, members["rep"] == labels["node"], "left").select("rep", "key", F.coalesce("label", "rep").alias("class"))
-        if labels is None:
-            known = known.withColumn("class", F.col("rep"))
-        lead = known.groupBy("key").agg(F.min(F.struct(rank.alias("rank"), F.col("rep").alias("leader"), F.col("class").alias("leads"))).alias("first"), F.min("class").alias("lo"), F.max("class").alias("hi"))
-        lead = lead.where("lo < hi").select("key", "first.leader", "first.leads")
-        edges = known.join(lead, "key").where("class <> leads").select("leader", F.col("rep").alias("member")).distinct()
+    # buckets that are not done; every member is a class of its own at first
+    left = members.select("key", "rep", "weight", F.col("rep").alias("class"), F.lit(False).alias("led"), F.lit(None).cast("long").alias("rest"))
+    done, links, labels, round_ = None, None, None, 0
+    while True:
+        most = GROWTH**round_
+        if round_ == 0:
+            lead = left.groupBy("key").agg(F.min(F.struct("rep", "weight", "class")).alias("first")).select("key", "first.*")
+        else:
+            may = left.where(~F.col("led") & (F.lit(round_ < OPEN_ROUNDS) | (F.col("class") != F.col("rest"))))
+            order = Window.partitionBy("key").orderBy(F.xxhash64("rep", F.lit(round_)), "rep")
+            lead = may.withColumn("k", F.row_number().over(order)).where(F.col("k") <= most)
+        lead = stored(lead.select("key", F.col("rep").alias("leader"), F.col("weight").alias("heavy"), F.col("class").alias("leads")), "leaders")
+        blocks = lead.groupBy("leader").agg(F.min("key").alias("home")).withColumn("chunk", F.pmod(F.xxhash64("leader"), F.lit(-(-most // BLOCK_LEADERS))).cast("int"))
+        near = F.least("weight", "heavy") >= (threshold - MARGIN) * F.greatest("weight", "heavy")
+        pairs = left.where(~F.col("led")).join(lead, "key").where((F.col("class") != F.col("leads")) & near)
+        pairs = pairs.groupBy(F.least("leader", "rep").alias("a"), F.greatest("leader", "rep").alias("b")).agg(F.min("leader").alias("leader"))
         if done is not None:
-            seen = done.select(F.col("leader").alias("x"), F.col("member").alias("y"))
-            edges = edges.join(seen, (edges["leader"] == seen["x"]) & (edges["member"] == seen["y"]), "left_anti")
+            pairs = pairs.join(done, ["a", "b"], "left_anti")
+        edges = pairs.select("leader", F.when(F.col("leader") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("member")).join(blocks, "leader")
+        edges = stored(edges, "pairs")
         found = stored(verified(edges, texts, idf), "compared")
-        fresh = found.where(F.col("similarity") >= threshold).select(F.least("leader", "member").alias("a"), F.greatest("leader", "member").alias("b"))
-        if round_ and not fresh.limit(1).count():
-            break
-        done = found if done is None else done.unionByName(found)
+        dropped(edges)
+        seen = found.select("a", "b")
+        done = seen if done is None else done.unionByName(seen)
+        fresh = found.where(F.col("similarity") >= threshold).select("a", "b")
         links = fresh if links is None else links.unionByName(fresh).distinct()
-        labels = components(links)
+        moved = None
+        if labels is None:
+            moved = labels = components(fresh)
+        elif fresh.limit(1).count():
+            at = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
+            between = fresh.join(at("a"), "a", "left").join(at("b"), "b", "left")
+            between = between.select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b")).where("a <> b")
+            moved = components(between)
+            step = moved.select(F.col("node").alias("old"), F.col("label").alias("new"))
+            labels = labels.join(step, labels["label"] == step["old"], "full")
+            labels = stored(labels.select(F.coalesce("node", "old").alias("node"), F.coalesce("new", "label").alias("label")), "labels")
+        now = left.drop("rest")
+        if moved is not None:
+            step = moved.select(F.col("node").alias("class"), F.col("label").alias("new"))
+            now = now.join(step, "class", "left").select("key", "rep", "weight", F.coalesce("new", "class").alias("class"), "led")
+        led = lead.select("key", F.col("leader").alias("rep"), F.lit(True).alias("leads"))
+        now = now.join(led, ["key", "rep"], "left").select("key", "rep", "weight", "class", (F.col("led") | F.coalesce("leads", F.lit(False))).alias("led"))
+        left = stored(now.join(unresolved(now), "key").select("key", "rep", "weight", "class", "led", "rest"), "unresolved")
+        if not left.limit(1).count():
+            break
+        round_ += 1
     degree = links.select("a").union(links.select("b")).groupBy("a").agg(F.count("*").alias("n_links"))
     classes = groups.select("h1", "h2", "rep").join(labels, groups["rep"] == labels["node"], "left").join(degree, groups["rep"] == degree["a"], "left")
     classes = classes.select("h1", "h2", F.coalesce("label", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

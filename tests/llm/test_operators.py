@@ -434,3 +434,17 @@ def test_near_duplicates_documents(spark, docs, texts):
     got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(docs).collect()}
     idf = minhash.idf_table(docs.select("doc_id", "text"))
     assert got == brute_classes(list(texts.items()), idf)
+
+
+def test_near_duplicates_in_hot_buckets(spark):
+    random = np.random.default_rng(12)
+    words = ["".join(random.choice(list("abcdefgh"), 6)) for _ in range(5000)]
+    frame = " ".join(random.choice(words, 400))  # a template: its pages share bands, under 0.8 to each other
+    tail = lambda n: " ".join(random.choice(words, n))
+    tails = [(tail(27), tail(23)) for _ in range(200)]
+    rows = [(i, f"{frame} {a} {b}") for i, (a, b) in enumerate(tails)]
+    rows += [(1000 + i, f"{frame} {tails[i][0]} {tail(23)}") for i in range(0, 200, 10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(df).collect()}
+    want = brute_classes(rows, minhash.idf_table(df))
+    assert got == want and len(set(want.values())) == 200
