@@ -3,9 +3,10 @@
 A page becomes a sequence of words and tags.  Words score positive and tags
 negative, with weights learned from labelled pages: the log-odds that a token
 of its kind lies in the content.  One linear scan finds the contiguous region of
-the largest sum.  What stands in the region but belongs to an element that is
-never content (navigation, notices, adverts, forms, reader comments, ...) is left
-out, and the rest is returned as blocks.
+the largest sum.  It grows to the whole element that holds it (in the body itself,
+to the text elements next to it).  What stands in the region but belongs to an
+element that is never content (navigation, notices, adverts, forms, reader
+comments, ...) costs the scan nothing and is left out; the rest is returned as blocks.
 
 Labels: pages whose markup names the article (``article``, ``main`` or
 ``itemprop=articleBody``).  Those names are the label and never a feature, so the
@@ -61,14 +62,30 @@ NAME_WORD = re.compile(r"[a-z]+")
 SPACE = re.compile(r"\s+")
 
 
+class Element:
+    """An element and what it stands in."""
+
+    __slots__ = ("name", "parent", "depth")
+
+    def __init__(self, name, parent):
+        self.name, self.parent, self.depth = name, parent, parent.depth + 1 if parent else 0
+
+    def at_depth(self, depth: int) -> Element:
+        """The element that holds this one (or is it) at ``depth``, or this one if it is not so deep."""
+        x = self
+        while x.depth > depth:
+            x = x.parent
+        return x
+
+
 class Segment:
-    """A run of text, or a tag, with what it stands in."""
+    """A run of text, or a tag, with what it stands in (a tag stands in its own element)."""
 
-    __slots__ = ("text", "words", "tag", "kind", "block", "inside", "never", "linked")
+    __slots__ = ("text", "words", "tag", "kind", "block", "inside", "never", "linked", "element")
 
-    def __init__(self, text, words, tag, kind, block, inside, never, linked):
+    def __init__(self, text, words, tag, kind, block, inside, never, linked, element):
         self.text, self.words, self.tag, self.kind = text, words, tag, kind
-        self.block, self.inside, self.never, self.linked = block, inside, never, linked
+        self.block, self.inside, self.never, self.linked, self.element = block, inside, never, linked, element
 
 
 def _never(name: str, attributes: str) -> bool:
@@ -96,8 +113,8 @@ def _is_label(name: str, attributes: str) -> bool:
 def segments(page: str) -> list[Segment]:
     """The page's text runs and tags, in order."""
     out: list[Segment] = []
-    # open elements: name, never-content, labelled, linked, text kind
-    stack: list[tuple[str, bool, bool, bool, str]] = [("", False, False, False, "none")]
+    # open elements: name, never-content, labelled, linked, text kind, element
+    stack: list[tuple[str, bool, bool, bool, str, Element]] = [("", False, False, False, "none", Element("", None))]
     block, raw_until, pos, end = 0, None, 0, len(page)
     while pos < end:
         if raw_until:
@@ -112,8 +129,8 @@ def segments(page: str) -> list[Segment]:
             if raw.startswith(("<!", "<?")):
                 continue
             text = html.unescape(raw) if "&" in raw else raw
-            _, never, inside, linked, kind = stack[-1]
-            out.append(Segment(text, len(text.split()), "", kind, block, inside, never, linked))
+            _, never, inside, linked, kind, element = stack[-1]
+            out.append(Segment(text, len(text.split()), "", kind, block, inside, never, linked, element))
             continue
         name, closing = name.lower(), bool(m[1])
         attributes = m[3] or ""
@@ -123,8 +140,8 @@ def segments(page: str) -> list[Segment]:
             if any(x[0] == name for x in stack[1:]):
                 while stack[-1][0] != name:
                     stack.pop()
-                _, never, inside, linked, _ = stack.pop()
-                out.append(Segment(" " if name in ("td", "th") else "", 0, "/" + name, "", block, inside, never, linked))
+                _, never, inside, linked, _, element = stack.pop()
+                out.append(Segment(" " if name in ("td", "th") else "", 0, "/" + name, "", block, inside, never, linked, element))
             continue
         if name in CLOSES_P:  # an open paragraph ends where a block begins
             for i in range(len(stack) - 1, 0, -1):
@@ -136,20 +153,21 @@ def segments(page: str) -> list[Segment]:
         if name in ("li", "dt", "dd", "tr", "td", "th", "option"):
             if stack[-1][0] == name or (name in ("dt", "dd") and stack[-1][0] in ("dt", "dd")):
                 stack.pop()
-        _, never, inside, linked, kind = stack[-1]
+        _, never, inside, linked, kind, parent = stack[-1]
         never = never or _never(name, attributes)
+        element = Element(name, parent)
         if name in RAW and not attributes.rstrip().endswith("/"):
             raw_until = name
-            out.append(Segment("", 0, name, "", block, inside, True, linked))
+            out.append(Segment("", 0, name, "", block, inside, True, linked, element))
             # the title stands in the head; nothing in it is page text
-            stack.append((name, True, inside, linked, "raw"))
+            stack.append((name, True, inside, linked, "raw", element))
             continue
         inside = inside or _is_label(name, attributes)
         linked = linked or name == "a"
         kind = name if name in BLOCKS else kind
-        out.append(Segment(" " if name == "br" else "", 0, name, "", block, inside, never, linked))
+        out.append(Segment(" " if name == "br" else "", 0, name, "", block, inside, never, linked, element))
         if name not in VOID:
-            stack.append((name, never, inside, linked, kind))
+            stack.append((name, never, inside, linked, kind, element))
     return out
 
 
@@ -181,9 +199,6 @@ def count_page(page: str) -> Counter | None:
     return counts
 
 
-#: What tags and words of never-content elements cost a region at most.
-NEVER_TAG, NEVER_WORD = -0.3, -0.02
-
 #: A prior in counts: plain words are content, links and never-elements are not.
 PRIOR_WORDS = 4.0
 
@@ -223,6 +238,72 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return best_at
 
 
+PAGE_LEVEL = ("", "html", "body")
+
+
+def container(element: Element) -> Element:
+    """The innermost element around ``element``, or it, that is not made for running text itself."""
+    while element.parent and element.name in TEXT_TAGS and element.name not in ("td", "th"):
+        element = element.parent
+    return element
+
+
+def common_element(a: Element, b: Element) -> Element:
+    """The innermost element that holds both."""
+    depth = min(a.depth, b.depth)
+    a, b = a.at_depth(depth), b.at_depth(depth)
+    while a is not b:
+        a, b = a.parent, b.parent
+    return a
+
+
+def whole_container(found: list[Segment], lo: int, hi: int) -> tuple[int, int]:
+    """The region [lo, hi) grown to the element that holds it, and to those that hold its ends.
+
+    The body (or a page without one) holds more than an article: there a region
+    grows over text and text elements, up to the next other element or list of links.
+    """
+    ends = [s.element for s in found[lo:hi] if s.words and not s.never]
+    around = ends[0]
+    for element in ends[1:]:
+        if element is not around:
+            around = common_element(around, element)
+    around = container(around)
+    for box in (container(ends[0]), container(ends[-1]), around):
+        if box.name in PAGE_LEVEL:
+            continue
+        while lo and found[lo - 1].element.at_depth(box.depth) is box:
+            lo -= 1
+        while hi < len(found) and found[hi].element.at_depth(box.depth) is box:
+            hi += 1
+    if around.name not in PAGE_LEVEL:
+        return lo, hi
+    grown = []
+    for at, end, step in ((lo - 1, -1, -1), (hi, len(found), 1)):
+        edge = at
+        while at != end and found[at].element.at_depth(around.depth) is around:
+            s = found[at]
+            if s.element is around:
+                if s.tag:
+                    break
+                at += step
+                edge = at if s.words else edge
+                continue
+            child, words, linked, never = s.element.at_depth(around.depth + 1), 0, 0, True
+            while at != end and found[at].element.at_depth(around.depth + 1) is child:
+                s = found[at]
+                if not s.never:
+                    never, words, linked = False, words + s.words, linked + s.words * s.linked
+                at += step
+            if never:
+                continue
+            if child.name not in TEXT_TAGS or linked * 2 > words:
+                break
+            edge = at
+        grown.append(edge)
+    return grown[0] + 1, grown[1]
+
+
 def main_text(page: str | None, weights: dict[str, float]) -> str:
     """The main text of a page: its blocks joined by an empty line."""
     if not page:
@@ -234,12 +315,13 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
         w = weights.get(key)
         if w is None:
             w = default_weight(key)
-        if s.never:  # left out anyway: it costs a little, so that a region can go on after it
-            w = max(w, NEVER_TAG if s.tag else NEVER_WORD)
+        if s.never:  # left out anyway: a region goes on after it
+            w = 0.0
         scores.append(w if s.tag else w * s.words)
     lo, hi = best_region(scores)
     if lo == hi:
         return ""
+    lo, hi = whole_container(found, lo, hi)
     # a region ends inside no block: the rest of its first and last block belongs to it
     first, last = found[lo].block, found[hi - 1].block
     while lo and found[lo - 1].block == first:

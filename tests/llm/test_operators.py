@@ -59,6 +59,21 @@ def test_html_page():
     assert got == ["Head­line", "First paragraph of some words that are long enough <here>.", "Second one has bold words, and enough of them.", "Third paragraph ends the story with some more words."]
 
 
+def test_html_article_keeps_its_ends():
+    lead, last = "A lead of a few plain words stands here.", "And a last sentence of a few words ends it."
+    long = "word " * 300
+    links = "".join(f"<li><a href=#{i}>Part {i}</a></li>" for i in range(60))
+    for box in (f'<nav><ul>{links}</ul></nav>', f'<div class="related"><ul>{links}</ul></div>'):
+        page = f"<body><div><h2>Title</h2><p>{lead}</p>{box}<p>{long}</p>{box}<p>{last}</p></div><div>Other</div></body>"
+        assert html_main.main_text(page, {}).split("\n\n") == ["Title", lead, long.strip(), last]
+    items = [f"item{i}" for i in range(30)]
+    listed = "<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>"
+    tabled = "<table>" + "".join(f"<tr><td>{x}</td></tr>" for x in items) + "</table>"
+    for end in (listed, tabled):
+        for page in (f"<body><div>{long}</div>\n<div><p>{long}</p>\n{end}</div></body>", f"<body>\n<p>{long}</p>\n{end}\n<div>Other</div></body>"):
+            assert html_main.main_text(page, {}).split("\n\n")[-30:] == items
+
+
 def test_html_scan_is_the_best_region():
     random = np.random.default_rng(3)
     for _ in range(50):
