@@ -98,8 +98,13 @@ def fold(id_col: Column, modulus: int) -> Column:
 
 
 def labelled_sample(rows: DataFrame, labels: DataFrame, label: str, held: Column, limit: int) -> DataFrame:
-    """At most ``limit`` rows with a label that may be learned from, of the smallest id hash."""
+    """At most ``limit`` of the rows that have a label that may be learned from, of the smallest id hash.
+
+    Labels of documents that ``rows`` does not hold do not count towards the limit.
+    """
     usable = labels.select(labels["doc_id"].alias("k"), labels[label].cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("k").isNotNull() & ~held)
+    there = rows.select(rows["doc_id"].alias("there"))
+    usable = usable.join(there, usable["k"] == there["there"], "left_semi")
     picked = usable.orderBy(F.xxhash64("k"), "k", "y").limit(limit)
     return rows.join(F.broadcast(picked), rows["doc_id"] == picked["k"]).drop("k")  # bounded by limit
 

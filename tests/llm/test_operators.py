@@ -214,6 +214,13 @@ def test_classifiers_edges(spark, odd):
         assert run(odd.limit(0), labels).count() == 0 and run(odd, labels.limit(0)).count() == len(TEXTS)
 
 
+def test_sample_counts_only_documents_that_are_there(spark):
+    labels = spark.range(100).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"))
+    rows = spark.range(60, 100).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
+    got = quality.labelled_sample(rows, labels, "quality", F.col("k") % 10 == 0, 30).collect()
+    assert len(got) == 30 and all(r["doc_id"] >= 60 and r["doc_id"] % 10 and r["y"] == r["doc_id"] % 2 for r in got)
+
+
 def test_folds(spark, docs):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     for run, k, fold in ((toxicity.toxicity_scores, 5, 0), (quality.quality_scores, 3, 1)):
