@@ -19,7 +19,9 @@ table gives no rows.
 from __future__ import annotations
 
 import bisect
+import json
 import re
+import string
 import unicodedata
 import zlib
 from dataclasses import dataclass
@@ -34,6 +36,8 @@ from .common import few_collections, full_text, single_thread, stored, table, te
 SEQUENCE = 2048
 END_ID = 0
 ROUNDS = 300
+#: Configurations that a round takes from one table of prices.
+PRICED = 32
 #: Pieces of a length class that are ranked together, and groups of a class at most.
 RANK_GROUP, MOST_GROUPS = 400, 4096
 CACHE_CHUNKS = 250_000
@@ -41,14 +45,29 @@ BLOCK_BYTES = 2_000_000
 
 # White space and cases on which Python and the tokenizer's own rules differ.
 # The sign stands between chunks that are encoded together; it must be one token.
-_SIGN, _JOINED = "\u00d7", 500
+_SIGN, _JOINED, _TOGETHER = "\u00d7", 500, 4000
 _ODD = re.compile(f"[\x1c-\x1fΣ{_SIGN}]")
+#: Letters below it are letters in every version of Unicode that a library may hold.
+_PLAIN_BELOW = "\u0250"
+
+
+def byte_letters() -> dict[int, str]:
+    """Every plain letter as the letters of its UTF-8 bytes, by the byte-level rule.
+
+    Printable bytes stand for themselves, the others for letters from 256 on.
+    """
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in shown)}
+    return {c: "".join(chr(others.get(b, b)) for b in chr(c).encode()) for c in range(128, ord(_PLAIN_BELOW))}
 
 
 class ChunkTokenizer:
     """The tokenizer, run once for every distinct chunk between white space.
 
-    The vocabulary drops white space, so a text's ids are its chunks' ids.
+    The vocabulary drops white space, so a text's ids are its chunks' ids.  Most
+    chunks are a word of plain letters with punctuation at its end: those two
+    are what the tokenizer's own pattern would find, so words go straight to its
+    merges, many at a time, and the ids that end a word tell them apart.
     """
 
     def __init__(self, path: str):
@@ -61,9 +80,39 @@ class ChunkTokenizer:
         if len(sign) != 1:
             raise ValueError("the separating sign is not one token of this vocabulary")
         self.sign = sign[0]
+        rules = json.loads(self.tokenizer.to_str())
+        suffix = rules["model"].get("end_of_word_suffix")
+        if not suffix:
+            raise ValueError("this vocabulary does not mark the ends of words")
+        self.merges = Tokenizer.from_str(json.dumps(rules | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}))
+        self.ends = np.zeros(max(rules["model"]["vocab"].values()) + 1, bool)
+        self.ends[[i for t, i in rules["model"]["vocab"].items() if t.endswith(suffix)]] = True
+        self.letters = byte_letters()
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
+    def _whole(self, chunks: list[str], out: dict[str, bytes]) -> None:
+        """Ids of chunks by all the tokenizer's rules."""
+        for lo in range(0, len(chunks), _JOINED):
+            part = chunks[lo : lo + _JOINED]
+            ids = np.array(self.tokenizer.encode_batch_fast([f"\n{_SIGN}\n".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            raw, ends = ids.tobytes(), (np.flatnonzero(ids == self.sign) * 4).tolist()
+            for c, a, b in zip(part, [0, *[x + 4 for x in ends]], [*ends, len(raw)]):
+                out[c] = raw[a:b]
+
+    def _words(self, words: list[str], out: dict[str, bytes]) -> None:
+        """Ids of words of plain letters by the merges alone."""
+        for lo in range(0, len(words), _TOGETHER):
+            part = words[lo : lo + _TOGETHER]
+            joined = " ".join(part)
+            if not joined.isascii():
+                joined = joined.translate(self.letters)
+            ids = np.array(self.merges.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+            raw, ends = ids.tobytes(), ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+            starts = [0, *ends]
+            starts.pop()
+            out.update(zip(part, map(raw.__getitem__, map(slice, starts, ends)), strict=True))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of every text as little-endian unsigned 32-bit integers."""
         if len(self.cache) > CACHE_CHUNKS:
@@ -77,29 +126,24 @@ class ChunkTokenizer:
             if not t.isascii() and not unicodedata.is_normalized("NFC", t):
                 t = unicodedata.normalize("NFC", t)
             cut.append(t.lower().split())
-        unseen = {c for chunks in cut if chunks for c in chunks if c not in cache}
-        new = []
-        for c in unseen:
+        parts, whole, words, punctuation = [], set(), set(), string.punctuation
+        for c in set().union(*filter(None, cut)).difference(cache):
             known = older.get(c)
-            if known is None:
-                new.append(c)
-            else:
+            if known is not None:
                 cache[c] = known
-        ended = []  # a word with one sign at its end is the word's ids and the sign's
-        for i, c in enumerate(new):
-            if c[-1] in ".," and c[:-1].isalpha():
-                ended.append(c)
-                new[i] = c[:-1]
-        if ended:
-            new = list({c for c in (*new, ".", ",") if c not in cache})
-        for lo in range(0, len(new), _JOINED):
-            part = new[lo : lo + _JOINED]
-            ids = np.array(self.tokenizer.encode_batch_fast([f"\n{_SIGN}\n".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            raw, ends = ids.tobytes(), (np.flatnonzero(ids == self.sign) * 4).tolist()
-            for c, a, b in zip(part, [0, *[x + 4 for x in ends]], [*ends, len(raw)]):
-                cache[c] = raw[a:b]
-        for c in ended:
-            cache[c] = cache[c[:-1]] + cache[c[-1]]
+                continue
+            word = c.rstrip(punctuation)
+            if word.isalpha() and (word.isascii() or max(word) < _PLAIN_BELOW):
+                words.add(word)
+                if len(word) < len(c):
+                    parts.append((c, word, c[len(word) :]))
+                    whole.add(c[len(word) :])
+            else:
+                whole.add(c)
+        self._words([w for w in words if w not in cache], cache)
+        self._whole([c for c in whole if c not in cache], cache)
+        for c, word, rest in parts:
+            cache[c] = cache[word] + cache[rest]
         get = cache.__getitem__
         return [
             b"".join(map(get, chunks)) if chunks is not None else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
@@ -150,88 +194,82 @@ def cut_pieces(df: DataFrame, path: str | None = None, size: int = SEQUENCE, id_
 Config = dict[int, int]  # length -> copies in one sequence
 
 
-def knapsack(lengths: np.ndarray, price: np.ndarray, size: int) -> Config:
-    """The configuration of the largest price that fits a sequence (copies unbounded)."""
-    best = np.zeros(size + 1)
-    choice = np.full(size + 1, -1)
-    order = np.argsort(lengths)
-    sizes, prices = lengths[order], price[order]
-    fits = np.searchsorted(sizes, np.arange(size + 1), "right")
-    for c in range(1, size + 1):
-        best[c] = best[c - 1]
-        n = fits[c]
-        if n:
-            gain = best[c - sizes[:n]] + prices[:n]
-            k = int(gain.argmax())
-            if gain[k] > best[c]:
-                best[c], choice[c] = gain[k], k
-    out: Config = {}
-    c = size
-    while c > 0:
-        if choice[c] < 0:
-            c -= 1
-        else:
-            s = int(sizes[choice[c]])
-            out[s] = out.get(s, 0) + 1
-            c -= s
-    return out
+class Knapsack:
+    """The largest price of every room up to a sequence (copies unbounded), and what reaches it."""
+
+    def __init__(self, lengths: np.ndarray, price: np.ndarray, size: int):
+        self.lengths, self.price = lengths, price  # lengths ascend
+        self.best, self.choice = np.zeros(size + 1), np.full(size + 1, -1)
+        fits = np.searchsorted(lengths, np.arange(size + 1), "right")
+        for c in range(1, size + 1):
+            self.best[c] = self.best[c - 1]
+            n = fits[c]
+            if n:
+                gain = self.best[c - lengths[:n]] + price[:n]
+                k = int(gain.argmax())
+                if gain[k] > self.best[c]:
+                    self.best[c], self.choice[c] = gain[k], k
+
+    def through(self, s: int) -> Config:
+        """The configuration of the largest price that holds length ``s``."""
+        out, room = {s: 1}, len(self.best) - 1 - s
+        while room > 0:
+            if self.choice[room] < 0:
+                room -= 1
+            else:
+                n = int(self.lengths[self.choice[room]])
+                out[n] = out.get(n, 0) + 1
+                room -= n
+        return out
+
+    def dearest(self, most: int) -> list[Config]:
+        """The dearest configuration through each of ``most`` lengths, the dearest of all first."""
+        worth = self.price + self.best[len(self.best) - 1 - self.lengths]
+        top = np.argsort(-worth, kind="stable")[:most]
+        return [self.through(int(self.lengths[i])) for i in top]
 
 
 def solve(lengths: np.ndarray, counts: np.ndarray, size: int, rounds: int = ROUNDS) -> list[tuple[float, Config]]:
-    """A fractional cover of all classes by configurations, by multiplicative weights."""
-    total = float(lengths @ counts)
-    bound = max(total / size, 1e-9)
-    step = bound / rounds
+    """A fractional cover by configurations, by multiplicative weights; every class is covered fully."""
+    bound = float(lengths @ counts) / size
+    step = bound / rounds / PRICED
     covered = np.zeros(len(lengths))
     at = {int(s): i for i, s in enumerate(lengths)}
     found: dict[tuple, float] = {}
+
+    def use(config: Config, most: float) -> None:
+        """Takes ``config`` up to ``most`` times, as long as it covers no class beyond what there is."""
+        x = min(most, *((1 - covered[at[s]]) * counts[at[s]] / n for s, n in config.items()))
+        if x > 0:
+            key = tuple(sorted(config.items()))
+            found[key] = found.get(key, 0.0) + x
+            for s, n in config.items():
+                i = at[s]
+                covered[i] += x * n / counts[i]
+                if covered[i] > 1 - 1e-9:
+                    covered[i] = 1.0
+
     # a class's price: its share of a sequence, cheaper the more of it is covered
     rate = 5 * np.log(len(lengths) + 1)
     for k in range(rounds):
-        # the product of all updates so far, against a class that was covered evenly
         price = lengths / size * np.exp(-np.clip(rate * (covered - k / rounds), -40, 40))
-        price[covered >= 1] = 0
-        if not price.any():
+        there = covered < 1
+        if not there.any():
             break
-        config = knapsack(lengths[price > 0], price[price > 0], size)
-        if not config:
-            break
-        key = tuple(sorted(config.items()))
-        found[key] = found.get(key, 0.0) + step
-        for s, n in config.items():
-            covered[at[s]] += step * n / counts[at[s]]
+        for config in Knapsack(lengths[there], price[there], size).dearest(PRICED):
+            use(config, step)
+    while (covered < 1).any():  # what the rounds have left: each configuration covers a class to its end
+        there = covered < 1
+        for config in Knapsack(lengths[there], lengths[there] / size, size).dearest(int(there.sum())):
+            use(config, np.inf)
     return [(x, dict(key)) for key, x in sorted(found.items(), key=lambda kv: (-kv[1], kv[0]))]
 
 
-def pack_histogram(histogram: dict[int, int], size: int = SEQUENCE, rounds: int = ROUNDS) -> list[tuple[int, Config]]:
-    """How many sequences of which configuration hold exactly the histogram."""
-    left = {int(s): int(n) for s, n in histogram.items() if n}
-    plan: list[tuple[int, Config]] = []
-    if left.get(size):
-        plan.append((left.pop(size), {size: 1}))
-    if not left:
-        return plan
-
-    def use(config: Config, most: int | None = None) -> None:
-        m = min(left.get(s, 0) // n for s, n in config.items())
-        m = m if most is None else min(m, most)
-        if m > 0:
-            plan.append((m, config))
-            for s, n in config.items():
-                left[s] -= m * n
-                if not left[s]:
-                    del left[s]
-
-    lengths = np.array(sorted(left), np.int64)
-    counts = np.array([left[int(s)] for s in lengths], np.float64)
-    fractional = solve(lengths, counts, size, rounds)
-    for x, config in fractional:  # rounded down, never beyond what there is
-        use(config, int(x))
-    for x, config in sorted(fractional, key=lambda c: -(c[0] % 1)):  # then the fractions, fullest first
-        if x % 1 >= 0.5 and sum(s * n for s, n in config.items()) == size:
-            use(config, 1)
+def best_fit(left: dict[int, int], size: int) -> list[tuple[int, Config]]:
+    """All of ``left`` in sequences, the longest piece first and then the longest that still fits."""
+    left, out = dict(left), []
     there = sorted(left)
-    while left:  # what is left: best fit, the longest first
+    while left:
         there = [s for s in there if s in left]
         room, config = size, {}
         while room > 0:
@@ -243,8 +281,64 @@ def pack_histogram(histogram: dict[int, int], size: int = SEQUENCE, rounds: int
             s = there[i - 1]
             config[s] = config.get(s, 0) + 1
             room -= s
-        use(config)
-    return plan
+        m = min(left[s] // n for s, n in config.items())
+        out.append((m, config))
+        _take(left, config, m)
+    return out
+
+
+def _take(left: dict[int, int], config: Config, m: int) -> None:
+    for s, n in config.items():
+        left[s] -= m * n
+        if not left[s]:
+            del left[s]
+
+
+def rounded(fractional: list[tuple[float, Config]], left: dict[int, int], size: int) -> list[tuple[int, Config]]:
+    """Whole numbers of configurations within ``left``, fuller ones first.
+
+    A configuration hands on what rounding cut off, so the sum stays that of the
+    program as far as there are pieces.
+    """
+    out, owed, left = [], 0.0, dict(left)
+    fill = lambda config: sum(s * n for s, n in config.items())
+    for x, config in sorted(fractional, key=lambda c: (-fill(c[1]), -c[0])):
+        owed += x
+        m = min(int(owed + 1e-9), min(left.get(s, 0) // n for s, n in config.items()))
+        if m > 0:
+            out.append((m, config))
+            _take(left, config, m)
+            owed -= m
+    return out
+
+
+def pack_histogram(histogram: dict[int, int], size: int = SEQUENCE, rounds: int = ROUNDS) -> list[tuple[int, Config]]:
+    """How many sequences of which configuration hold exactly the histogram.
+
+    The program's rounded configurations come first and best fit packs what they
+    leave.  Where that needs more sequences than the program's value rounded up,
+    the least full configurations are taken back, an eighth of them each time, so that
+    best fit has more to combine.
+    """
+    left = {int(s): int(n) for s, n in histogram.items() if n}
+    whole = [(left.pop(size), {size: 1})] if left.get(size) else []
+    if not left:
+        return whole
+    lengths = np.array(sorted(left), np.int64)
+    fractional = solve(lengths, np.array([left[int(s)] for s in lengths], np.float64), size, rounds)
+    enough = -(-int(lengths @ [left[int(s)] for s in lengths]) // size)
+    chosen, best = rounded(fractional, left, size), None
+    while True:
+        rest = dict(left)
+        for m, config in chosen:
+            _take(rest, config, m)
+        plan = chosen + best_fit(rest, size)
+        n = sum(m for m, _ in plan)
+        if best is None or n < best[0]:
+            best = n, plan
+        if n <= enough or not chosen:
+            return whole + best[1]
+        chosen = chosen[: len(chosen) - -(-len(chosen) // 8)]
 
 
 @dataclass
