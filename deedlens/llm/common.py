@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import os
+import re
 import tempfile
 import uuid
 
@@ -22,10 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (single-JVM tests) a local one is set.
+    Only a session whose executors are threads of the driver, as in tests, may leave
+    it out: a temporary one is set there.  On a cluster that is an error.
     """
     there = spark.conf.get("spark.checkpoint.dir", None)
     if not there:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         there = "file://" + tempfile.mkdtemp(prefix="deedlens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", there)
     return there
@@ -54,6 +58,26 @@ def dropped(df: DataFrame) -> None:
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: A key is joined by broadcast if it holds over one in so many rows: fewer than so many keys can.
+HOT_SHARE = 1000
+
+
+def join_split(rows: DataFrame, values: DataFrame, keys: list[str], how: str = "inner", keep: list[str] | None = None) -> DataFrame:
+    """``rows`` joined with ``values``, one row a key, whose ``n`` counts the rows of each key.
+
+    Keys of over a thousandth of all those rows are broadcast, others are shuffled,
+    so that no task gets more than that share of one key.  ``n`` is dropped unless kept.
+    """
+    drop = [] if keep and "n" in keep else ["n"]
+    total = values.agg(F.sum("n")).first()[0] or 0
+    least = max(total // HOT_SHARE, 1_000)
+    hot = values.where(F.col("n") > least)
+    if not hot.limit(1).count():
+        return rows.join(values, keys, how).drop(*drop)
+    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(values.where(F.col("n") <= least), keys, how)
+    return rows.join(F.broadcast(hot), keys).unionByName(cold).drop(*drop)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner drop the shuffle files of finished stages."""
     gc.collect()
@@ -80,7 +104,7 @@ def full_text(col: str = "text"):
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
-def text_blocks(batch: pa.RecordBatch, name: str, most: int):
+def text_blocks(batch: pa.RecordBatch, name: str | int, most: int):
     """(from, to, texts) of row ranges of about ``most`` bytes together.
 
     Only one range's Python strings exist at a time.

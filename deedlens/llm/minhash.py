@@ -1,26 +1,29 @@
 """Near-duplicate classes by improved consistent weighted sampling.
 
 A document is a weighted set of five-word shingles: a shingle's weight is its
-count times the mean inverse document frequency of its words.  Document
-frequencies are counted over all documents, in ``IDF_BUCKETS`` hash buckets, so
-the table has a fixed size.  Improved consistent weighted sampling draws
-``BANDS * ROWS`` samples; two documents agree in a sample with the probability of
-their weighted Jaccard similarity.  Samples are banded; documents that share a
-band meet in a bucket.
-
-Copies of one text are one representative.  In every bucket the members are
-compared with leaders, by the exact weighted Jaccard similarity of whole texts.
-A bucket whose members are still in several classes gets leaders that have not
-led it yet, in each round ``GROWTH`` times as many, until every two members are in
-one class or were compared.  Pairs whose total weights alone rule out the
-similarity are not compared.  A member's text is sent once for a block of leaders;
-large blocks are split over tasks with copies of the leaders' texts; links become
-classes by label propagation in DataFrames.
+count times its inverse document frequency.  Document frequencies of shingles are
+counted over all documents, in ``IDF_BUCKETS`` hash buckets, so the table has a
+fixed size.  Improved consistent weighted sampling draws ``BANDS * ROWS`` samples;
+two documents agree in a sample with the probability of their weighted Jaccard
+similarity.  Samples are banded; documents that share a band meet in a bucket.
+
+Copies of one text are one representative.  Every bucket's members are first
+compared with its smallest document, by the weighted Jaccard similarity of whole
+texts; links become classes by label propagation in DataFrames.  Buckets that then
+still hold several classes are cut into blocks of bounded size, and tasks compare
+two blocks at a time by products of shingle matrices: every two members of
+different classes, in the first band they share.  A large class has blocks of its
+own, which are not compared with each other.  A task returns only links that join
+classes, and no more than tie its members together.  So every two members of a
+bucket end in one class or were compared, and no row is made for a pair.
+
+Keys that hold over a thousandth of all rows are joined by broadcast (there are
+fewer than a thousand), so no task gets a larger share of one key.
 
 Edge cases: a null text is empty; texts of fewer than five words are one shingle,
-empty texts are copies of each other; rows that repeat a doc_id count as one
-document; a row without doc_id takes the class of its text's copies, or none;
-extra columns are ignored; an empty table gives no rows.
+empty texts are copies of each other; rows that repeat a doc_id are one document,
+which has the links of all its texts; a row without doc_id takes the class of its
+text's copies, or none; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,25 +31,24 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, full_text, stored, table, text_blocks
+from .common import dropped, full_text, join_split, stored, table, text_blocks
 
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 14, 3
 IDF_BUCKETS = 1 << 16
-#: First rounds, whose leaders may come from any class; later ones leave out the class with the most members that have not led.
-OPEN_ROUNDS = 3
-#: Leaders of a bucket in a round, as a multiple of the round before.
-GROWTH = 4
-#: Leaders of a block, which a task compares with the same members.
-BLOCK_LEADERS = 16
-#: Members of a block that one task compares with its leaders.
+#: Members that one task compares with a leader.
 STAR_PART = 64
+#: Size of a block: one for each member and one for each so many of its weight.
+BLOCK_UNITS, UNIT_WEIGHT = 512, 1000.0
+#: Columns of a shingle matrix.
+COLUMNS = 2048
 #: Above rounding errors of sums of weights.
 MARGIN = 1e-6
+ROUNDING = 1e-9
 BLOCK_BYTES = 1_000_000
 
 _MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -70,36 +72,38 @@ def hashed_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter((h(w) for w in words), np.uint64, len(words)), np.array(counts, np.int64)
 
 
-def shingles(texts: list[str], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first, hash, weight): distinct shingles of each text, ascending by hash.
-
-    Text ``i`` has the shingles from ``first[i]`` to ``first[i + 1]``.
-    """
+def shingle_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, hash) of all shingles of the texts, in order."""
     words, counts = hashed_words(texts)
     ends = np.cumsum(counts)
-    starts = ends - counts
-    # a text shorter than a shingle is padded to one with zeros
+    # a text shorter than a shingle is padded to one with numbers
     n = np.where(counts == 0, 0, np.maximum(counts - WORDS + 1, 1))
     owner = np.repeat(np.arange(len(texts)), n)
-    at = np.repeat(starts, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    inside = ends[owner]
-    value, weight, used = np.zeros(len(at), np.uint64), np.zeros(len(at)), np.zeros(len(at))
-    per_word = idf[(words & np.uint64(IDF_BUCKETS - 1)).astype(np.int64)] if len(words) else np.zeros(0)
+    if not len(words):
+        return owner, np.zeros(0, np.uint64)
+    at = np.repeat(ends - counts, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    inside, value = ends[owner], np.zeros(len(at), np.uint64)
     for k in range(WORDS):
         there = at + k < inside
-        i = np.where(there, at + k, 0)
-        value = mixed(value + _MIX[0]) + np.where(there, words[i] * _MIX[k], np.uint64(k)) if len(words) else value
-        weight += np.where(there, per_word[i], 0) if len(words) else 0
-        used += there
-    value, weight = mixed(value), weight / np.maximum(used, 1)
+        value = mixed(value + _MIX[0]) + np.where(there, words[np.where(there, at + k, 0)] * _MIX[k], np.uint64(k))
+    return owner, mixed(value)
+
+
+def shingles(texts: list[str], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, hash, weight): distinct shingles of each text, ascending by hash.
+
+    Text ``i`` has the shingles from ``first[i]`` to ``first[i + 1]``.
+    """
+    owner, value = shingle_hashes(texts)
     order = np.lexsort((value, owner))
-    value, owner, weight = value[order], owner[order], weight[order]
+    value, owner = value[order], owner[order]
     new = np.ones(len(value), bool)
     new[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
     begin = np.flatnonzero(new)
     times = np.diff(np.append(begin, len(value)))
-    first = np.concatenate([[0], np.cumsum(np.bincount(owner[begin], minlength=len(texts)))]) if len(begin) else np.zeros(len(texts) + 1, np.int64)
-    return first, value[begin], weight[begin] * times
+    first = np.concatenate([[0], np.cumsum(np.bincount(owner[begin], minlength=len(texts)))]).astype(np.int64)
+    value = value[begin]
+    return first, value, idf[(value & np.uint64(IDF_BUCKETS - 1)).astype(np.int64)] * times
 
 
 def _gamma_quantiles(n: int = 1 << 15) -> np.ndarray:
@@ -165,15 +169,15 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
 
 
 def idf_table(docs: DataFrame) -> np.ndarray:
-    """Inverse document frequencies of the word buckets, over all documents."""
+    """Inverse document frequencies of the shingle buckets, over all documents."""
 
     def count(batches):
         total, n = np.zeros(IDF_BUCKETS, np.int64), 0
         for b in batches:
-            for _, _, texts in text_blocks(b, "text", BLOCK_BYTES * 4):
-                words, counts = hashed_words(texts)
-                owner = np.repeat(np.arange(len(texts), dtype=np.uint64), counts)
-                pairs = np.unique(owner << np.uint64(16) | (words & np.uint64(IDF_BUCKETS - 1)))
+            for _, _, texts in text_blocks(b, "text", BLOCK_BYTES):
+                owner, value = shingle_hashes(texts)
+                pairs = np.sort(owner.astype(np.uint64) << np.uint64(16) | (value & np.uint64(IDF_BUCKETS - 1)))
+                pairs = pairs[np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1]))] if len(pairs) else pairs
                 total += np.bincount((pairs & np.uint64(IDF_BUCKETS - 1)).astype(np.int64), minlength=IDF_BUCKETS)
                 n += len(texts)
         used = np.flatnonzero(total)
@@ -187,67 +191,169 @@ def idf_table(docs: DataFrame) -> np.ndarray:
             documents = r["n"]
         else:
             frequency[r["bucket"]] = r["n"]
-    # smoothed to between 1 and 2: a rare word weighs at most twice what the commonest does
+    # smoothed to between 1 and 2: a rare shingle weighs at most twice what the commonest does
     return 1 + np.log((documents + 1) / (frequency + 1)) / np.log(documents + 2)
 
 
 def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
-    """doc_id, a 128-bit hash of the text (two longs), the band keys and the total weight."""
+    """doc_id, h (a digest of the text), the band keys and the total weight."""
 
     def run(batches):
         for b in batches:
             for lo, hi, texts in text_blocks(b, "text", BLOCK_BYTES):
-                digest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(t.encode()) for t in texts), np.int64).reshape(-1, 2)
                 keys, total = band_keys(texts, idf)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").slice(lo, hi - lo), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(keys, pa.list_(pa.int64())), pa.array(total)],
-                    ["doc_id", "h1", "h2", "bands", "weight"],
+                    [b.column("doc_id").slice(lo, hi - lo), b.column("h").slice(lo, hi - lo), pa.array(keys, pa.list_(pa.int64())), pa.array(total)],
+                    ["doc_id", "h", "bands", "weight"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, h1 long, h2 long, bands array<long>, weight double")
+    return docs.select("doc_id", "h", "text").mapInArrow(run, "doc_id long, h binary, bands array<long>, weight double")
 
 
-def compare(blocks: DataFrame, idf: np.ndarray) -> DataFrame:
-    """(a, b, similarity), a < b, of rows (home, chunk, part, member, leaders, text).
+def _grouped(batches, idf: np.ndarray, *names: str):
+    """(group, rows) of sorted rows; a row is its columns ``names`` and the text's shingles and weights."""
+    group, rows = None, []
+    for b in batches:
+        for lo, hi, texts in text_blocks(b, "text", BLOCK_BYTES):
+            first, value, weight = shingles(texts, idf)
+            columns = [b.column(c).slice(lo, hi - lo).to_pylist() for c in ("group", *names)]
+            for i, (g, *row) in enumerate(zip(*columns)):
+                if g != group and rows:
+                    yield group, rows
+                    rows = []
+                group = g
+                rows.append((*row, value[first[i] : first[i + 1]].copy(), weight[first[i] : first[i + 1]].copy()))
+    if rows:
+        yield group, rows
 
-    The rows of the leaders themselves (``leaders`` is null) come first in each
-    part; rows stream.
-    """
+
+def _links(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([min(x) for x in found], pa.int64()), pa.array([max(x) for x in found], pa.int64())], ["a", "b"])
+
+
+def star_links(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
+    """(a, b) of the pairs (leader, member, n) that are alike; ``n`` members split over tasks."""
+    part = F.pmod(F.xxhash64("member"), F.ceil(F.col("n") / STAR_PART).cast("int"))
+    edges = pairs.select("leader", "member", F.concat_ws(":", "leader.rep", F.hex("leader.h"), part).alias("group"))
+    roles = edges.select("group", F.col("leader").alias("text_id"), F.lit(True).alias("leads")).distinct()
+    roles = roles.unionByName(edges.select("group", F.col("member").alias("text_id"), F.lit(False).alias("leads")))
+    rows = roles.select("group", "leads", "text_id.*").join(texts.select("rep", "h", "text").hint("merge"), ["rep", "h"])
+    rows = rows.select("group", "leads", "rep", "text").repartition("group").sortWithinPartitions("group", F.desc("leads"))
 
     def run(batches):
-        part, vectors = None, {}
+        leader, group = None, None
         for b in batches:
-            for lo, hi, texts in text_blocks(b, "text", BLOCK_BYTES):
-                parts = list(zip(*(b.column(c).slice(lo, hi - lo).to_pylist() for c in ("home", "chunk", "part"))))
-                members = b.column("member").slice(lo, hi - lo).to_pylist()
-                leaders = b.column("leaders").slice(lo, hi - lo).to_pylist()
-                first, value, weight = shingles(texts, idf)
+            for lo, hi, block in text_blocks(b, "text", BLOCK_BYTES):
+                first, value, weight = shingles(block, idf)
+                groups, leads, reps = (b.column(c).slice(lo, hi - lo).to_pylist() for c in ("group", "leads", "rep"))
                 found = []
-                for i, (key, member, wanted) in enumerate(zip(parts, members, leaders)):
+                for i, (g, leading, rep) in enumerate(zip(groups, leads, reps)):
                     own = value[first[i] : first[i + 1]], weight[first[i] : first[i + 1]]
-                    if key != part:
-                        part, vectors = key, {}
-                    if wanted is None:
-                        vectors[member] = own[0].copy(), own[1].copy()
-                    else:
-                        found += [(min(x, member), max(x, member), weighted_jaccard(vectors[x], own)) for x in wanted if x in vectors]
-                a = list(zip(*found)) or [(), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(a[0], pa.int64()), pa.array(a[1], pa.int64()), pa.array(a[2], pa.float64())], ["a", "b", "similarity"])
-
-    return blocks.mapInArrow(run, "a long, b long, similarity double")
-
-
-def verified(edges: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
-    """The similarity of each (leader, member) of a block (home, chunk); the texts come from ``texts``."""
-    wanted = edges.groupBy("home", "chunk", "member").agg(F.collect_list("leader").alias("leaders"))
-    parts = edges.groupBy("home", "chunk").agg(F.ceil(F.count_distinct("member") / STAR_PART).cast("int").alias("parts"))
-    own = edges.select("home", "chunk", "leader").distinct().join(parts, ["home", "chunk"])
-    own = own.select("home", "chunk", F.col("leader").alias("member"), F.lit(None).cast("array<long>").alias("leaders"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    rest = wanted.join(parts, ["home", "chunk"]).select("home", "chunk", "member", "leaders", F.pmod(F.xxhash64("member"), F.col("parts")).cast("int").alias("part"))
-    roles = own.unionByName(rest)
-    blocks = roles.join(texts.hint("merge"), roles["member"] == texts["doc_id"]).select("home", "chunk", "part", "member", "leaders", "text")
-    blocks = blocks.repartition("home", "chunk", "part").sortWithinPartitions("home", "chunk", "part", F.col("leaders").isNotNull())
-    return compare(blocks, idf)
+                    if leading:
+                        leader, group = (rep, own[0].copy(), own[1].copy()), g
+                    elif g == group and rep != leader[0] and weighted_jaccard(leader[1:], own) >= threshold - ROUNDING:
+                        found.append((leader[0], rep))
+                yield _links(found)
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def common_weights(vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The sum of the smaller weights of every two weighted sets.
+
+    The weights of a shingle are cut into layers; a set is in all layers up to its
+    own weight.  The layers two sets share add up to the smaller weight, so the
+    sums are products of a matrix of sets and layers.
+    """
+    owner = np.repeat(np.arange(len(vectors)), [len(v) for v, _ in vectors])
+    value, weight = (np.concatenate([x[k] for x in vectors]) for k in (0, 1))
+    order = np.lexsort((weight, value))
+    owner, value, weight = owner[order], value[order], weight[order]
+    new_value = np.append(True, value[1:] != value[:-1])
+    several = np.bincount(np.cumsum(new_value) - 1)[np.cumsum(new_value) - 1] > 1
+    owner, value, weight = owner[several], value[several], weight[several]
+    out = np.zeros((len(vectors), len(vectors)))
+    if not len(value):
+        return out
+    new_value = np.append(True, value[1:] != value[:-1])
+    new_layer = new_value | np.append(True, weight[1:] != weight[:-1])
+    layer = np.cumsum(new_layer) - 1
+    height = weight[new_layer] - np.where(new_value[new_layer], 0.0, np.append(0.0, weight[new_layer][:-1]))
+    lowest = np.maximum.accumulate(np.where(new_value, layer, 0))
+    rank = layer - lowest + 1  # a set is in so many layers of the shingle
+    row = np.repeat(owner, rank)
+    column = np.repeat(lowest, rank) + np.arange(rank.sum()) - np.repeat(np.cumsum(rank) - rank, rank)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    cuts = np.searchsorted(column, np.arange(0, len(height) + COLUMNS, COLUMNS))
+    for k, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])):
+        if i < j:
+            width = min(COLUMNS, len(height) - k * COLUMNS)
+            m = np.zeros((len(vectors), width))
+            m[row[i:j], column[i:j] - k * COLUMNS] = 1.0
+            out += (m * height[k * COLUMNS : k * COLUMNS + width]) @ m.T
+    return out
+
+
+def block_links(rows: list[tuple], key: int, threshold: float) -> list[tuple[int, int]]:
+    """Links between classes in a group of rows (side, class, bands, shingles, weights).
+
+    Two rows are compared if their classes and sides differ (rows of one block have
+    side 0 alone, and all count) and ``key`` is the first band they share.
+    """
+    side, of = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    bands = np.array([r[2] for r in rows], np.int64)
+    wanted = of[:, None] != of[None, :]
+    if side.any():
+        wanted &= side[:, None] != side[None, :]
+    same = np.zeros_like(wanted)  # they share an earlier band
+    for k in range(bands.shape[1]):
+        equal = bands[:, k][:, None] == bands[:, k][None, :]
+        wanted &= ~(equal & (bands[:, k] != key)[:, None] & ~same)
+        same |= equal
+    use = np.flatnonzero(wanted.any(1))
+    if not len(use):
+        return []
+    vectors = [rows[i][3:] for i in use]
+    total = np.array([w.sum() for _, w in vectors])
+    common = common_weights(vectors)
+    alike = wanted[np.ix_(use, use)] & (common >= (threshold - ROUNDING) * (total[:, None] + total[None, :] - common))
+    out, label = [], of[use].copy()
+    for i in np.flatnonzero(alike.any(1)):  # no more links than tie the classes together
+        for j in np.flatnonzero(alike[i] & (label != label[i])):
+            if label[i] != label[j]:
+                out.append((int(of[use[i]]), int(of[use[j]])))
+                label[label == label[j]] = label[i]
+    return out
+
+
+def class_links(open_: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
+    """(a, b) of classes that members of unresolved buckets (key, rep, h, class, weight) join."""
+    units = 1 + F.col("weight") / UNIT_WEIGHT
+    per_class = open_.groupBy("key", "class").agg(F.sum(units).alias("units"), F.count("*").alias("n"))
+    per_class = stored(per_class.withColumn("own", F.col("units") > BLOCK_UNITS), "blocks")
+    pool = per_class.groupBy("key").agg(F.sum(F.when(~F.col("own"), F.col("units"))).alias("pooled"), F.sum("n").alias("n"))
+    large = per_class.where("own").select("key", "class", "units", "n")
+    rows = join_split(open_, pool, ["key"])
+    rows = join_split(rows, large, ["key", "class"], "left")
+    salt = F.pmod(F.xxhash64("rep", "h"), F.ceil(F.coalesce("units", "pooled") / BLOCK_UNITS).cast("int"))
+    rows = rows.select("key", "rep", "h", "class", F.concat_ws(":", F.when(F.col("units").isNull(), "*").otherwise(F.col("class").cast("string")), salt).alias("block"))
+    rows = stored(rows, "blocked")
+    blocks = rows.select("key", "block").distinct()
+    p, q = blocks.withColumnRenamed("block", "p"), blocks.withColumnRenamed("block", "q")
+    owner = lambda c: F.substring_index(c, ":", 1)
+    pairs = p.join(q, "key").where((F.col("p") <= F.col("q")) & ((owner("p") == "*") | (owner("p") != owner("q"))))
+    group = F.concat_ws("/", F.col("key").cast("string"), "p", "q").alias("group")
+    sides = pairs.select("key", group, F.col("p").alias("block"), F.lit(0).alias("side"))
+    sides = sides.unionByName(pairs.where("p <> q").select("key", group, F.col("q").alias("block"), F.lit(1).alias("side")))
+    rows = rows.join(sides, ["key", "block"]).join(texts.hint("merge"), ["rep", "h"])
+    rows = rows.select("group", "key", "side", "class", "bands", "text").repartition("group").sortWithinPartitions("group")
+
+    def run(batches):
+        for _, found in _grouped(batches, idf, "key", "side", "class", "bands"):
+            yield _links(block_links([r[1:] for r in found], found[0][0], threshold))
+
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -257,99 +363,55 @@ def components(links: DataFrame) -> DataFrame:
     so chains halve; it ends when no label changes.
     """
     both = stored(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
-    labels = stored(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).select(F.col("a").alias("node"), "label"), "labels")
+    labels = stored(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label"), F.count("*").alias("n")).select(F.col("a").alias("node"), "label", "n"), "labels")
     while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
-        least = labels.join(near, labels["node"] == near["a"], "left").select("node", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label"))
-        target = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        after = stored(least.join(target, "label", "left").select("node", "old", F.least("label", F.coalesce("further", "label")).alias("label")), "labels")
+        near = join_split(both, labels.withColumnRenamed("node", "b"), ["b"]).groupBy("a").agg(F.min("label").alias("near"))
+        least = labels.join(near, labels["node"] == near["a"], "left")
+        least = stored(least.select("node", F.col("n").alias("degree"), F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label")), "least")
+        held = least.groupBy("label").agg(F.count("*").alias("n"))
+        target = held.join(labels.select(F.col("node").alias("label"), F.col("label").alias("further")), "label")
+        after = join_split(least, target, ["label"], "left")
+        after = stored(after.select("node", "old", F.least("label", F.coalesce("further", "label")).alias("label"), F.col("degree").alias("n")), "labels")
         changed = after.where(F.col("old") != F.col("label")).limit(1).count()
         dropped(labels)
+        dropped(least)
         labels = after.drop("old")
         labels._stored_at = after._stored_at
         if not changed:
             dropped(both)
-            return labels
-
-
-def unresolved(members: DataFrame) -> DataFrame:
-    """(key, rest) of the buckets that hold two members of different classes which were not compared.
-
-    A member that led a bucket was compared with all others there.  So a bucket is
-    done when all who have not led are in one class; ``rest`` is the class with the
-    most of them, which need not lead once the others have.
-    """
-    classes = members.groupBy("key", "class").agg(F.count(F.when(~F.col("led"), 1)).alias("n"))
-    buckets = classes.groupBy("key").agg(F.max(F.struct("n", "class")).alias("most"), F.sum("n").alias("n"))
-    return buckets.where(F.col("n") > F.col("most.n")).select("key", F.col("most.class").alias("rest"))
+            return labels.select("node", "label")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:
-    """doc_id, class_id (the class's smallest doc_id) and n_links of every document.
-
-    ``n_links`` counts verified links of the document's text to other texts.
-    """
-    docs = df.select(df[id_col].cast("long").alias("doc_id"), full_text(text_col).alias("text"))
+    """doc_id and class_id (the class's smallest doc_id) of every document."""
+    text = full_text(text_col)
+    docs = df.select(df[id_col].cast("long").alias("doc_id"), text.alias("text"), F.unhex(F.md5(text)).alias("h"))
     idf = idf_table(docs)
     signed = stored(signatures(docs, idf), "signatures")
-    groups = stored(signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.max("weight").alias("weight")), "texts")
-    band = groups.where(F.col("rep").isNotNull()).select("rep", "weight", F.explode("bands").alias("key"))
-    shared = band.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    members = stored(band.join(shared, "key"), "buckets")  # only documents that meet another
-    texts = members.select(F.col("rep").alias("doc_id")).distinct()
-    # merge joins at every size: a broadcast would only do while the candidates are few
-    texts = stored(docs.join(texts.hint("merge"), "doc_id"), "candidates")
-    # buckets that are not done; every member is a class of its own at first
-    left = members.select("key", "rep", "weight", F.col("rep").alias("class"), F.lit(False).alias("led"), F.lit(None).cast("long").alias("rest"))
-    done, links, labels, round_ = None, None, None, 0
-    while True:
-        most = GROWTH**round_
-        if round_ == 0:
-            lead = left.groupBy("key").agg(F.min(F.struct("rep", "weight", "class")).alias("first")).select("key", "first.*")
-        else:
-            may = left.where(~F.col("led") & (F.lit(round_ < OPEN_ROUNDS) | (F.col("class") != F.col("rest"))))
-            order = Window.partitionBy("key").orderBy(F.xxhash64("rep", F.lit(round_)), "rep")
-            lead = may.withColumn("k", F.row_number().over(order)).where(F.col("k") <= most)
-        lead = stored(lead.select("key", F.col("rep").alias("leader"), F.col("weight").alias("heavy"), F.col("class").alias("leads")), "leaders")
-        blocks = lead.groupBy("leader").agg(F.min("key").alias("home")).withColumn("chunk", F.pmod(F.xxhash64("leader"), F.lit(-(-most // BLOCK_LEADERS))).cast("int"))
-        near = F.least("weight", "heavy") >= (threshold - MARGIN) * F.greatest("weight", "heavy")
-        pairs = left.where(~F.col("led")).join(lead, "key").where((F.col("class") != F.col("leads")) & near)
-        pairs = pairs.groupBy(F.least("leader", "rep").alias("a"), F.greatest("leader", "rep").alias("b")).agg(F.min("leader").alias("leader"))
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        edges = pairs.select("leader", F.when(F.col("leader") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("member")).join(blocks, "leader")
-        edges = stored(edges, "pairs")
-        found = stored(verified(edges, texts, idf), "compared")
-        dropped(edges)
-        seen = found.select("a", "b")
-        done = seen if done is None else done.unionByName(seen)
-        fresh = found.where(F.col("similarity") >= threshold).select("a", "b")
-        links = fresh if links is None else links.unionByName(fresh).distinct()
-        moved = None
-        if labels is None:
-            moved = labels = components(fresh)
-        elif fresh.limit(1).count():
-            at = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
-            between = fresh.join(at("a"), "a", "left").join(at("b"), "b", "left")
-            between = between.select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b")).where("a <> b")
-            moved = components(between)
-            step = moved.select(F.col("node").alias("old"), F.col("label").alias("new"))
-            labels = labels.join(step, labels["label"] == step["old"], "full")
-            labels = stored(labels.select(F.coalesce("node", "old").alias("node"), F.coalesce("new", "label").alias("label")), "labels")
-        now = left.drop("rest")
-        if moved is not None:
-            step = moved.select(F.col("node").alias("class"), F.col("label").alias("new"))
-            now = now.join(step, "class", "left").select("key", "rep", "weight", F.coalesce("new", "class").alias("class"), "led")
-        led = lead.select("key", F.col("leader").alias("rep"), F.lit(True).alias("leads"))
-        now = now.join(led, ["key", "rep"], "left").select("key", "rep", "weight", "class", (F.col("led") | F.coalesce("leads", F.lit(False))).alias("led"))
-        left = stored(now.join(unresolved(now), "key").select("key", "rep", "weight", "class", "led", "rest"), "unresolved")
-        if not left.limit(1).count():
-            break
-        round_ += 1
-    degree = links.select("a").union(links.select("b")).groupBy("a").agg(F.count("*").alias("n_links"))
-    classes = groups.select("h1", "h2", "rep").join(labels, groups["rep"] == labels["node"], "left").join(degree, groups["rep"] == degree["a"], "left")
-    classes = classes.select("h1", "h2", F.coalesce("label", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return signed.select("doc_id", "h1", "h2").join(classes, ["h1", "h2"]).select("doc_id", "class_id", "n_links")
+    groups = stored(signed.groupBy("h").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.max("weight").alias("weight"), F.count("*").alias("n")), "texts")
+    band = groups.where(F.col("rep").isNotNull()).select("rep", "h", "weight", F.explode("bands").alias("key"))
+    shared = band.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("rep", "h", "weight")).alias("leader")).where("n > 1")
+    members = stored(join_split(band, stored(shared, "shared"), ["key"], keep=["n", "leader"]), "buckets")  # only documents that meet another
+    met = members.groupBy("rep", "h").agg(F.count("*").alias("met"))
+    texts = docs.join(met.hint("merge"), (docs["doc_id"] == met["rep"]) & (docs["h"] == met["h"])).groupBy("rep", met["h"]).agg(F.first("text").alias("text"))
+    texts = stored(texts.join(groups.select("rep", "h", "bands").hint("merge"), ["rep", "h"]), "candidates")
+    near = F.least("weight", "leader.weight") >= (threshold - MARGIN) * F.greatest("weight", "leader.weight")
+    member, leader = F.struct("rep", "h"), F.struct("leader.rep", "leader.h")
+    pairs = members.where((member != leader) & near).groupBy(leader.alias("leader"), member.alias("member")).agg(F.max("n").alias("n"))
+    links = stored(star_links(pairs, texts, idf, threshold), "links")
+    labels = components(links)
+    # a bucket is done when all but its leader are in one class
+    rest = members.where(member != leader).select("key", "rep", "h", "weight")
+    known = labels.withColumnRenamed("node", "rep")
+    rest = stored(rest.join(known, "rep", "left").select("key", "rep", "h", "weight", F.coalesce("label", "rep").alias("class")), "members")
+    several = rest.groupBy("key").agg(F.count("*").alias("n"), F.min("class").alias("least"), F.max("class").alias("most"))
+    several = several.where("least <> most").select("key", "n")
+    open_ = stored(join_split(rest, several, ["key"]), "unresolved")
+    joined = components(class_links(open_, texts, idf, threshold))
+    step = joined.select(F.col("node").alias("label"), F.col("label").alias("further"))
+    found = groups.select("h", "rep", "n").join(labels, F.col("rep") == F.col("node"), "left").select("h", "n", F.coalesce("label", "rep").alias("label"))
+    classes = found.join(step, "label", "left").select("h", "n", F.coalesce("further", "label").alias("class_id"))
+    return join_split(signed.select("doc_id", "h"), stored(classes, "classes"), ["h"]).select("doc_id", "class_id")
 
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
