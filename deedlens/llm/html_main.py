@@ -8,6 +8,10 @@ to the text elements next to it).  What stands in the region but belongs to an
 element that is never content (navigation, notices, adverts, forms, reader
 comments, ...) costs the scan nothing and is left out; the rest is returned as blocks.
 
+What is never content follows from tags and from words in class names.  Such names
+only count beside other text: where they would leave only headings and links of a page, the scan takes the named element with the largest sum for content
+(``class="post comment-enabled"`` around the article), and decides again.
+
 Labels: pages whose markup names the article (``article``, ``main`` or
 ``itemprop=articleBody``).  Those names are the label and never a feature, so the
 weights carry over to pages without them.  The model is fitted on at most
@@ -15,7 +19,9 @@ weights carry over to pages without them.  The model is fitted on at most
 
 Edge cases: null or empty html gives an empty text; a page whose best sum is
 not positive has no main text; markup that is cut off or badly nested is read as
-far as it goes; repeated rows give repeated results; ties take the earlier,
+far as it goes; a head without an end ends where the body's text or tags begin; an
+attribute without its closing quote ends with the tag; elements nested deeper than
+``MOST_DEPTH`` stand beside each other there, as in browsers; repeated rows give repeated results; ties take the earlier,
 shorter region; extra columns are ignored; an empty table gives no rows (its
 model is the prior).
 """
@@ -31,13 +37,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, text_blocks
 
 FIT_PAGES = 2_000
+MOST_DEPTH = 512
+BLOCK_BYTES = 4_000_000
+#: Words of a run that may make a named element content.
+LONG_RUN = 12
 
 # Fixed names of the markup language.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template svg math iframe object canvas audio video textarea select title head xmp noembed noframes".split())
+RAW = frozenset("script style noscript template svg math iframe object canvas audio video textarea select title xmp noembed noframes".split())
+#: Tags that leave the head open.
+HEAD = frozenset("base basefont bgsound link meta noscript script style template title".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -53,10 +65,11 @@ NEVER_NAMES = frozenset(
     "related recommended pagination pager widget toolbar skip search contentinfo complementary disclaimer copyright paywall".split()
 )
 LABELS = frozenset(("article", "main"))
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Tags that running text is made with.
 TEXT_TAGS = frozenset("p br b i u em strong span sup sub code pre q cite blockquote ul ol li dl dt dd h2 h3 h4 h5 h6 a table tr td th tbody figure img".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)|[^<]+|<", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?>(?:[^>\"']+|\"[^\"]*\"|'[^']*')*)(?=>|$)|[^>]*)(?:>|$)|[^<]+|<", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 NAME_WORD = re.compile(r"[a-z]+")
 SPACE = re.compile(r"\s+")
@@ -65,10 +78,14 @@ SPACE = re.compile(r"\s+")
 class Element:
     """An element and what it stands in."""
 
-    __slots__ = ("name", "parent", "depth")
+    __slots__ = ("name", "parent", "depth", "named")
 
-    def __init__(self, name, parent):
+    def __init__(self, name, parent, named=False):
+        if parent and parent.depth >= MOST_DEPTH:
+            parent = parent.parent
         self.name, self.parent, self.depth = name, parent, parent.depth + 1 if parent else 0
+        #: The innermost element, from this one outwards, whose class names say it is never content.
+        self.named = self if named else parent.named if parent else None
 
     def at_depth(self, depth: int) -> Element:
         """The element that holds this one (or is it) at ``depth``, or this one if it is not so deep."""
@@ -88,18 +105,19 @@ class Segment:
         self.block, self.inside, self.never, self.linked, self.element = block, inside, never, linked, element
 
 
-def _never(name: str, attributes: str) -> bool:
-    if name in NEVER:
-        return True
-    if name in ("body", "html", "article", "main") or not attributes:
-        return False
-    for key, value in ATTRIBUTE.findall(attributes):
-        key = key.lower()
-        if key in ("class", "id", "role", "aria-label") and not NEVER_NAMES.isdisjoint(NAME_WORD.findall(_split_case(value))):
-            return True
-        if key == "hidden" or (key == "aria-hidden" and "true" in value.lower()) or (key == "style" and re.search(r"display\s*:\s*none", value, re.I)):
-            return True
-    return False
+def _never(name: str, attributes: str) -> tuple[bool, bool]:
+    """Whether an element is never content by its tag or because it is hidden, and by its class names."""
+    if name in NEVER or name == "head":
+        return True, False
+    hidden = named = False
+    if name not in ("body", "html", "article", "main") and attributes:
+        for key, value in ATTRIBUTE.findall(attributes):
+            key = key.lower()
+            if key in ("class", "id", "role", "aria-label"):
+                named = named or not NEVER_NAMES.isdisjoint(NAME_WORD.findall(_split_case(value)))
+            elif key == "hidden" or (key == "aria-hidden" and "true" in value.lower()) or (key == "style" and re.search(r"display\s*:\s*none", value, re.I)):
+                hidden = True
+    return hidden, named
 
 
 def _split_case(value: str) -> str:
@@ -115,7 +133,14 @@ def segments(page: str) -> list[Segment]:
     out: list[Segment] = []
     # open elements: name, never-content, labelled, linked, text kind, element
     stack: list[tuple[str, bool, bool, bool, str, Element]] = [("", False, False, False, "none", Element("", None))]
+    open_names: Counter = Counter()
     block, raw_until, pos, end = 0, None, 0, len(page)
+
+    def close(at: int) -> None:
+        for x in stack[at:]:
+            open_names[x[0]] -= 1
+        del stack[at:]
+
     while pos < end:
         if raw_until:
             m = re.compile(rf"</{re.escape(raw_until)}(?=[\s/>])", re.I).search(page, pos)
@@ -129,6 +154,8 @@ def segments(page: str) -> list[Segment]:
             if raw.startswith(("<!", "<?")):
                 continue
             text = html.unescape(raw) if "&" in raw else raw
+            if stack[-1][0] == "head" and not text.isspace():
+                close(len(stack) - 1)
             _, never, inside, linked, kind, element = stack[-1]
             out.append(Segment(text, len(text.split()), "", kind, block, inside, never, linked, element))
             continue
@@ -137,30 +164,36 @@ def segments(page: str) -> list[Segment]:
         if name in BLOCKS:
             block += 1
         if closing:
-            if any(x[0] == name for x in stack[1:]):
-                while stack[-1][0] != name:
-                    stack.pop()
-                _, never, inside, linked, _, element = stack.pop()
+            if open_names[name] > 0:
+                at = len(stack) - 1
+                while stack[at][0] != name:
+                    at -= 1
+                _, never, inside, linked, _, element = stack[at]
+                close(at)
                 out.append(Segment(" " if name in ("td", "th") else "", 0, "/" + name, "", block, inside, never, linked, element))
             continue
-        if name in CLOSES_P:  # an open paragraph ends where a block begins
+        if stack[-1][0] == "head" and name not in HEAD:
+            close(len(stack) - 1)
+        if name in CLOSES_P and open_names["p"] > 0:  # an open paragraph ends where a block begins
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] == "p":
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i][0] in BLOCKS:
                     break
         if name in ("li", "dt", "dd", "tr", "td", "th", "option"):
             if stack[-1][0] == name or (name in ("dt", "dd") and stack[-1][0] in ("dt", "dd")):
-                stack.pop()
+                close(len(stack) - 1)
         _, never, inside, linked, kind, parent = stack[-1]
-        never = never or _never(name, attributes)
-        element = Element(name, parent)
+        hidden, named = _never(name, attributes)
+        never = never or hidden
+        element = Element(name, parent, named)
         if name in RAW and not attributes.rstrip().endswith("/"):
             raw_until = name
             out.append(Segment("", 0, name, "", block, inside, True, linked, element))
-            # the title stands in the head; nothing in it is page text
+            # nothing in it is page text
             stack.append((name, True, inside, linked, "raw", element))
+            open_names[name] += 1
             continue
         inside = inside or _is_label(name, attributes)
         linked = linked or name == "a"
@@ -168,9 +201,21 @@ def segments(page: str) -> list[Segment]:
         out.append(Segment(" " if name == "br" else "", 0, name, "", block, inside, never, linked, element))
         if name not in VOID:
             stack.append((name, never, inside, linked, kind, element))
+            open_names[name] += 1
     return out
 
 
+def mark_named(found: list[Segment], lifted: set[Element]) -> list[bool]:
+    """Marks what stands in named elements, but for ``lifted`` ones, as never content; gives what it was."""
+    before = [s.never for s in found]
+    for s in found:
+        named = s.element.named
+        while named is not None and named in lifted:
+            named = named.parent.named if named.parent else None
+        s.never = s.never or named is not None
+    return before
+
+
 def word_key(s: Segment) -> str:
     """Kind of the words of a run: the nearest block, links, run length."""
     size = "long" if s.words >= 12 else "mid" if s.words >= 4 else "short"
@@ -189,6 +234,7 @@ def count_page(page: str) -> Counter | None:
     found = segments(page)
     if not any(s.inside for s in found):
         return None
+    mark_named(found, set())
     counts: Counter = Counter()
     for s in found:
         positive = int(s.inside and not s.never)
@@ -308,19 +354,43 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
     """The main text of a page: its blocks joined by an empty line."""
     if not page:
         return ""
-    found = segments(page)
-    scores = []
-    for s in found:
-        key = tag_key(s) if s.tag else word_key(s)
-        w = weights.get(key)
-        if w is None:
-            w = default_weight(key)
-        if s.never:  # left out anyway: a region goes on after it
-            w = 0.0
-        scores.append(w if s.tag else w * s.words)
+    found, lifted = segments(page), set()
+    while True:
+        hard = mark_named(found, lifted)
+        text, running = region_text(found, weights)
+        if running:
+            return text
+        # no running text beside named elements: the one with the largest sum is content
+        sums: dict[Element, float] = {}
+        for s, gone in zip(found, hard):
+            named = s.element.named
+            if s.words >= LONG_RUN and not gone and named is not None and named not in lifted:
+                while named.parent and named.parent.named is not None and named.parent.named not in lifted:
+                    named = named.parent.named
+                s.never = False
+                sums[named] = sums.get(named, 0.0) + weight_of(s, weights) * s.words
+        best = max(sums, key=sums.get, default=None)  # the first of equals
+        if best is None or sums[best] <= 0:
+            return text
+        lifted.add(best)
+        for s, gone in zip(found, hard):
+            s.never = gone
+
+
+def weight_of(s: Segment, weights: dict[str, float]) -> float:
+    """The weight of a tag, or of each word of a run."""
+    key = tag_key(s) if s.tag else word_key(s)
+    w = weights.get(key)
+    return default_weight(key) if w is None else w
+
+
+def region_text(found: list[Segment], weights: dict[str, float]) -> tuple[str, bool]:
+    """The text of the best region, and whether any of it is more than headings and links."""
+    # what is left out anyway scores nothing: a region goes on after it
+    scores = [0.0 if s.never else weight_of(s, weights) * (1 if s.tag else s.words) for s in found]
     lo, hi = best_region(scores)
     if lo == hi:
-        return ""
+        return "", False
     lo, hi = whole_container(found, lo, hi)
     # a region ends inside no block: the rest of its first and last block belongs to it
     first, last = found[lo].block, found[hi - 1].block
@@ -344,25 +414,22 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
             open_block = s.block
         blocks[-1].append(s.text)
     joined = (SPACE.sub(" ", "".join(b)).strip() for b in blocks)
-    return "\n\n".join(b for b in joined if b)
+    running = any(s.words and not s.never and not s.linked and s.kind not in HEADINGS for s in found[lo:hi])
+    return "\n\n".join(b for b in joined if b), running
 
 
 def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", limit: int = FIT_PAGES) -> dict[str, float]:
     """Weights from at most ``limit`` labelled pages; counts are summed by Spark."""
-    sample = (
-        pages.where(F.col(html_col).isNotNull())
-        .select(F.col(id_col).alias("k"))
-        .orderBy(F.xxhash64("k"), "k")
-        .limit(limit)
-    )
-    ids = [r[0] for r in sample.collect()]
-    rows = pages.where(F.col(id_col).isin(ids)).select(F.col(html_col).alias("html")) if ids else pages.limit(0).select(F.col(html_col).alias("html"))
+    rows = pages.select(pages[id_col].alias("k"), pages[html_col].alias("html")).where(F.col("html").isNotNull())
+    sample = rows.select("k").orderBy(F.xxhash64("k"), "k").limit(limit).distinct()
+    rows = rows.join(F.broadcast(sample), "k", "left_semi").select("html")  # at most ``limit`` ids
 
     def count(batches):
         total: Counter = Counter()
         for b in batches:
-            for page in b.column(0).to_pylist():
-                total.update(count_page(page or "") or {})
+            for _, _, found in text_blocks(b, "html", BLOCK_BYTES):
+                for page in found:
+                    total.update(count_page(page) or {})
         yield pa.RecordBatch.from_arrays(
             [pa.array([k for k, _ in total], pa.string()), pa.array([p for _, p in total], pa.int32()), pa.array(list(total.values()), pa.int64())],
             ["k", "inside", "n"],
@@ -380,11 +447,12 @@ def extract_main_text(pages: DataFrame, weights: dict[str, float] | None = None,
 
     def run(batches):
         for b in batches:
-            texts = [main_text(x, weights) for x in b.column("html").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
-                ["page_id", "url", "text", "n_chars"],
-            )
+            for lo, hi, found in text_blocks(b, "html", BLOCK_BYTES):
+                texts = [main_text(x, weights) for x in found]
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("page_id").slice(lo, hi - lo), b.column("url").slice(lo, hi - lo), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
+                    ["page_id", "url", "text", "n_chars"],
+                )
 
     return rows.mapInArrow(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")
 
