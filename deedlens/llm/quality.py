@@ -22,11 +22,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import full_text, give_back, stored, table
+from .common import full_text, give_back, stored, table, text_blocks
 
 #: Labelled rows that are learned from at most: those of the smallest hash of their id.
 FIT_ROWS = 30_000
 BINS = 64
+BLOCK_BYTES = 4_000_000
 
 _PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 _SYMBOLS = b"#$%&*+/<=>@\\^_`{|}~[]"
@@ -83,11 +84,11 @@ def feature_table(df: DataFrame, id_col: str, text_col: str, *also: str) -> Data
 
     def run(batches):
         for b in batches:
-            values = [statistics(x) for x in b.column("text").to_pylist()]
-            flat = np.concatenate(values) if values else np.zeros(0, np.float32)
-            offsets = np.arange(0, len(flat) + 1, len(FEATURES), dtype=np.int32)
-            x = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.float32()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), x, *map(b.column, also)], ["doc_id", "x", *also])
+            for lo, hi, texts in text_blocks(b, "text", BLOCK_BYTES):
+                flat = np.concatenate([statistics(x) for x in texts])
+                offsets = np.arange(0, len(flat) + 1, len(FEATURES), dtype=np.int32)
+                x = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.float32()))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), x, *(b.column(c).slice(lo, hi - lo) for c in also)], ["doc_id", "x", *also])
 
     return rows.mapInArrow(run, f"doc_id {kinds['doc_id']}, x array<float>" + "".join(f", {c} {kinds[c]}" for c in also))
 
@@ -97,16 +98,19 @@ def fold(id_col: Column, modulus: int) -> Column:
     return F.crc32(id_col.cast("string")) % modulus
 
 
-def labelled_sample(rows: DataFrame, labels: DataFrame, label: str, held: Column, limit: int) -> DataFrame:
+def labelled_sample(rows: DataFrame, labels: DataFrame, label: str, held: Column, limit: int, also: Column) -> DataFrame:
     """At most ``limit`` of the rows that have a label that may be learned from, of the smallest id hash.
 
     Labels of documents that ``rows`` does not hold do not count towards the limit.
+    Rows of equal id and label go in the order of ``also``, a number made of what is learned.
     """
     usable = labels.select(labels["doc_id"].alias("k"), labels[label].cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("k").isNotNull() & ~held)
     there = rows.select(rows["doc_id"].alias("there"))
     usable = usable.join(there, usable["k"] == there["there"], "left_semi")
     picked = usable.orderBy(F.xxhash64("k"), "k", "y").limit(limit)
-    return rows.join(F.broadcast(picked), rows["doc_id"] == picked["k"]).drop("k")  # bounded by limit
+    joined = rows.join(F.broadcast(picked), rows["doc_id"] == picked["k"])  # bounded by limit
+    # an id may have several rows
+    return joined.withColumn("also", also).orderBy(F.xxhash64("k"), "k", "y", "also").limit(limit).drop("k", "also")
 
 
 @dataclass
@@ -207,7 +211,7 @@ def _tree(parts, binned, offset, edges, g, h, raw, depth, rate, penalty, least)
 
 def fit_quality(features: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 3, held: int = 1, limit: int = FIT_ROWS) -> Trees:
     """Trees fitted on a bounded sample of the labelled rows outside the held-out fold."""
-    return fit_rows(labelled_sample(features, labels, label, fold(F.col("k"), modulus) == held, limit))
+    return fit_rows(labelled_sample(features, labels, label, fold(F.col("k"), modulus) == held, limit, F.xxhash64("x")))
 
 
 def fit_rows(rows: DataFrame) -> Trees:
@@ -243,15 +247,15 @@ def quality_scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 
 def keep_quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
     """The rows of ``df`` whose text scores ``least`` or more, with their own columns."""
-    wanted = labelled_sample(df.select(df[id_col].alias("doc_id"), df[text_col].alias("text")), labels, "quality", fold(F.col("k"), 3) == 1, FIT_ROWS)
+    wanted = labelled_sample(df.select(df[id_col].alias("doc_id"), df[text_col].alias("text")), labels, "quality", fold(F.col("k"), 3) == 1, FIT_ROWS, F.xxhash64("text"))
     model = fit_rows(feature_table(wanted, "doc_id", "text", "y"))
     at = df.columns.index(text_col)
 
     def run(batches):
         for b in batches:
-            texts = b.column(at).to_pylist()
-            x = np.array([statistics(t or "") for t in texts], np.float32).reshape(-1, len(FEATURES))
-            yield b.filter(pa.array(model.score(x) >= least))
+            for lo, hi, texts in text_blocks(b, at, BLOCK_BYTES):
+                x = np.array([statistics(t) for t in texts], np.float32).reshape(-1, len(FEATURES))
+                yield b.slice(lo, hi - lo).filter(pa.array(model.score(x) >= least))
 
     return df.mapInArrow(run, df.schema)
 

@@ -4,10 +4,13 @@ A word is the mean of the embeddings of its character n-grams (and of itself),
 hashed into buckets; a document is the mean of its words, repeats counting by
 their logarithm; two outputs follow from a linear layer.  Embeddings and layer are trained jointly in numpy, so a
 misspelling never seen shares the n-gram vectors of what was.  Training takes a
-bounded sample of labelled documents, whole texts each.  As the model is linear, scoring adds up one number per word.
+bounded number of labelled documents, whole texts of any length each.  Executors
+turn them into distinct words' hashes and shares, and every distinct word of the
+sample once into its n-grams: the driver holds 12 bytes for each distinct word of
+a document and 4 for each n-gram, no texts.  As the model is linear, scoring adds up one number per word.
 
 Edge cases: a null text is empty, and an empty text scores by the bias alone;
-documents with several labels count once for each; labels other than 0 and 1
+documents with several labels, or several texts of one id, count once for each; labels other than 0 and 1
 and null ids are not learned from; without labels of both kinds every score is
 the share of ones (0 if there are none); repeated rows get equal scores; extra
 columns are ignored; an empty table gives no rows.
@@ -16,31 +19,30 @@ columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import zlib
-from array import array
 from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import full_text, give_back, table
+from .common import dropped, full_text, give_back, stored, table, text_blocks
 from .quality import fold, labelled_sample
 
 #: Labelled documents that are learned from at most: those of the smallest hash of their id.
 FIT_DOCUMENTS = 8_000
-#: Characters that they have together at most (whole documents are left out beyond it).
-FIT_CHARS = 32_000_000
 BUCKETS = 1 << 18
 DIM = 4
-SHORTEST, LONGEST = 3, 6
+SHORTEST, LONGEST = 3, 5
 #: Blank words that every average includes: they steady the shortest texts.
-BLANKS = 8.0
-#: An n-gram is learned if at least so many training documents hold it.
-LEAST_DOCUMENTS = 3
+BLANKS = 20.0
+#: An n-gram is learned if at least so many training documents hold it, and such a share of them.
+LEAST_DOCUMENTS, LEAST_SHARE = 3, 0.005
 #: Words in a worker's cache.
 CACHE_WORDS = 500_000
+BLOCK_BYTES = 4_000_000
 _EDGE = ".,;:!?\"'()[]{}*#%$&|-_<>"
 
 
@@ -62,6 +64,15 @@ def shares(counts) -> np.ndarray:
     return share / (share.sum() + BLANKS)
 
 
+def bag(text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """A text's distinct words in the order of their hashes, the hashes and the shares."""
+    seen = Counter(w.strip(_EDGE) for w in words_of(text))
+    words = list(seen)
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    order = np.argsort(hashes, kind="stable")
+    return [words[i] for i in order], hashes[order], shares(seen.values()).astype(np.float32)[order]
+
+
 @dataclass
 class Corpus:
     """Training documents: distinct words with their shares, and the words' buckets."""
@@ -75,27 +86,26 @@ class Corpus:
 
     @classmethod
     def of(cls, texts: list[str]) -> Corpus:
-        ids: dict[str, int] = {}
-        words, weights = [], []
-        for text in texts:
-            seen = Counter(w.strip(_EDGE) for w in words_of(text))
-            words.append(np.fromiter((ids.setdefault(w, len(ids)) for w in seen), np.int32, len(seen)))
-            weights.append(shares(seen.values()).astype(np.float32))
-        flat, sizes = array("i"), np.zeros(len(ids), np.int64)
-        for i, w in enumerate(ids):
-            found = buckets(w)
-            flat.extend(found)
-            sizes[i] = len(found)
-        grams = np.frombuffer(flat, np.int32) if len(flat) else np.zeros(0, np.int32)
+        """The corpus of some texts."""
+        bags = [bag(t) for t in texts]
+        by_hash = {h: w for words, hashes, _ in bags for h, w in zip(hashes.tolist(), words)}
+        grams = [np.array(buckets(by_hash[h]), np.int32) for h in sorted(by_hash)]
+        flat = np.concatenate(grams) if grams else np.zeros(0, np.int32)
+        return cls.built([x[1:] for x in bags], np.array(sorted(by_hash), np.uint64), flat, np.array([len(g) for g in grams], np.int64))
+
+    @classmethod
+    def built(cls, bags: list[tuple[np.ndarray, np.ndarray]], vocabulary: np.ndarray, grams: np.ndarray, sizes: np.ndarray) -> Corpus:
+        """From (hashes, shares) of every document, and the n-grams of all words in the order of their hashes."""
+        words = [np.searchsorted(vocabulary, h).astype(np.int32) for h, _ in bags]
         frequency = np.zeros(BUCKETS, np.int64)
         ends = np.cumsum(sizes)
         for w in words:
             frequency[np.unique(grams[_flat(ends[w] - sizes[w], sizes[w])])] += 1
-        enough = frequency >= LEAST_DOCUMENTS
+        enough = frequency >= max(LEAST_DOCUMENTS, round(LEAST_SHARE * len(bags)))
         kept = enough[grams]
         count = np.add.reduceat(kept, ends - sizes, dtype=np.int64) if len(ends) else np.zeros(0, np.int64)
         number = (np.cumsum(enough) - 1).astype(np.int32)
-        return cls(words, weights, np.concatenate([[0], np.cumsum(count)]), number[grams[kept]], sizes, np.flatnonzero(enough))
+        return cls(words, [x for _, x in bags], np.concatenate([[0], np.cumsum(count)]), number[grams[kept]], sizes, np.flatnonzero(enough))
 
 
 def _flat(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -133,7 +143,7 @@ class Subwords:
         return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
 
-def train(texts: list[str], y: np.ndarray, steps: int = 1200, batch: int = 64, rate: float = 0.5, scale: float = 60.0, toxic_weight: float = 3.0, dropout: float = 0.6, seed: int = 1) -> Subwords:
+def train(texts: list[str] | Corpus, y: np.ndarray, steps: int = 1200, batch: int = 64, rate: float = 0.5, scale: float = 60.0, toxic_weight: float = 3.0, dropout: float = 0.7, seed: int = 1) -> Subwords:
     """Embeddings and softmax layer by Adagrad on about ``steps`` mini-batches.
 
     N-grams drop out at random, so that no document is learned by its rare ones.
@@ -141,7 +151,7 @@ def train(texts: list[str], y: np.ndarray, steps: int = 1200, batch: int = 64, r
     if not len(y) or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.0
         return Subwords(np.zeros(BUCKETS, np.float32), float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
-    c = Corpus.of(texts)
+    c = texts if isinstance(texts, Corpus) else Corpus.of(texts)
     random = np.random.default_rng(seed)
     e = np.zeros((len(c.learned), DIM))  # an n-gram that is not learned says nothing
     w, b = random.normal(0, 0.5, (DIM, 2)), np.zeros(2)
@@ -186,20 +196,41 @@ def train(texts: list[str], y: np.ndarray, steps: int = 1200, batch: int = 64, r
 def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 5, held: int = 0, limit: int = FIT_DOCUMENTS) -> Subwords:
     """The model from a bounded sample of labelled documents outside the held-out fold."""
     docs = df.select(df[id_col].alias("doc_id"), full_text(text_col).alias("text"))
-    rows = labelled_sample(docs, labels, "toxic", fold(F.col("k"), modulus) == held, limit)
-    sizes = rows.select("doc_id", "y", F.char_length("text").alias("n")).collect()  # bounded by limit
-    marks: dict = {}
-    room = FIT_CHARS
-    for k, y, n in sorted(sizes, key=lambda r: (zlib.crc32(str(r[0]).encode()), str(r[0]), r[1])):
-        if k in marks or n <= room:
-            room -= 0 if k in marks else n
-            marks.setdefault(k, []).append(y)
-
-    got = docs.where(F.col("doc_id").isin(list(marks))).dropDuplicates(["doc_id"]) if marks else docs.limit(0)
-    got = got.toPandas().sort_values("doc_id", kind="stable")  # at most FIT_CHARS characters
-    pairs = [(text, label) for k, text in zip(got["doc_id"], got["text"]) for label in marks[k]]
-    model = train([t for t, _ in pairs], np.array([v for _, v in pairs], np.int64))
-    del got, pairs
+    rows = labelled_sample(docs, labels, "toxic", fold(F.col("k"), modulus) == held, limit, F.xxhash64("text"))
+
+    def bags(batches):
+        for b in batches:
+            for lo, hi, texts in text_blocks(b, "text", BLOCK_BYTES):
+                got = [bag(t) for t in texts]
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("doc_id").slice(lo, hi - lo), b.column("y").slice(lo, hi - lo), pa.array([x[0] for x in got], pa.list_(pa.string())),
+                     pa.array([x[1].tobytes() for x in got], pa.binary()), pa.array([x[2].tobytes() for x in got], pa.binary())],
+                    ["doc_id", "y", "words", "hashes", "shares"],
+                )
+
+    def grams(batches):
+        for b in batches:
+            words = b.column("word").to_pylist()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([xxhash.xxh3_64_intdigest(w) for w in words], pa.uint64()).view(pa.int64()), pa.array([np.array(buckets(w), np.int32).tobytes() for w in words], pa.binary())], ["h", "grams"]
+            )
+
+    kind = dict(docs.dtypes)["doc_id"]
+    sample = stored(rows.select("doc_id", "y", "text").mapInArrow(bags, f"doc_id {kind}, y int, words array<string>, hashes binary, shares binary"), "bags")
+    got = sample.select("doc_id", "y", "hashes", "shares").orderBy("doc_id", "y", "hashes", "shares").toArrow()  # bounded by limit
+    y = got["y"].to_numpy().astype(np.int64)
+    documents = [(np.frombuffer(h.as_py(), np.uint64), np.frombuffer(x.as_py(), np.float32)) for h, x in zip(got["hashes"], got["shares"])]
+    del got
+    words = sample.select(F.explode("words").alias("word")).distinct().mapInArrow(grams, "h long, grams binary").toArrow()  # the sample's words
+    dropped(sample)
+    hashes, first = np.unique(words["h"].to_numpy().view(np.uint64), return_index=True)
+    lists = words["grams"].take(pa.array(first)).combine_chunks()
+    del words
+    flat = np.frombuffer(b"".join(x.as_py() for x in lists), np.int32)
+    sizes = np.fromiter((len(x.as_py()) // 4 for x in lists), np.int64, len(lists))
+    del lists
+    model = train(Corpus.built(documents, hashes, flat, sizes), y)
+    del documents, flat
     give_back()
     return model
 
@@ -224,7 +255,8 @@ def toxicity_scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     def run(batches):
         cache = _cache(model)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(model.scores(b.column("text").to_pylist(), cache), pa.float64())], ["doc_id", "score"])
+            for lo, hi, texts in text_blocks(b, "text", BLOCK_BYTES):
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), pa.array(model.scores(texts, cache), pa.float64())], ["doc_id", "score"])
 
     scored = rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, score double")
     held = F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False))
@@ -239,8 +271,8 @@ def keep_clean(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     def run(batches):
         cache = _cache(model)
         for b in batches:
-            texts = [t or "" for t in b.column(at).to_pylist()]
-            yield b.filter(pa.array(model.scores(texts, cache) < below))
+            for lo, hi, texts in text_blocks(b, at, BLOCK_BYTES):
+                yield b.slice(lo, hi - lo).filter(pa.array(model.scores(texts, cache) < below))
 
     return df.mapInArrow(run, df.schema)
 
