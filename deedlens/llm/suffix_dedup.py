@@ -23,8 +23,8 @@ before the shuffle; no group of documents is ever collected.
 
 Edge cases: a null text is empty; texts under ``LENGTH`` bytes lose nothing;
 matches never cross documents; rows of one doc_id do not remove each other; rows
-without doc_id count as larger than all others; extra columns are ignored; an
-empty table gives no rows.
+without doc_id count as larger than all others (as large as the largest long);
+columns of any names are kept where texts are returned; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -150,6 +150,8 @@ class Block:
 
     def __init__(self, ids: bytes, sizes: bytes, data: bytes):
         self.ids, self.sizes = np.frombuffer(ids, np.int64), np.frombuffer(sizes, np.int64)
+        self.unnamed = self.sizes < 0  # the sizes of rows without an id are inverted
+        self.sizes = np.where(self.unnamed, ~self.sizes, self.sizes)
         self.raw = zstandard.decompress(data) if data else b""
         self.bytes = np.frombuffer(self.raw, np.uint8)
         self.anchors = Anchors(self.bytes, self.sizes)
@@ -188,30 +190,47 @@ class Block:
 
 
 def pack_blocks(docs: DataFrame) -> DataFrame:
-    """block, ids, sizes, data: documents packed to about ``BLOCK_BYTES`` each."""
+    """block, ids, sizes, data, rest: documents packed to about ``BLOCK_BYTES`` each.
+
+    The first two columns are the id and the bytes; all others are kept in ``rest``, in their order.
+    """
 
     def run(batches):
         compress = zstandard.ZstdCompressor(3).compress
-        number, ids, parts, size = TaskContext.get().partitionId() << 32, [], [], 0
+        number, ids, sizes, parts, rest, size = TaskContext.get().partitionId() << 32, [], [], [], [], 0
 
         def row():
+            kept = b""
+            if rest and rest[0].num_columns:
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, rest[0].schema) as out:
+                    for x in rest:
+                        out.write_batch(x)
+                kept = compress(sink.getvalue().to_pybytes())
             return pa.RecordBatch.from_pydict({
                 "block": pa.array([number], pa.int64()), "ids": pa.array([np.array(ids, np.int64).tobytes()], pa.binary()),
-                "sizes": pa.array([np.array([len(p) for p in parts], np.int64).tobytes()], pa.binary()), "data": pa.array([compress(b"".join(parts))], pa.binary()),
+                "sizes": pa.array([np.array(sizes, np.int64).tobytes()], pa.binary()), "data": pa.array([compress(b"".join(parts))], pa.binary()),
+                "rest": pa.array([kept], pa.binary()),
             })
 
         for b in batches:
-            for doc_id, data in zip(b.column("doc_id").to_pylist(), b.column("data")):
+            others = pa.RecordBatch.from_arrays(b.columns[2:], [str(k) for k in range(b.num_columns - 2)])
+            start = 0
+            for i, (doc_id, data) in enumerate(zip(b.column(0).to_pylist(), b.column(1))):
                 data = data.as_py()
                 ids.append(LAST if doc_id is None else doc_id), parts.append(data)
+                sizes.append(~len(data) if doc_id is None else len(data))
                 size += len(data)
                 if size >= BLOCK_BYTES:
+                    rest.append(others.slice(start, i + 1 - start))
                     yield row()
-                    number, ids, parts, size = number + 1, [], [], 0
+                    number, ids, sizes, parts, rest, size, start = number + 1, [], [], [], [], 0, i + 1
+            if start < b.num_rows:
+                rest.append(others.slice(start))
         if ids:
             yield row()
 
-    return docs.mapInArrow(run, "block long, ids binary, sizes binary, data binary")
+    return docs.mapInArrow(run, "block long, ids binary, sizes binary, data binary, rest binary")
 
 
 def _rows(b: pa.RecordBatch, *names: str):
@@ -516,7 +535,7 @@ def removal_mask(e: Entries) -> np.ndarray | None:
 def cut(x: Block, gone: np.ndarray | None):
     """(doc_id, bytes, bytes kept, n_removed, n_spans) of a block's documents."""
     at = 0
-    for doc_id, size in zip(x.ids.tolist(), x.sizes.tolist()):
+    for doc_id, unnamed, size in zip(x.ids.tolist(), x.unnamed.tolist(), x.sizes.tolist()):
         whole = raw = x.raw[at : at + size]
         removed = spans = 0
         if gone is not None:
@@ -526,63 +545,69 @@ def cut(x: Block, gone: np.ndarray | None):
                 spans = int(np.count_nonzero(part[1:] & ~part[:-1])) + int(part[0])
                 raw = x.bytes[at : at + size][~part].tobytes()
         at += size
-        yield doc_id, whole, raw, removed, spans
+        yield None if unnamed else doc_id, whole, raw, removed, spans
 
 
-def remove_repeats(docs: DataFrame, keep_bytes: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept) of (doc_id, data)."""
+def answered(docs: DataFrame) -> tuple[DataFrame, int]:
+    """Blocks of (id, bytes, other columns) with all replies, and the number of buckets."""
     spark = docs.sparkSession
     small_batches(spark)
-    blocks = stored(pack_blocks(docs), "blocks")
+    packed = stored(pack_blocks(docs), "blocks")
+    blocks = packed.drop("rest")
     total = blocks.agg(F.sum(F.octet_length("sizes")), F.sum(F.octet_length("data"))).first()
     shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
     partitions = max(shuffle, int((total[1] or 0) * 2.5 / BUCKET_BYTES) + 1)
     buckets = 4 * partitions
     anchors = stored(shared_anchors(blocks, buckets, partitions), "shared")
     release(spark)
-    replies = removed_strings(blocks, anchors, buckets, partitions)
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept", "text_sha256"] * keep_bytes
-    kinds = [pa.int64()] * 4 + [pa.string()] + [pa.binary(), pa.string()] * keep_bytes
+    return with_replies(packed, removed_strings(blocks, anchors, buckets, partitions)), buckets
+
+
+def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256: what is removed from every document, and the digest of what is kept."""
+    blocks, buckets = answered(df.select(df[id_col].cast("long").alias("doc_id"), full_text(text_col).cast("binary").alias("data")))
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    kinds = [pa.int64()] * 4 + [pa.string()]
 
     def run(batches):
         for b in batches:
             for row in _rows(b, *BLOCK):
                 e = Entries(row, buckets)
-                rows = []
-                for doc_id, whole, raw, removed, spans in cut(e.x, removal_mask(e)):
-                    row = None if doc_id == LAST else doc_id, len(whole), removed, spans, hashlib.sha256(raw).hexdigest()
-                    rows.append((*row, raw, hashlib.sha256(whole).hexdigest()) if keep_bytes else row)
+                rows = [(doc_id, len(whole), removed, spans, hashlib.sha256(raw).hexdigest()) for doc_id, whole, raw, removed, spans in cut(e.x, removal_mask(e))]
                 yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows), kinds)], names)
 
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, text_sha256 string" * keep_bytes
-    return with_replies(blocks, replies).mapInArrow(run, schema)
-
-
-def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """What is removed from every document, and the digest of what is kept."""
-    return remove_repeats(df.select(df[id_col].cast("long").alias("doc_id"), full_text(text_col).cast("binary").alias("data")))
+    return blocks.select(*BLOCK).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` with the repeats cut out of its texts (bytes that no longer decode are dropped).
 
-    ``n_chars`` follows where it is a column.  Rows that repeat both doc_id and
-    text have one result, which all of them get.
+    ``n_chars`` follows where it is a column; all other columns travel with their
+    rows through the blocks, whatever their names.
     """
-    kept = remove_repeats(df.select(df[id_col].cast("long").alias("doc_id"), full_text(text_col).cast("binary").alias("data")), keep_bytes=True)
+    at, others = df.columns.index(text_col), [i for i, c in enumerate(df.columns) if c != text_col]
+    docs = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    blocks, buckets = answered(
+        docs.select(F.col(f"c{df.columns.index(id_col)}").cast("long").alias("doc_id"), full_text(f"c{at}").cast("binary").alias("data"), *[F.col(f"c{i}").alias(f"o{i}") for i in others])
+    )
+    names = df.columns
 
-    def decode(batches):
+    def run(batches):
         for b in batches:
-            texts = [x.decode("utf-8", "ignore") for x in b.column("kept").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_sha256"), pa.array(texts, pa.string())], ["__id", "__key", "__text"])
-
-    new = kept.select("doc_id", "text_sha256", "kept").mapInArrow(decode, "__id long, __key string, __text string")
-    new = new.dropDuplicates(["__id", "__key"])
-    same = df[id_col].cast("long").eqNullSafe(new["__id"]) & (F.sha2(full_text(text_col), 256) == new["__key"])
-    out = df.join(new, same)
-    kinds = dict(df.dtypes)
-    columns = [F.col("__text").alias(c) if c == text_col else F.char_length("__text").cast(kinds[c]).alias(c) if c == "n_chars" else df[c] for c in df.columns]
-    return out.select(*columns)
+            for *row, rest in _rows(b, *BLOCK, "rest"):
+                e = Entries(row, buckets)
+                texts = [raw.decode("utf-8", "ignore") for _, _, raw, _, _ in cut(e.x, removal_mask(e))]
+                kept = pa.ipc.open_stream(zstandard.decompress(rest)).read_all().combine_chunks() if rest else None
+                columns = []
+                for i, c in enumerate(names):
+                    if i == at:
+                        columns.append(pa.array(texts, pa.string()))
+                        continue
+                    x = kept.column(others.index(i)).combine_chunks()
+                    columns.append(pa.array([len(t) for t in texts], pa.int64()).cast(x.type) if c == "n_chars" else x)
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    return blocks.select(*BLOCK, "rest").mapInArrow(run, df.schema)
 
 
 def op2_suffix_dedup(spark, sf_dir):
