@@ -134,15 +134,20 @@ def url_path(url: Column) -> Column:
 
 
 def token_counts(df: DataFrame, url_col: str, rules: list[Rule]) -> dict[str, int]:
-    """How often the whole table holds each rule token: at most one row a token."""
-    wanted = sorted({t for r in rules for t in r.tokens})
+    """How many urls of the whole table hold each rule token: at most one row a token.
+
+    The urls' tokens meet the rules' in one join with the rule tokens, which are as
+    many as the rule set has, and are counted before the shuffle.
+    """
+    wanted = sorted({t.lower() for r in rules for t in r.tokens})
     if not wanted:
         return {}
-    padded = F.concat(F.lit(" "), F.regexp_replace(F.lower(F.coalesce(F.col(url_col), F.lit(""))), "[^a-z0-9]+", " "), F.lit(" "))
-    sums = df.select(padded.alias("u")).agg(
-        *[F.sum(F.col("u").contains(f" {t.lower()} ").cast("long")).alias(f"t{i}") for i, t in enumerate(wanted)]
-    ).first()
-    return {t: int(sums[f"t{i}"] or 0) for i, t in enumerate(wanted)}
+    spark = df.sparkSession
+    tokens = F.array_distinct(F.split(F.lower(F.coalesce(F.col(url_col).cast("string"), F.lit(""))), "[^a-z0-9]+"))
+    rule_tokens = spark.createDataFrame(pa.table({"token": pa.array(wanted, pa.string())}))
+    counted = df.select(F.explode(tokens).alias("token")).join(F.broadcast(rule_tokens), "token").groupBy("token").agg(F.count("*").alias("n"))
+    found = {r["token"]: int(r["n"]) for r in counted.collect()}
+    return {t: found.get(t.lower(), 0) for r in rules for t in r.tokens}
 
 
 def filter_urls(df: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: list[Rule] | None = None) -> DataFrame:
