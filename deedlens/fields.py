@@ -15,6 +15,3 @@ FIELDS = (
 )
 REQUIRED = ("borrowers", "loan_amount", "lender_name")
 OPTIONAL = "broker_name"
-
-RECORD_DDL = ", ".join(f"{f} string" for f in FIELDS)
-VALIDATION_DDL = "struct<valid:boolean,value:string,score:double>"

@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..config import ValidationSettings
-from .text import digits_corrected, drop_parens, ocr_correct, strip, title_case
+from .text import bound, digits_corrected, drop_parens, ocr_correct, strip, title_case
 
 DEFAULTS = ValidationSettings()
 
@@ -30,37 +30,37 @@ def _missing() -> Column:
     return outcome(F.lit(False), F.lit(""), F.lit(0.0))
 
 
+#: What the first amount in a text looks like, and the runs of digits of an id.
+AMOUNT, DIGITS = r"\$?([\d,]+\.?\d{0,2})", r"(\d+)"
+
+
 def loan_amount(x: Column, settings: ValidationSettings = DEFAULTS, fixups: bool = False) -> Column:
     """First amount in the text, within bounds, as ``$`` and thousands."""
-    source = digits_corrected(x) if fixups else x
-    found = F.regexp_extract(source, r"\$?([\d,]+\.?\d{0,2})", 1)
-    bare = F.replace(found, F.lit(","), F.lit(""))
-    number = F.when(F.length(bare) <= 300, bare).try_cast("double")
-    cents = F.format_number(number, 2)
-    whole = F.format_number(number, 0)
-    good = number.between(settings.min_loan_amount, settings.max_loan_amount)
-    return (
-        F.when(is_missing(x), _missing())
-        .when(good, outcome(F.lit(True), F.concat(F.lit("$"), F.when(found.contains("."), cents).otherwise(whole)), F.lit(90.0)))
-        .otherwise(outcome(F.lit(False), strip(x), F.lit(10.0)))
-    )
+    found = F.regexp_extract(digits_corrected(x) if fixups else x, AMOUNT, 1)
+
+    def judged(found: Column) -> Column:
+        bare = F.replace(found, F.lit(","), F.lit(""))
+        number = F.when(F.length(bare) <= 300, bare).try_cast("double")
+        return bound(number, lambda n: F.when(
+            (n >= settings.min_loan_amount) & (n <= settings.max_loan_amount),
+            outcome(F.lit(True), F.concat(F.lit("$"), F.when(found.contains("."), F.format_number(n, 2)).otherwise(F.format_number(n, 0))), F.lit(90.0)),
+        ).otherwise(outcome(F.lit(False), strip(x), F.lit(10.0))))
+
+    return F.when(is_missing(x), _missing()).otherwise(bound(found, judged))
 
 
 def longest_digits(x: Column) -> Column:
     """The longest run of digits, the first of equals; empty if there is none."""
-    runs = F.regexp_extract_all(x, F.lit(r"(\d+)"), F.lit(1))
+    runs = F.regexp_extract_all(x, F.lit(DIGITS), F.lit(1))
     return F.aggregate(runs, F.lit(""), lambda best, v: F.when(F.length(v) > F.length(best), v).otherwise(best))
 
 
 def nmls_id(x: Column, settings: ValidationSettings = DEFAULTS, fixups: bool = False) -> Column:
     """Longest digit run of an allowed length."""
     run = longest_digits(digits_corrected(x) if fixups else x)
-    good = F.length(run).between(settings.nmls_min_length, settings.nmls_max_length)
-    return (
-        F.when(is_missing(x), _missing())
-        .when(good, outcome(F.lit(True), run, F.lit(95.0)))
-        .otherwise(outcome(F.lit(False), strip(x), F.lit(20.0)))
-    )
+    good = lambda r: (F.length(r) >= settings.nmls_min_length) & (F.length(r) <= settings.nmls_max_length)
+    judged = bound(run, lambda r: F.when(good(r), outcome(F.lit(True), r, F.lit(95.0))).otherwise(outcome(F.lit(False), strip(x), F.lit(20.0))))
+    return F.when(is_missing(x), _missing()).otherwise(judged)
 
 
 #: A date's pattern and the formats that parse it, in order of preference.
@@ -74,53 +74,63 @@ FIRST_YEAR, YEARS_AHEAD = 1990, 5
 
 
 def date(x: Column, as_of_year: int) -> Column:
-    """The first date that parses and lies in range, as written."""
-    out = F.when(is_missing(x), _missing())
-    for i, (pattern, formats) in enumerate(DATE_RULES):
-        text = F.regexp_extract(x, pattern, 1)
-        day = F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats])
-        good = F.year(day).between(FIRST_YEAR, as_of_year + YEARS_AHEAD)
-        out = out.when(F.when(text != "", good).otherwise(False), outcome(F.lit(True), text, F.lit(90.0 - 5 * i)))
-    return out.otherwise(outcome(F.lit(False), strip(x), F.lit(15.0)))
+    """The first date that parses and lies in range, as written.
+
+    A rule's pattern runs once, and only where no rule before it has found a date.
+    """
+    def by_rule(i: int, pattern: str, formats: tuple[str, ...]) -> Column:
+        def parsed(text: Column) -> Column:
+            year = F.year(F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats]))
+            good = bound(year, lambda y: (y >= FIRST_YEAR) & (y <= as_of_year + YEARS_AHEAD))
+            return F.when(F.when(text != "", good).otherwise(False), outcome(F.lit(True), text, F.lit(90.0 - 5 * i)))
+
+        return bound(F.regexp_extract(x, pattern, 1), parsed)
+
+    found = [by_rule(i, *rule) for i, rule in enumerate(DATE_RULES)]
+    return F.when(is_missing(x), _missing()).otherwise(F.coalesce(*found, outcome(F.lit(False), strip(x), F.lit(15.0))))
+
 
+#: The characters of a person's and of a company's name.
+PERSON, COMPANY = r"^[A-Za-z\s.\-']+$", r"^[A-Za-z0-9\s.\-&,'\"]+$"
 
-def _person_parts(x: Column, fixups: bool) -> tuple[Column, Column, Column]:
-    """(corrected, well formed, has two words) of a person's name."""
-    corrected = strip(x) if fixups else ocr_correct(strip(x))
-    corrected = title_case(corrected)
-    return corrected, corrected.rlike(r"^[A-Za-z\s.\-']+$"), F.size(F.split(strip(corrected), r"\s+")) >= 2
+
+def _corrected(x: Column, fixups: bool) -> Column:
+    return strip(x) if fixups else ocr_correct(strip(x))
+
+
+def _two_words(name: Column) -> Column:
+    return F.size(F.split(strip(name), r"\s+")) >= 2
 
 
 def person(x: Column, fixups: bool = False) -> Column:
     """A person's name in title case."""
-    corrected, good, two = _person_parts(x, fixups)
-    return (
-        F.when(is_missing(x), _missing())
-        .when(good, outcome(F.lit(True), corrected, F.when(two, 85.0).otherwise(60.0)))
-        .otherwise(outcome(F.lit(False), corrected, F.lit(30.0)))
-    )
+    judged = bound(title_case(_corrected(x, fixups)), lambda name: F.when(
+        name.rlike(PERSON), outcome(F.lit(True), name, F.when(_two_words(name), 85.0).otherwise(60.0))
+    ).otherwise(outcome(F.lit(False), name, F.lit(30.0))))
+    return F.when(is_missing(x), _missing()).otherwise(judged)
 
 
 def company(x: Column, fixups: bool = False) -> Column:
     """A company's name."""
-    corrected = strip(x) if fixups else ocr_correct(strip(x))
-    good = corrected.rlike(r"^[A-Za-z0-9\s.\-&,'\"]+$")
-    return (
-        F.when(is_missing(x), _missing())
-        .when(good, outcome(F.lit(True), corrected, F.lit(80.0)))
-        .otherwise(outcome(F.lit(False), corrected, F.lit(30.0)))
-    )
+    judged = bound(_corrected(x, fixups), lambda name: bound(
+        name.rlike(COMPANY), lambda good: outcome(good, name, F.when(good, 80.0).otherwise(30.0))
+    ))
+    return F.when(is_missing(x), _missing()).otherwise(judged)
+
+
+#: The relations that borrowers' names are followed by.
+RELATION = r"(?i)\((husband and wife|spouses|married)\)"
 
 
 def borrowers(x: Column, fixups: bool = False) -> Column:
     """Borrowers: scored without their parenthesised relation, returned as given."""
-    names = drop_parens(x)
-    corrected, good, two = _person_parts(names, fixups)
-    base = F.when(is_missing(names), 0.0).when(good & two, 85.0).when(good, 60.0).otherwise(30.0)
-    valid = ~is_missing(names) & good
-    related = F.when(x.rlike(r"(?i)\((husband and wife|spouses|married)\)"), 10.0).otherwise(0.0)
-    joined = F.when(F.lower(names).contains(" and "), 5.0).otherwise(0.0)
+    related = F.when(x.rlike(RELATION), 10.0).otherwise(0.0)
     value = title_case(strip(x)) if fixups else strip(x)
-    return F.when(is_missing(x), _missing()).otherwise(
-        outcome(valid, value, F.least(base + related + joined, F.lit(95.0)))
-    )
+
+    def judged(names: Column) -> Column:
+        joined = F.when(F.lower(names).contains(" and "), 5.0).otherwise(0.0)
+        base = lambda name: F.when(~name.rlike(PERSON), 30.0).when(_two_words(name), 85.0).otherwise(60.0)
+        score = F.when(is_missing(names), 0.0).otherwise(bound(title_case(_corrected(names, fixups)), base))
+        return bound(score, lambda n: outcome(n > 30, value, F.least(n + related + joined, F.lit(95.0))))
+
+    return F.when(is_missing(x), _missing()).otherwise(bound(drop_parens(x), judged))

@@ -22,15 +22,15 @@ def combine_pages(df: DataFrame, key: str, order: str, text: str, simple: bool =
 
 
 def page_confidence(df: DataFrame, keys: list[str], conf: str = "conf") -> DataFrame:
-    """Mean of word confidences above 0, whole part; 0 if there are none."""
-    c = F.col(conf)
-    return df.groupBy(*keys).agg(F.coalesce(F.avg(F.when(c > 0, c.cast("int"))), F.lit(0.0)).alias("confidence"))
+    """Mean of the word confidences' whole parts that are above 0; 0 if there are none."""
+    c = F.col(conf).cast("int")
+    return df.groupBy(*keys).agg(F.coalesce(F.avg(F.when(c > 0, c)), F.lit(0.0)).alias("confidence"))
 
 
 def page_confidence_simple(df: DataFrame, keys: list[str], conf: str = "conf") -> DataFrame:
     """Mean of word confidences other than -1; 0 if there are none."""
     c = F.col(conf)
-    return df.groupBy(*keys).agg(F.coalesce(F.avg(F.when(c != -1, c.cast("int"))), F.lit(0.0)).alias("confidence"))
+    return df.groupBy(*keys).agg(F.coalesce(F.avg(F.when(c != -1, c.cast("double"))), F.lit(0.0)).alias("confidence"))
 
 
 def page_confidence_fraction(df: DataFrame, keys: list[str], conf: str = "conf") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import ValidationSettings
-from ..fields import FIELDS, OPTIONAL, REQUIRED
+from ..fields import FIELDS, OPTIONAL
 from ..functions import validate as v
 from ..functions.text import ocr_correct, squeeze
 
@@ -64,7 +64,7 @@ def validate_all(df: DataFrame, as_of_year: int, settings: ValidationSettings =
     df = df.withColumn("issues", F.array_compact(F.transform("checked", issue)))
     df = df.withColumn("overall", F.when(F.size(counted) > 0, total / F.size(counted)).otherwise(0.0))
     present = F.lit(True)
-    for f in REQUIRED:
+    for f in settings.required_fields:
         present = present & (F.col(f"v_{f}.value") != "")
     return df.withColumn("is_valid", present & (F.col("overall") >= 50))
 
@@ -80,8 +80,7 @@ def regex_corrections(values: dict[str, Column], fixups: bool = False) -> dict[s
             x = values[f]
             out[f] = F.when((x != "") & (x != "null"), ocr_correct(squeeze(x))).otherwise(x)
     for f in ("lender_nmls_id", "loan_originator_nmls_id"):
-        run = v.longest_digits(values[f])
-        out[f] = F.when(run != "", run).otherwise(values[f])
+        out[f] = F.coalesce(F.nullif(v.longest_digits(values[f]), F.lit("")), values[f])
     return out
 
 

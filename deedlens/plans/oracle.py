@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from ..fields import FIELDS, OPTIONAL, REQUIRED
-from ..functions.text import PAGE_BREAK
-from ..operators.extract import field_prompt
 from . import queries as q
 from .fixtures import AS_OF_YEAR, SOURCE_SQL
 
+PAGE_BREAK = "\n\n--- PAGE BREAK ---\n\n"
 SRC = f"WITH mortgages AS ({SOURCE_SQL})"
 
 
@@ -187,7 +186,10 @@ def _after(label, value=r"([^\n]+)"):
     return rf"nullif(trim(regexp_extract(text, '(?im)^{label}[ \t]*{value}', 1)), '')"
 
 
-_PROMPT = field_prompt("loan_amount").partition("{document_text}")
+_PROMPT = (
+    "Find loan amount in this mortgage document: the principal or loan amount, a large sum in dollars.\n\n",
+    "\n\nAnswer with the value alone, or null.",
+)
 _LOW = " + ".join(f"({f}.score < 50)::INT" for f in FIELDS)
 
 SQL = {
@@ -199,7 +201,7 @@ SQL = {
     "parse_json": f"""WITH r AS ({q.REPLIES_SQL}), i AS (SELECT doc_id, coalesce(nullif(regexp_extract(reply, '(?s)(\\{{.*\\}})', 1), ''), reply) AS j FROM r),
         g AS (SELECT doc_id, CASE WHEN json_valid(j) THEN j ELSE '{{}}' END AS j FROM i)
         SELECT doc_id, j->>'k' AS k, j->>'borrowers' AS borrowers, j->>'loan_amount' AS loan_amount, len(json_keys(coalesce(j, '{{}}')))::BIGINT AS n_keys FROM g""",
-    "render_prompt": f"WITH n AS ({q.NOISY_SQL}) SELECT doc_id, {_lit(_PROMPT[0])} || coalesce(text, '') || {_lit(_PROMPT[2])} AS prompt FROM n",
+    "render_prompt": f"WITH n AS ({q.NOISY_SQL}) SELECT doc_id, {_lit(_PROMPT[0])} || coalesce(text, '') || {_lit(_PROMPT[1])} AS prompt FROM n",
     "split_sections": """WITH d AS (SELECT doc_id, text, length(text) AS n, floor(length(text) * 0.2)::BIGINT AS e FROM documents)
         SELECT doc_id, left(text, e) AS header, substr(text, e + 1, n - 2 * e) AS body, substr(text, n - e + 1, e) AS signature FROM d""",
     "doc_info": "SELECT doc_id, round(strlen(text) * 1000 / (1024 * 1024)::DOUBLE, 2) AS file_size_mb FROM documents",
@@ -240,7 +242,7 @@ SQL = {
     "combine_pages": f"{_PAGES} SELECT doc_id, {_JOINED.format(PAGE_BREAK)} AS text FROM p GROUP BY doc_id",
     "combine_pages_simple": f"{_PAGES} SELECT doc_id, {_JOINED.format(chr(10) * 2)} AS text FROM p GROUP BY doc_id",
     "doc_ocr": f"{_PAGES} SELECT doc_id, {_JOINED.format(PAGE_BREAK)} AS text, round(avg(coalesce(confidence, 0)), 6) AS confidence, sum(processing_time) AS processing_time, count(*) AS pages FROM p GROUP BY doc_id",
-    "page_confidence": f"{_WORDS} SELECT doc_id, page_no, round(coalesce(avg(conf) FILTER (conf > 0), 0), 6)::DOUBLE AS confidence FROM w GROUP BY ALL",
+    "page_confidence": f"{_WORDS} SELECT doc_id, page_no, round(coalesce(avg(trunc(conf)) FILTER (trunc(conf) > 0), 0), 6)::DOUBLE AS confidence FROM w GROUP BY ALL",
     "page_confidence_simple": f"{_WORDS} SELECT doc_id, page_no, round(coalesce(avg(conf) FILTER (conf <> -1), 0), 6)::DOUBLE AS confidence FROM w GROUP BY ALL",
     "page_confidence_easyocr": f"{_WORDS} SELECT doc_id, page_no, round(avg(fraction) * 100, 6)::DOUBLE AS confidence FROM w GROUP BY ALL",
     "batch_summary": f"{_BATCH} SELECT count(*) AS total_documents, count(*) FILTER (status = 'success') AS successful, count(*) FILTER (status = 'failed') AS failed, "

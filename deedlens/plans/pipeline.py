@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..config import ValidationSettings
 from ..fields import FIELDS
 from ..functions.text import clean_text
+from ..functions.validate import DEFAULTS
 from ..operators.extract import rule_strategy, split_sections
 from ..operators.selection import MIN_CONFIDENCE, best_extraction, strategies
 from ..operators.validation import quality_report, validate_all, with_corrections
@@ -20,9 +22,9 @@ def extract_documents(docs: DataFrame, text: str = "text", min_confidence: float
     return best_extraction(strategies([("full_document", whole), ("header_section", header)]), "doc_id", min_confidence)
 
 
-def process(records: DataFrame, as_of_year: int, fixups: bool = False) -> DataFrame:
+def process(records: DataFrame, as_of_year: int, fixups: bool = False, settings: ValidationSettings = DEFAULTS) -> DataFrame:
     """Nine-field records validated, reported and corrected."""
-    return with_corrections(quality_report(validate_all(records, as_of_year, fixups=fixups)), fixups)
+    return with_corrections(quality_report(validate_all(records, as_of_year, settings, fixups)), fixups)
 
 
 def process_documents(docs: DataFrame, as_of_year: int, fixups: bool = False) -> DataFrame:

@@ -24,24 +24,31 @@ NOISE = pick("doc_id", [
     "concat('RILS ID: l234 $  475 , 950 . 00 ', text)",
     "concat(text, chr(10), '4 / 1 / 2025 12 34 {a} 1 2 3 4')",
     "text",
-    "NULL",
-    "'Clerk''s Office  NRLS o L s ARLS'",
+    "concat('Clerk''s Office  NRLS o L s ARLS ', text)",
 ])
-NOISY_SQL = f"SELECT doc_id, {NOISE} AS text FROM (SELECT doc_id, translate(text, '{ACCENTED}', '{PLAIN}') AS text FROM documents) AS plain"
+#: Rows beside those of the tables, for cases that no table holds.
+ODD_TEXTS = "SELECT CAST(-1 AS BIGINT), CAST(NULL AS STRING) UNION ALL SELECT CAST(-2 AS BIGINT), '' UNION ALL SELECT CAST(-3 AS BIGINT), 'Clerk''s Office  NRLS o L s ARLS'"
+NOISY_SQL = f"SELECT doc_id, {NOISE} AS text FROM (SELECT doc_id, translate(text, '{ACCENTED}', '{PLAIN}') AS text FROM documents) AS plain UNION ALL {ODD_TEXTS}"
 ANSWER = pick("o_orderkey", [
     "concat('\"', o_orderpriority, '\"')", "'null'", "'  NULL '", "''", "concat('''', o_orderpriority, ''' ')", "o_orderpriority", "'\"null\"'", "NULL",
 ])
 ANSWERS_SQL = f"SELECT o_orderkey AS doc_id, {ANSWER} AS answer FROM orders"
 REPLY = pick("event_id", [
-    "props", "concat('Here it is: ', props, ' - done')", "substr(props, 1, length(props) - 1)",
-    "'note {\"borrowers\": \"A B\", \"loan_amount\": 475950, \"x\": null} end'", "'no json'", "NULL",
+    "props", "concat('Here it is: ', props, ' - done')",
+    "concat('note {\"borrowers\": \"A B\", \"loan_amount\": 475950, \"x\": null, ', substr(props, 2), ' end')", "concat('Answer:', chr(10), props)",
 ])
-REPLIES_SQL = f"SELECT event_id AS doc_id, {REPLY} AS reply FROM events"
+ODD_REPLIES = "SELECT CAST(-1 AS BIGINT), CAST(NULL AS STRING) UNION ALL SELECT CAST(-2 AS BIGINT), 'no json' UNION ALL SELECT CAST(-3 AS BIGINT), '{\"k\": 5' UNION ALL SELECT CAST(-4 AS BIGINT), ''"
+REPLIES_SQL = f"SELECT event_id AS doc_id, {REPLY} AS reply FROM events UNION ALL {ODD_REPLIES}"
 PAGES_SQL = (
-    "SELECT conv_id AS doc_id, turn AS page_no, CASE WHEN turn % 5 = 3 THEN '' WHEN turn % 5 = 4 THEN NULL ELSE text END AS text, "
-    "CASE WHEN turn % 4 = 3 THEN NULL ELSE CAST((turn * 7 + conv_id) % 100 AS DOUBLE) END AS confidence, CAST(0.25 AS DOUBLE) AS processing_time FROM conversations"
+    "SELECT conv_id AS doc_id, turn AS page_no, text, CASE WHEN turn % 4 = 3 THEN NULL ELSE CAST((turn * 7 + conv_id) % 100 AS DOUBLE) END AS confidence, "
+    "CAST(0.25 AS DOUBLE) AS processing_time FROM conversations UNION ALL "
+    # pages without text stand between and after the others
+    "SELECT conv_id, turn + 100, CASE WHEN turn % 2 = 0 THEN '' END, CAST(50 AS DOUBLE), CAST(0.5 AS DOUBLE) FROM conversations WHERE turn < 3"
+)
+WORDS_SQL = (
+    "SELECT l_orderkey AS doc_id, l_linenumber AS page_no, CAST(CAST(l_quantity AS INT) % 7 - 1 AS DOUBLE) + CASE WHEN l_linenumber % 2 = 0 THEN 0.5 ELSE 0.0 END AS conf, "
+    "l_discount AS fraction FROM lineitem"
 )
-WORDS_SQL = "SELECT l_orderkey AS doc_id, l_linenumber AS page_no, CAST(l_quantity AS INT) % 7 - 1 AS conf, l_discount AS fraction FROM lineitem"
 ENGINES_SQL = (
     "SELECT l_orderkey AS doc_id, l_linenumber AS page_no, CASE WHEN l_suppkey % 2 = 0 THEN 'tesseract' ELSE 'easyocr' END AS engine, "
     "l_suppkey % 2 AS rank, CASE WHEN l_quantity > 40 THEN ' ' ELSE concat(l_returnflag, l_linestatus) END AS text, "

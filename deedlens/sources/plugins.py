@@ -107,7 +107,7 @@ def recognise(df: DataFrame, engines: list[OcrEngine]) -> DataFrame:
                     began = time.perf_counter()
                     try:
                         text, confs = engine.read(bytes(image))
-                        used = [int(c) for c in confs if c > 0]
+                        used = [int(c) for c in confs if int(c) > 0]
                         row = (text, sum(used) / len(used) if used else 0.0, None)
                     except Exception as e:  # noqa: BLE001
                         row = ("", 0.0, str(e))

@@ -126,6 +126,31 @@ def test_sections_and_prompt(spark):
         extract.field_prompt("nothing", strict=True)
 
 
-def test_no_duplicated_validators_in_plan(spark):
-    plan = validation.validate_all(records(spark, A), 2026)._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in plan and "Python" not in plan
+def test_patterns_run_once(spark):
+    """Each pattern stands once in the optimised plan for each field that it judges."""
+    plan = validation.validate_all(records(spark, A), 2026)._jdf.queryExecution()
+    assert "Exchange" not in plan.executedPlan().toString() and "Python" not in plan.executedPlan().toString()
+    text = plan.optimizedPlan().toString()
+    assert text.count(v.AMOUNT) == 1 and text.count(v.RELATION) == 1 and text.count(r"\([^)]+\)") == 1
+    assert [text.count(pattern) for pattern, _ in v.DATE_RULES] == [1, 1, 1, 1]
+    assert text.count(v.PERSON) == 2 and text.count(v.COMPANY) == 3 and text.count(v.DIGITS) == 2
+
+
+def test_settings_reach_the_validators(spark):
+    from deedlens.config import ValidationSettings
+
+    own = ValidationSettings(max_loan_amount=1000.0, nmls_max_length=4, required_fields=("recording_date",))
+    a, empty = process(records(spark, A, EMPTY), 2026, settings=own).orderBy("doc_id").collect()
+    assert (a["v_loan_amount"]["valid"], a["v_lender_nmls_id"]["valid"], a["v_loan_originator_nmls_id"]["valid"]) == (False, True, False)
+    assert not empty["is_valid"]
+    (b,) = process(records(spark, (None, *A[1:])), 2026, settings=own).collect()
+    assert b["is_valid"] == (b["overall"] >= 50)
+
+
+def test_fractional_confidences(spark):
+    from deedlens.operators import pages
+
+    df = spark.createDataFrame([(1, 0.5), (1, 95.7), (1, 80.2), (1, -1.0), (2, -1.0), (3, 0.0)], "doc_id int, conf double")
+    by = lambda op: {r["doc_id"]: round(r["confidence"], 4) for r in op(df, ["doc_id"]).collect()}
+    assert by(pages.page_confidence) == {1: 87.5, 2: 0.0, 3: 0.0}
+    assert by(pages.page_confidence_simple) == {1: 58.8, 2: 0.0, 3: 0.0}
