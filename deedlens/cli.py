@@ -1,61 +1,122 @@
-"""Command line: texts of a file or folder to validated records."""
+"""Command line: files or texts of a folder to validated records."""
 
 from __future__ import annotations
 
 import argparse
 import datetime
+import importlib
 import logging
+import os
 import sys
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import config
 from .operators.summary import batch_summary, individual_results
-from .plans.pipeline import process_documents
-from .sources.files import documents, exists, format_summary, write_results, write_summary, write_texts
+from .plans.pipeline import kept, process_documents, process_files
+from .sources.files import documents, exists, format_result, format_summary, is_folder, save_results, write_results, write_summary, write_texts
 
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="deedlens")
-    p.add_argument("--input", "-i", required=True)
+    p.add_argument("--input", "-i", required=True, help="a file, or a folder with --batch")
     p.add_argument("--output", "-o", required=True)
-    p.add_argument("--config", "-c")
-    p.add_argument("--profile")
-    p.add_argument("--log-level", default="INFO", choices=["DEBUG", "INFO", "WARNING", "ERROR"])
+    p.add_argument("--config", "-c", help="settings as nested JSON")
+    p.add_argument("--profile", choices=sorted(config.PROFILES))
+    p.add_argument("--log-level", default=None, choices=["DEBUG", "INFO", "WARNING", "ERROR"])
     p.add_argument("--save-intermediates", action="store_true")
     p.add_argument("--batch", action="store_true", help="input is a folder")
-    p.add_argument("--pattern", default="*.txt")
+    p.add_argument("--pattern", default=None, help="files of the folder (*.pdf with a rasterizer, else *.txt)")
+    p.add_argument("--plugins", help="module with rasterizer, engines, enhancer and client(settings), each optional")
+    p.add_argument("--rules", action="store_true", help="extract by rules: no model, no API key")
     p.add_argument("--fixups", action="store_true", help="intended instead of observable corrections")
     return p
 
 
+def local_folder(path: str) -> str | None:
+    """The folder of a path that ordinary file functions reach."""
+    return path.removeprefix("file://") if path.startswith("file://") or "://" not in path else None
+
+
+def set_up_logging(level: str, folder: str | None) -> logging.Handler | None:
+    """Messages go to the console and, where the output is a local folder, to its ``processing.log``."""
+    shape = "%(asctime)s %(levelname)s %(message)s"
+    logging.basicConfig(level=level, format=shape)
+    logging.getLogger().setLevel(level)
+    if folder is None:
+        return None
+    os.makedirs(folder, exist_ok=True)
+    handler = logging.FileHandler(os.path.join(folder, "processing.log"))
+    handler.setFormatter(logging.Formatter(shape))
+    logging.getLogger().addHandler(handler)
+    return handler
+
+
+def extracted(spark: SparkSession, args: argparse.Namespace, settings: config.Settings, work: str) -> DataFrame:
+    """Final records of the input, with the file name as ``document``."""
+    plug = importlib.import_module(args.plugins) if args.plugins else None
+    rasterizer, make = getattr(plug, "rasterizer", None), getattr(plug, "client", None)
+    if not args.rules and make is None:
+        raise ValueError("no model client: name --plugins with one, or take --rules")
+    client = None if args.rules else make(settings.api_config())
+    pattern = (args.pattern or ("*.txt" if rasterizer is None else "*.pdf")) if args.batch else "*"
+    docs = documents(spark, args.input, pattern, text=rasterizer is None)
+    year = datetime.date.today().year
+    if rasterizer is None:
+        if args.save_intermediates:
+            write_texts(docs, f"{args.output}/ocr_text")
+        results = process_documents(docs.select("doc_id", "text"), year, args.fixups, settings, client, work=work)
+    else:
+        results = process_files(docs, rasterizer, plug.engines, work, year, settings, client, getattr(plug, "enhancer", None), args.fixups)
+    return results.withColumn("document", F.element_at(F.split("doc_id", "/"), -1))
+
+
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
-    logging.basicConfig(level=args.log_level, format="%(asctime)s %(levelname)s %(message)s")
-    config.load(args.config, args.profile)
-    spark = SparkSession.builder.appName("deedlens").getOrCreate()
+    settings = config.load(args.config, args.profile)
+    folder = local_folder(args.output)
+    handler = set_up_logging(args.log_level or settings.processing.log_level, folder)
+    args.save_intermediates = args.save_intermediates or settings.processing.save_intermediates
     try:
-        if not exists(spark, args.input):
-            logging.error("no such path: %s", args.input)
+        if not args.rules and not settings.api_key:
+            logging.error("%s is not set", config.API_KEY)
             return 1
-        docs = documents(spark, args.input, args.pattern if args.batch else "*", text=True)
-        if args.save_intermediates:
-            write_texts(docs, f"{args.output}/ocr_text")
-        results = process_documents(docs.select("doc_id", "text"), datetime.date.today().year, args.fixups)
-        results = results.withColumn("document", F.element_at(F.split("doc_id", "/"), -1))
-        write_results(results, f"{args.output}/results")
-        stored = spark.read.schema(results.schema).json(f"{args.output}/results")
-        summary = batch_summary(stored)
-        write_summary(summary, f"{args.output}/processing_summary")
-        write_results(individual_results(stored), f"{args.output}/individual_results")
-        print(format_summary(summary.first(), []))
+        spark = SparkSession.builder.appName("deedlens").getOrCreate()
+        if not exists(spark, args.input) or is_folder(spark, args.input) != args.batch:
+            logging.error("no such %s: %s", "folder" if args.batch else "file", args.input)
+            return 1
+        work = f"{args.output}/_work"
+        results = kept(extracted(spark, args, settings, work), work, "results")
+        if folder is None:
+            write_results(results, f"{args.output}/results")
+        else:
+            def save(name: str, data: bytes) -> None:
+                with open(os.path.join(folder, name), "wb") as f:
+                    f.write(data)
+
+            save_results(results, save)
+        if args.batch:
+            summary = batch_summary(results)
+            write_summary(summary, f"{args.output}/processing_summary")
+            write_results(individual_results(results), f"{args.output}/individual_results")
+            print(format_summary(summary.first(), []))
+        else:
+            print(format_result(results.first()))
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(work)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        logging.info("done: %s", args.output)
         return 0
     except KeyboardInterrupt:
+        logging.info("interrupted")
         return 0
     except Exception:
         logging.exception("failed")
         return 1
+    finally:
+        if handler is not None:
+            logging.getLogger().removeHandler(handler)
+            handler.close()
 
 
 if __name__ == "__main__":

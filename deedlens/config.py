@@ -79,6 +79,7 @@ ENVIRONMENT = {
 }
 API_KEY = "GOOGLE_API_KEY"
 
+#: Fixed values.
 PROFILES = {
     "development": {
         "ocr": {"dpi": 150, "enhance_images": False},
@@ -130,11 +131,6 @@ def load(path: str | None = None, profile: str | None = None, env: dict[str, str
     return settings
 
 
-def flat_config(path: str, base: dict) -> dict:
-    """The command line's config: a flat merge, nested sections have no effect on flat keys."""
-    return {**base, **json.loads(Path(path).read_text())}
-
-
 def validate(settings: Settings) -> dict:
     """``{is_valid, issues}`` of the settings."""
     issues = []

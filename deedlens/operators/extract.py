@@ -63,6 +63,20 @@ def split_sections(text: Column, share: float = 0.2) -> Column:
     )
 
 
+SECTIONS = ("header", "body", "signature")
+
+
+def section_texts(docs: DataFrame, text: str = "text") -> list[tuple[str, DataFrame]]:
+    """(doc_id, text) of each section."""
+    parts = docs.select("doc_id", split_sections(F.col(text)).alias("part"))
+    return [(s, parts.select("doc_id", F.col(f"part.{s}").alias("text"))) for s in SECTIONS]
+
+
+def rule_sections(docs: DataFrame) -> list[tuple[str, DataFrame]]:
+    """The rule extractor on every section, one candidate each."""
+    return [(f"{s}_section", rule_strategy(df)) for s, df in section_texts(docs)]
+
+
 #: One question per field, and a fallback.
 HINTS = {
     "borrowers": "the names after a borrower or mortgagor label, near the start",
@@ -83,6 +97,18 @@ FULL_TEMPLATE = (
 )
 
 
+SECTION_HINTS = {
+    "header": "This is its beginning: title, recording stamp and terms of the loan.",
+    "body": "This is its middle: borrowers, amount and lender.",
+    "signature": "This is its end: signatures, originator, broker and licence numbers.",
+}
+
+
+def section_prompt(section: str) -> str:
+    """The prompt template of a section of a document."""
+    return f"Part of a mortgage document follows. {SECTION_HINTS[section]}\n\n{{document_text}}\n\nAnswer with one JSON object of what it states, with keys among " + ", ".join(FIELDS) + "."
+
+
 def field_prompt(field: str, strict: bool = False) -> str:
     """The prompt template of one field; unknown fields get the fallback or raise."""
     if field not in HINTS and strict:

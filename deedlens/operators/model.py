@@ -8,6 +8,7 @@ a model may answer differently, and calls cost.
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from ..functions.jsonparse import parse_json
 from ..functions.scoring import extraction_confidence
 from ..functions.text import parse_scalar
 from ..sources.plugins import LlmClient, ask
-from .extract import FULL_TEMPLATE, field_prompt
+from .extract import FULL_TEMPLATE, SECTIONS, field_prompt, section_prompt, section_texts
 
 #: Prompts of the field-by-field strategy: the fields each answers, one as text, more as JSON.
 GROUPS = {
@@ -76,7 +77,23 @@ def field_by_field(docs: DataFrame, client: LlmClient, tries: int = 2, retries:
     return _scored(wide, F.coalesce(*FIELDS).isNotNull()).select("doc_id", *FIELDS, "confidence", "attempts", "processing_time", "errors")
 
 
-STRATEGIES = {"full_document": full_document, "field_by_field": field_by_field}
+def section_based(docs: DataFrame, client: LlmClient, tries: int = 1, retries: int = 3, delay: float = 1.0) -> DataFrame:
+    """One prompt a section, put together: a field comes from the first section that states it."""
+    asked = [ask(df, client, {s: section_prompt(s)}, tries, retries, delay) for s, df in section_texts(docs)]
+    rows = reduce(DataFrame.unionByName, asked)
+    answer = lambda s: F.max(F.when(F.col("prompt") == s, F.col("answer"))).alias(f"a_{s}")
+    errors = F.array_sort(F.collect_list(F.struct("prompt", "errors")))  # three rows a document
+    wide = rows.groupBy("doc_id").agg(
+        *[answer(s) for s in SECTIONS], F.sum("attempts").cast("int").alias("attempts"), F.sum("processing_time").alias("processing_time"),
+        F.flatten(F.transform(errors, lambda e: e["errors"])).alias("errors"),
+    )
+    wide = wide.withColumns({f"p_{s}": parse_json(F.coalesce(f"a_{s}", F.lit(""))) for s in SECTIONS})
+    stated = lambda s, f: F.nullif(F.try_element_at(f"p_{s}", F.lit(f)), F.lit(""))
+    wide = wide.withColumns({f: F.coalesce(*[stated(s, f) for s in SECTIONS]) for f in FIELDS})
+    return _scored(wide, F.coalesce(*FIELDS).isNotNull()).select("doc_id", *FIELDS, "confidence", "attempts", "processing_time", "errors")
+
+
+STRATEGIES = {"full_document": full_document, "field_by_field": field_by_field, "section_based": section_based}
 
 
 def run_strategies(docs: DataFrame, client: LlmClient, names: tuple[str, ...] = ("full_document", "field_by_field"), **how) -> list[tuple[str, DataFrame]]:

@@ -2,24 +2,37 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import ValidationSettings
+from ..config import Settings, ValidationSettings
 from ..fields import FIELDS
 from ..functions.text import clean_text
 from ..functions.validate import DEFAULTS
-from ..operators.extract import rule_strategy, split_sections
-from ..operators.selection import MIN_CONFIDENCE, best_extraction, strategies
+from ..operators.extract import rule_sections, rule_strategy
+from ..operators.model import run_strategies
+from ..operators.pages import doc_ocr
+from ..operators.selection import MIN_CONFIDENCE, best_extraction, best_ocr, strategies
 from ..operators.validation import quality_report, validate_all, with_corrections
+from ..sources.plugins import ImageEnhancer, LlmClient, OcrEngine, Rasterizer, enhance, rasterize, recognise
+
+
+def kept(df: DataFrame, work: str, name: str) -> DataFrame:
+    """``df`` written below ``work``, a folder all executors share, and read back.
+
+    What plug-ins answer is asked for once, whatever reads it and whichever executor is lost.
+    """
+    path = f"{work}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def extract_documents(docs: DataFrame, text: str = "text", min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """Best extraction of every (doc_id, text): whole document, then its sections."""
-    whole = rule_strategy(docs.select("doc_id", F.col(text).alias("text")))
-    parts = docs.select("doc_id", split_sections(F.col(text)).alias("part"))
-    header = rule_strategy(parts.select("doc_id", F.col("part.header").alias("text")))
-    return best_extraction(strategies([("full_document", whole), ("header_section", header)]), "doc_id", min_confidence)
+    """Best extraction of every (doc_id, text) by rules: of the whole document or of its three sections."""
+    docs = docs.select("doc_id", F.col(text).alias("text"))
+    return best_extraction(strategies([("full_document", rule_strategy(docs)), *rule_sections(docs)]), "doc_id", min_confidence)
 
 
 def process(records: DataFrame, as_of_year: int, fixups: bool = False, settings: ValidationSettings = DEFAULTS) -> DataFrame:
@@ -27,23 +40,79 @@ def process(records: DataFrame, as_of_year: int, fixups: bool = False, settings:
     return with_corrections(quality_report(validate_all(records, as_of_year, settings, fixups)), fixups)
 
 
-def process_documents(docs: DataFrame, as_of_year: int, fixups: bool = False) -> DataFrame:
+def process_documents(
+    docs: DataFrame, as_of_year: int, fixups: bool = False, settings: Settings = Settings(),
+    client: LlmClient | None = None, names: tuple[str, ...] = ("full_document", "field_by_field"), work: str | None = None,
+) -> DataFrame:
     """Texts to final records: status, final fields, scores and report.
 
-    A document without text failed; all others succeed, whatever was found.
+    With a ``client`` the named strategies ask it and their answers are kept below
+    ``work``; without one, rules extract.  A document without text failed; all others
+    succeed, whatever was found.
     """
     bad = F.col("text").isNull()
-    best = extract_documents(docs.where(~bad))
-    done = process(best, as_of_year, fixups)
+    if client is None:
+        best = extract_documents(docs.where(~bad), min_confidence=settings.ai.min_confidence)
+    else:
+        if work is None:
+            raise ValueError("answers of a model need a folder to be kept in")
+        asked = run_strategies(docs.where(~bad).select("doc_id", "text"), client, names, retries=settings.ai.max_retries, delay=settings.ai.retry_delay)
+        best = best_extraction(strategies([(name, kept(df, work, name)) for name, df in asked]), "doc_id", settings.ai.min_confidence)
+    done = process(best, as_of_year, fixups, settings.validation)
     ok = done.select(
         "doc_id", F.lit("success").alias("status"), F.lit(None).cast("string").alias("error"),
         *[F.col(f"final.{f}").alias(f) for f in FIELDS],
-        "confidence", "overall", "is_valid", "completeness", "issues", "field_breakdown", "recommendations", "field_scores", "processing_time",
+        "confidence", "strategy_used", "attempts", "overall", "is_valid", "completeness", "issues", "field_breakdown", "recommendations", "field_scores", "processing_time",
     )
-    failed = docs.where(bad).select("doc_id", F.lit("failed").alias("status"), F.lit("no text").alias("error"))
+    failed = docs.where(bad).select("doc_id", F.lit("failed").alias("status"), (F.col("error") if "error" in docs.columns else F.lit("no text")).alias("error"))
     return ok.unionByName(failed, allowMissingColumns=True)
 
 
-def cleaned(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``clean_text``."""
-    return docs.withColumn("clean_text", clean_text(F.col(text)))
+def read_documents(
+    docs: DataFrame, rasterizer: Rasterizer, engines: list[OcrEngine], work: str, enhancer: ImageEnhancer | None = None,
+    preferred: str | None = None, clean: bool = False,
+) -> DataFrame:
+    """(doc_id, content) files to (doc_id, text, ocr_confidence, ocr_seconds, pages, error).
+
+    Pages are rendered, enhanced, read by every engine and joined from the best.  A
+    document that cannot be rendered, or has no page, has a null text and an error.
+    """
+    pages = kept(rasterize(docs, rasterizer), work, "pages")
+    images = pages.where(F.col("image").isNotNull())
+    if enhancer is not None:
+        images = enhance(images, enhancer)
+    read = kept(recognise(images, engines), work, "ocr")
+    best = best_ocr(read, ["doc_id", "page_no"], preferred)
+    seconds = read.groupBy("doc_id", "page_no").agg(F.sum("processing_time").alias("processing_time"))
+    text = doc_ocr(best.join(seconds, ["doc_id", "page_no"]), "doc_id", simple=True)
+    wrong = pages.groupBy("doc_id").agg(F.max("error").alias("error"))
+    out = docs.select("doc_id").join(wrong, "doc_id", "left").join(text, "doc_id", "left")
+    whole = F.when(F.col("error").isNull() & F.col("text").isNotNull(), clean_text(F.col("text")) if clean else F.col("text"))
+    return out.select(
+        "doc_id", whole.alias("text"), F.col("confidence").alias("ocr_confidence"), F.col("processing_time").alias("ocr_seconds"),
+        F.coalesce("pages", F.lit(0)).alias("pages"), F.when(whole.isNull(), F.coalesce("error", F.lit("no pages"))).alias("error"),
+    )
+
+
+def process_files(
+    docs: DataFrame, rasterizer: Rasterizer, engines: list[OcrEngine], work: str, as_of_year: int,
+    settings: Settings = Settings(), client: LlmClient | None = None, enhancer: ImageEnhancer | None = None, fixups: bool = False, **how,
+) -> DataFrame:
+    """(doc_id, content) files to final records, with what each stage found in ``stages``."""
+    read = kept(read_documents(docs, rasterizer, engines, work, enhancer if settings.ocr.enhance_images else None), work, "texts")
+    done = process_documents(read, as_of_year, fixups, settings, client, work=work, **how)
+    return with_stages(done, read)
+
+
+def with_stages(done: DataFrame, read: DataFrame) -> DataFrame:
+    """Final records with the pages, the OCR and the extraction they come from."""
+    stages = read.select(
+        "doc_id", F.struct("pages").alias("conversion"),
+        F.struct(F.char_length("text").alias("text_length"), F.col("ocr_confidence").alias("confidence"), F.col("ocr_seconds").alias("processing_time")).alias("ocr"),
+    )
+    out = done.join(stages, "doc_id")
+    extraction = F.struct("strategy_used", "confidence", "attempts", "processing_time")
+    validation = F.struct(F.col("overall").alias("confidence"), "is_valid", F.size("issues").alias("issues_count"))
+    out = out.withColumn("stages", F.struct("conversion", "ocr", extraction.alias("extraction"), validation.alias("validation"))).drop("conversion", "ocr")
+    seconds = F.coalesce("processing_time", F.lit(0.0)) + F.coalesce("stages.ocr.processing_time", F.lit(0.0))
+    return out.withColumn("processing_time", seconds)

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..fields import FIELDS
+
 
 def documents(spark: SparkSession, path: str, pattern: str = "*.pdf", text: bool = False) -> DataFrame:
     """(doc_id, document, content, length) of a file, or of a folder's files by pattern.
@@ -19,15 +23,30 @@ def documents(spark: SparkSession, path: str, pattern: str = "*.pdf", text: bool
     return df.withColumn("text", F.decode("content", "UTF-8")) if text else df
 
 
+def png_size(image: Column) -> Column:
+    """(width, height) in the header of a PNG image; null for other bytes."""
+    number = lambda at: F.conv(F.hex(F.substring(image, at, 4)), 16, 10).cast("int")
+    return F.when(F.hex(F.substring(image, 1, 8)) == "89504E470D0A1A0A", F.struct(number(17).alias("width"), number(21).alias("height")))
+
+
 def doc_info(df: DataFrame, pages: DataFrame | None = None) -> DataFrame:
-    """Size in MB, two decimals; with ``pages`` (doc_id, page_no, error) also page_count and error."""
+    """Size in MB, two decimals; with ``pages`` (doc_id, page_no, error, image) also page_count, first_page_size and error."""
     info = df.select("doc_id", F.round(F.col("length") / (1024 * 1024), 2).alias("file_size_mb"))
     if pages is None:
         return info
-    counted = pages.groupBy("doc_id").agg(F.count_if(F.col("error").isNull()).alias("page_count"), F.max("error").alias("error"))
+    first = png_size(F.col("image")) if "image" in pages.columns else F.lit(None).cast("struct<width:int,height:int>")
+    counted = pages.groupBy("doc_id").agg(
+        F.count_if(F.col("error").isNull()).alias("page_count"), F.max(F.when(F.col("page_no") == 1, first)).alias("first_page_size"), F.max("error").alias("error")
+    )
     return info.join(counted, "doc_id", "left").withColumn("page_count", F.coalesce("page_count", F.lit(0)))
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    """Whether a path is a folder."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return exists(spark, path) and at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path is there, in any store Spark can reach."""
     jvm = spark.sparkContext._jvm
@@ -40,6 +59,28 @@ def write_results(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
+def result_document(df: DataFrame) -> DataFrame:
+    """(name, json): one document's whole result, for ``<name>_result.json``."""
+    have = lambda c, kind="string": F.col(c) if c in df.columns else F.lit(None).cast(kind)
+    name = F.regexp_replace("document", r"\.[^.]*$", "")
+    quality = F.struct(F.col("overall").alias("overall_score"), "is_valid", "completeness", "field_breakdown", "recommendations")
+    whole = F.struct(
+        name.alias("document_name"), F.col("doc_id").cast("string").alias("path"), "status", "error", F.struct(*FIELDS).alias("final_data"), quality.alias("quality_report"),
+        F.struct("issues", "field_scores").alias("validation_details"), have("stages").alias("stages"), F.col("processing_time").alias("total_processing_time"),
+    )
+    return df.select(name.alias("name"), F.to_json(whole, {"ignoreNullFields": "false"}).alias("json"))
+
+
+def save_results(df: DataFrame, save: Callable[[str, bytes], None]) -> None:
+    """Hands every document's result to ``save`` (file name, bytes) on the executors; saving again replaces."""
+
+    def run(rows) -> None:
+        for r in rows:
+            save(f"{r['name']}_result.json", r["json"].encode())
+
+    result_document(df).foreachPartition(run)
+
+
 def write_summary(df: DataFrame, path: str) -> None:
     """A one-row summary as JSON."""
     df.coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
@@ -55,6 +96,18 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
+def format_result(row) -> str:
+    """The console's text of one document: scores, fields and recommendations, or its error."""
+    lines = [f"Document: {row['document']}", f"Status: {row['status']}"]
+    if row["status"] != "success":
+        return "\n".join([*lines, f"Error: {row['error']}"])
+    lines += [f"Overall confidence: {row['overall']:.1f}%", f"Completeness: {row['completeness']:.1f}%", f"Seconds: {row['processing_time'] or 0:.2f}", "Fields:"]
+    lines += [f"  {f}: {row[f] if row[f] and row[f].lower() != 'null' else '[Not Found]'}" for f in FIELDS]
+    if row["recommendations"]:
+        lines += ["Recommendations:", *(f"  - {r}" for r in row["recommendations"])]
+    return "\n".join(lines)
+
+
 def format_summary(row, rows) -> str:
     """The console's text: one batch row and a few document rows."""
     lines = [

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from deedlens import cli, config, doctor
 from deedlens.fields import FIELDS
-from deedlens.operators import model, pages, selection, summary
+from deedlens.operators import model, pages, selection, summary, verify
+from deedlens.plans import pipeline
 from deedlens.plans.pipeline import process_documents
 from deedlens.sources import files, plugins
 from deedlens.streaming import ingest
@@ -140,7 +141,6 @@ def test_settings(tmp_path):
     nested = tmp_path / "c.json"
     nested.write_text(json.dumps({"ai": {"temperature": 3, "unknown": 1}}))
     assert config.validate(config.load(str(nested), env={"GOOGLE_API_KEY": "k"}))["issues"] == ["temperature must be between 0 and 2"]
-    assert config.flat_config(str(nested), {"pdf_dpi": 300})["pdf_dpi"] == 300
     with pytest.raises(ValueError):
         config.load(env={}).api_config()
 
@@ -153,10 +153,118 @@ def test_files_cli_and_stream(spark, tmp_path):
     docs = files.documents(spark, str(source), "*.txt", text=True)
     assert [r["document"] for r in docs.collect()] == ["a.txt"]
     assert files.documents(spark, str(source), "*.none").count() == 0
-    assert cli.main(["-i", str(tmp_path / "no"), "-o", str(tmp_path / "o")]) == 1
-    assert cli.main(["-i", str(source), "-o", str(tmp_path / "o"), "--batch", "--save-intermediates"]) == 0
-    assert spark.read.json(str(tmp_path / "o/processing_summary")).first()["successful"] == 1
-    assert "broker_name" in next((tmp_path / "o/results").glob("*.json")).read_text()  # nulls are kept
+    out = str(tmp_path / "o")
+    assert cli.main(["-i", str(tmp_path / "no"), "-o", out, "--rules"]) == 1
+    assert cli.main(["-i", str(source), "-o", out, "--rules"]) == 1  # a folder without --batch
+    assert cli.main(["-i", str(source / "a.txt"), "-o", out, "--rules", "--batch"]) == 1
+    assert cli.main(["-i", str(source), "-o", out, "--rules", "--batch", "--save-intermediates"]) == 0
+    assert spark.read.json(f"{out}/processing_summary").first()["successful"] == 1
+    result = json.loads((tmp_path / "o/a_result.json").read_text())
+    assert result["document_name"] == "a" and result["final_data"]["broker_name"] is None  # nulls are kept
+    assert "no such folder" in (tmp_path / "o/processing.log").read_text() and not (tmp_path / "o/_work").exists()
     q = ingest.run(ingest.text_stream(spark, str(source)), str(tmp_path / "s"), str(tmp_path / "cp"), 2026)
     q.awaitTermination(120)
     assert spark.read.json(str(tmp_path / "s")).count() == 1
+
+
+def test_cli_settings_and_exit_codes(spark, tmp_path, monkeypatch, capsys):
+    (tmp_path / "a.txt").write_text(TEXT)
+    (tmp_path / "own.json").write_text(json.dumps({"validation": {"max_loan_amount": 1000.0}}))
+    run = lambda *more: cli.main(["-i", str(tmp_path / "a.txt"), "-o", str(tmp_path / "o"), *more])
+    monkeypatch.delenv("GOOGLE_API_KEY", raising=False)
+    assert run() == 1 and "GOOGLE_API_KEY is not set" in (tmp_path / "o/processing.log").read_text()
+    assert run("--rules") == 0
+    shown = capsys.readouterr().out
+    assert "  broker_name: [Not Found]" in shown and "  loan_amount: 475,950.00" in shown and "Status: success" in shown
+    assert run("--rules", "-c", str(tmp_path / "own.json")) == 0
+    assert json.loads((tmp_path / "o/a_result.json").read_text())["validation_details"]["field_scores"]["loan_amount"] == 10.0
+    monkeypatch.setenv("GOOGLE_API_KEY", "k")
+    assert run() == 1  # a key, but no client
+
+
+class Enhancer:
+    def enhance(self, image):
+        return image.upper()
+
+
+class TextEngine:
+    def __init__(self, name, text, confidences):
+        self.name, self.text, self.confidences = name, text, confidences
+
+    def read(self, image):
+        if image.endswith(b"3"):
+            raise RuntimeError("unreadable")
+        return self.text if image.endswith(b"1") else "page " + image.decode(), self.confidences
+
+
+def test_files_to_records(spark, tmp_path):
+    """Render, enhance, read, join, ask, choose, validate and report, all by fakes."""
+    docs = spark.createDataFrame([("in/a.pdf", bytearray(b"p")), ("in/b.pdf", bytearray(b"bad"))], "doc_id string, content binary")
+    engines = [TextEngine("one", "blurred", [20.0]), TextEngine("two", TEXT, [90.0, 70.0])]
+    read = {r["doc_id"]: r for r in pipeline.read_documents(docs, Pages(), engines, str(tmp_path / "w"), Enhancer()).collect()}
+    a, b = read["in/a.pdf"], read["in/b.pdf"]
+    assert a["text"] == TEXT + "\n\npage P2" and a["pages"] == 3 and abs(a["ocr_confidence"] - 160 / 3) < 1e-9 and a["error"] is None
+    assert b["text"] is None and b["error"] == "not a document"
+    for client in (None, Answers()):
+        got = pipeline.process_files(docs, Pages(), engines, str(tmp_path / "w"), 2026, client=client, enhancer=Enhancer())
+        a, b = got.orderBy("doc_id").collect()
+        assert (a["status"], b["status"], b["error"]) == ("success", "failed", "not a document")
+        assert a["stages"]["conversion"]["pages"] == 3 and a["stages"]["ocr"]["text_length"] == len(TEXT) + 9
+        assert a["stages"]["extraction"]["strategy_used"] == a["strategy_used"] and a["stages"]["validation"]["confidence"] == a["overall"]
+        assert a["borrowers"] is not None and a["is_valid"]
+    saved = {r["name"]: json.loads(r["json"]) for r in files.result_document(got.withColumn("document", F.element_at(F.split("doc_id", "/"), -1))).collect()}
+    assert set(saved) == {"a", "b"} and saved["b"]["error"] == "not a document" and saved["a"]["stages"]["ocr"]["confidence"] > 50
+
+
+class Sections:
+    """Each section states the fields that stand there; all name a lender."""
+
+    def complete(self, prompt):
+        found = {"lender_name": "First" if "beginning" in prompt else "Later"}
+        if "middle" in prompt:
+            found |= {"borrowers": "A B", "loan_amount": 20000}
+        if "its end" in prompt:
+            return 'Here: {"lender_name": "Later", "loan_originator_name": "C D", "borrowers": null}'
+        return json.dumps(found)
+
+
+def test_sections(spark):
+    docs = spark.createDataFrame([(1, "header " * 30 + "body " * 60 + "signature " * 30)], "doc_id long, text string")
+    ((name, df),) = model.run_strategies(docs, Sections(), ("section_based",), delay=0.0)
+    r = df.first()
+    assert name == "section_based" and r["attempts"] == 3
+    assert (r["lender_name"], r["borrowers"], r["loan_amount"], r["loan_originator_name"], r["broker_name"]) == ("First", "A B", "20000", "C D", None)
+    late = spark.createDataFrame([(1, "x" * 300 + "\nLender: Last Bank\n")], "doc_id long, text string")
+    assert pipeline.extract_documents(late).first()["lender_name"] == "Last Bank"
+
+
+class Checker:
+    def complete(self, prompt):
+        if prompt.startswith("Is "):
+            return 'So: {"is_valid": false, "confidence_score": 40, "issues_found": ["letter"], "suggested_correction": "3901"}' if "= 390l" in prompt else "no idea"
+        if "Rate each" in prompt:
+            assert '"broker_name":null' in prompt
+            return '{"lender_nmls_id": {"value": "390l", "confidence": 55, "reasoning": "one letter"}}'
+        assert "gave: 390l" in prompt and "lender nmls id" in prompt
+        return '"3901"'
+
+
+def test_second_questions(spark):
+    rows = [(1, "NMLS 3901", "390l", *[None] * 8), (2, "x", "5", *[None] * 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lender_nmls_id string, " + ", ".join(f"{f} string" for f in FIELDS if f != "lender_nmls_id"))
+    a, b = verify.check_value(df, "lender_nmls_id", Checker(), delay=0.0).orderBy("doc_id").collect()
+    assert (a["is_valid"], a["confidence_score"], a["issues_found"], a["suggested_correction"]) == (False, 40.0, ["letter"], "3901") and b["is_valid"] is None
+    assert verify.assess(df, Checker(), delay=0.0).first()["confidences"]["lender_nmls_id"]["confidence"] == 55.0
+    assert verify.clarify(df.where("doc_id = 1"), "lender_nmls_id", Checker(), delay=0.0).first()["value"] == "3901"
+
+
+def test_first_page_size(spark):
+    png = bytes.fromhex("89504E470D0A1A0A") + b"\0\0\0\rIHDR" + (640).to_bytes(4, "big") + (480).to_bytes(4, "big") + b"rest"
+    pages = spark.createDataFrame([("a", 1, bytearray(png), None), ("a", 2, bytearray(b"x"), None), ("b", 1, bytearray(b"x"), None)], "doc_id string, page_no int, image binary, error string")
+    info = {r["doc_id"]: r["first_page_size"] for r in files.doc_info(spark.createDataFrame([("a", 9), ("b", 9)], "doc_id string, length long"), pages).collect()}
+    assert tuple(info["a"]) == (640, 480) and info["b"] is None
+
+
+def test_enhance(spark):
+    df = spark.createDataFrame([(1, bytearray(b"ab")), (2, None)], "n int, image binary")
+    assert [None if r["image"] is None else bytes(r["image"]) for r in plugins.enhance(df, Enhancer()).orderBy("n").collect()] == [b"AB", None]
