@@ -198,28 +198,28 @@ class Knapsack:
     """The largest price of every room up to a sequence (copies unbounded), and what reaches it."""
 
     def __init__(self, lengths: np.ndarray, price: np.ndarray, size: int):
-        self.lengths, self.price = lengths, price  # lengths ascend
-        self.best, self.choice = np.zeros(size + 1), np.full(size + 1, -1)
-        fits = np.searchsorted(lengths, np.arange(size + 1), "right")
+        self.lengths, self.price = lengths, price
+        self.best, self.choice = np.zeros(size + 1), np.zeros(size + 1, np.int64)  # choice: a length, or 0
+        of, gain = np.full(size + 1, -np.inf), np.empty(size + 1)
+        of[lengths] = price
+        best, choice = self.best, self.choice
         for c in range(1, size + 1):
-            self.best[c] = self.best[c - 1]
-            n = fits[c]
-            if n:
-                gain = self.best[c - lengths[:n]] + price[:n]
-                k = int(gain.argmax())
-                if gain[k] > self.best[c]:
-                    self.best[c], self.choice[c] = gain[k], k
+            # the last piece has length 1 ... c, which leaves room c - 1 ... 0
+            np.add(best[c - 1 :: -1], of[1 : c + 1], out=gain[:c])
+            k = int(gain[:c].argmax())
+            if gain[k] > best[c - 1]:
+                best[c], choice[c] = gain[k], k + 1
+            else:
+                best[c] = best[c - 1]
 
     def through(self, s: int) -> Config:
         """The configuration of the largest price that holds length ``s``."""
         out, room = {s: 1}, len(self.best) - 1 - s
         while room > 0:
-            if self.choice[room] < 0:
-                room -= 1
-            else:
-                n = int(self.lengths[self.choice[room]])
+            n = int(self.choice[room])
+            if n:
                 out[n] = out.get(n, 0) + 1
-                room -= n
+            room -= n or 1
         return out
 
     def dearest(self, most: int) -> list[Config]:
