@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import full_text, table
+from .common import full_text, table, text_blocks
 
 BLOCK = 576  # samples in a packet; payloads are a multiple of it
 RATE = 8000  # samples a second
@@ -229,6 +229,8 @@ def features(samples: bytes, stream: Stream, rate: int) -> str:
     )
 
 
+#: Bytes of texts that are Python objects at a time.
+BLOCK_BYTES = 4_000_000
 FIELDS = (
     ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()),
     ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()),
@@ -253,8 +255,9 @@ def media_column(df: DataFrame, text_col: str = "text", media_col: str = "media"
 
     def store(batches):
         for b in batches:
-            media = pa.array([encode(padded(x or b"")) for x in b.column(len(names)).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], media], [*names, media_col])
+            for lo, hi, texts in text_blocks(b, len(names), BLOCK_BYTES):
+                media = pa.array([encode(padded(x or b"")) for x in texts], pa.binary())
+                yield pa.RecordBatch.from_arrays([*b.slice(lo, hi - lo).columns[:-1], media], [*names, media_col])
 
     schema = df.select(*names).schema.add(media_col, "binary")
     return out.mapInArrow(store, schema)
@@ -267,11 +270,12 @@ def media_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def measure(batches):
         for b in batches:
-            found = list(zip(*(digest(x) for x in b.column("data").to_pylist()))) or [()] * len(FIELDS)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), *(pa.array(v, t) for v, (_, t) in zip(found, FIELDS))],
-                ["doc_id", *(n for n, _ in FIELDS)],
-            )
+            for lo, hi, texts in text_blocks(b, "data", BLOCK_BYTES):
+                found = zip(*(digest(x or b"") for x in texts))
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("doc_id").slice(lo, hi - lo), *(pa.array(v, t) for v, (_, t) in zip(found, FIELDS))],
+                    ["doc_id", *(n for n, _ in FIELDS)],
+                )
 
     return rows.mapInArrow(measure, schema)
 
