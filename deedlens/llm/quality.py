@@ -98,19 +98,21 @@ def fold(id_col: Column, modulus: int) -> Column:
     return F.crc32(id_col.cast("string")) % modulus
 
 
-def labelled_sample(rows: DataFrame, labels: DataFrame, label: str, held: Column, limit: int, also: Column) -> DataFrame:
-    """At most ``limit`` of the rows that have a label that may be learned from, of the smallest id hash.
+def labelled_sample(rows: DataFrame, labels: DataFrame, label: str, held: Column, limit: int) -> DataFrame:
+    """The rows of at most ``limit`` labels that may be learned from, of the smallest id hash, with the label as ``y``.
 
     Labels of documents that ``rows`` does not hold do not count towards the limit.
-    Rows of equal id and label go in the order of ``also``, a number made of what is learned.
     """
     usable = labels.select(labels["doc_id"].alias("k"), labels[label].cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("k").isNotNull() & ~held)
     there = rows.select(rows["doc_id"].alias("there"))
     usable = usable.join(there, usable["k"] == there["there"], "left_semi")
     picked = usable.orderBy(F.xxhash64("k"), "k", "y").limit(limit)
-    joined = rows.join(F.broadcast(picked), rows["doc_id"] == picked["k"])  # bounded by limit
-    # an id may have several rows
-    return joined.withColumn("also", also).orderBy(F.xxhash64("k"), "k", "y", "also").limit(limit).drop("k", "also")
+    return rows.join(F.broadcast(picked), rows["doc_id"] == picked["k"]).drop("k")  # bounded by limit
+
+
+def bounded(sample: DataFrame, limit: int, *learned: str) -> DataFrame:
+    """At most ``limit`` rows of a sample, where ids have several rows; the columns ``learned`` break ties."""
+    return sample.orderBy(F.xxhash64("doc_id"), "doc_id", "y", F.xxhash64(*learned)).limit(limit)
 
 
 @dataclass
@@ -211,12 +213,12 @@ def _tree(parts, binned, offset, edges, g, h, raw, depth, rate, penalty, least)
 
 def fit_quality(features: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 3, held: int = 1, limit: int = FIT_ROWS) -> Trees:
     """Trees fitted on a bounded sample of the labelled rows outside the held-out fold."""
-    return fit_rows(labelled_sample(features, labels, label, fold(F.col("k"), modulus) == held, limit, F.xxhash64("x")))
+    return fit_rows(labelled_sample(features, labels, label, fold(F.col("k"), modulus) == held, limit), limit)
 
 
-def fit_rows(rows: DataFrame) -> Trees:
-    """Trees fitted on all of the (bounded) rows of statistics ``x`` and label ``y``."""
-    sample = rows.select("x", "y").toPandas()
+def fit_rows(rows: DataFrame, limit: int = FIT_ROWS) -> Trees:
+    """Trees fitted on at most ``limit`` rows of statistics ``x`` and label ``y``."""
+    sample = bounded(rows, limit, "x").select("x", "y").toPandas()
     x = np.array(sample["x"].tolist(), np.float32).reshape(-1, len(FEATURES))
     order = np.lexsort([*x.T, sample["y"].to_numpy()]) if len(x) else np.zeros(0, int)
     model = grow(x[order], sample["y"].to_numpy(float)[order])
@@ -247,7 +249,7 @@ def quality_scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 
 def keep_quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
     """The rows of ``df`` whose text scores ``least`` or more, with their own columns."""
-    wanted = labelled_sample(df.select(df[id_col].alias("doc_id"), df[text_col].alias("text")), labels, "quality", fold(F.col("k"), 3) == 1, FIT_ROWS, F.xxhash64("text"))
+    wanted = labelled_sample(df.select(df[id_col].alias("doc_id"), df[text_col].alias("text")), labels, "quality", fold(F.col("k"), 3) == 1, FIT_ROWS)
     model = fit_rows(feature_table(wanted, "doc_id", "text", "y"))
     at = df.columns.index(text_col)
 

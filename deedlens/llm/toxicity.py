@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import dropped, full_text, give_back, stored, table, text_blocks
-from .quality import fold, labelled_sample
+from .quality import bounded, fold, labelled_sample
 
 #: Labelled documents that are learned from at most: those of the smallest hash of their id.
 FIT_DOCUMENTS = 8_000
@@ -196,7 +196,7 @@ def train(texts: list[str] | Corpus, y: np.ndarray, steps: int = 1200, batch: in
 def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 5, held: int = 0, limit: int = FIT_DOCUMENTS) -> Subwords:
     """The model from a bounded sample of labelled documents outside the held-out fold."""
     docs = df.select(df[id_col].alias("doc_id"), full_text(text_col).alias("text"))
-    rows = labelled_sample(docs, labels, "toxic", fold(F.col("k"), modulus) == held, limit, F.xxhash64("text"))
+    rows = labelled_sample(docs, labels, "toxic", fold(F.col("k"), modulus) == held, limit)
 
     def bags(batches):
         for b in batches:
@@ -217,6 +217,8 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
 
     kind = dict(docs.dtypes)["doc_id"]
     sample = stored(rows.select("doc_id", "y", "text").mapInArrow(bags, f"doc_id {kind}, y int, words array<string>, hashes binary, shares binary"), "bags")
+    if sample.count() > limit:  # ids with several texts
+        sample = stored(bounded(sample, limit, "hashes", "shares"), "bags")
     got = sample.select("doc_id", "y", "hashes", "shares").orderBy("doc_id", "y", "hashes", "shares").toArrow()  # bounded by limit
     y = got["y"].to_numpy().astype(np.int64)
     documents = [(np.frombuffer(h.as_py(), np.uint64), np.frombuffer(x.as_py(), np.float32)) for h, x in zip(got["hashes"], got["shares"])]

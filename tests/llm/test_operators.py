@@ -263,15 +263,18 @@ def test_classifiers_edges(spark, odd):
 def test_sample_counts_only_documents_that_are_there(spark):
     labels = spark.range(100).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"))
     rows = spark.range(60, 100).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
-    got = quality.labelled_sample(rows, labels, "quality", F.col("k") % 10 == 0, 30, F.xxhash64("text")).collect()
+    got = quality.labelled_sample(rows, labels, "quality", F.col("k") % 10 == 0, 30).collect()
     assert len(got) == 30 and all(r["doc_id"] >= 60 and r["doc_id"] % 10 and r["y"] == r["doc_id"] % 2 for r in got)
 
 
 def test_sample_is_bounded_by_rows(spark):
     labels = spark.createDataFrame([(1, 1), (2, 0), (1, 0)], "doc_id long, toxic int")
     rows = spark.range(200).select((F.col("id") % 2 + 1).alias("doc_id"), F.col("id").cast("string").alias("text"))
-    got = [r["text"] + str(r["y"]) for r in quality.labelled_sample(rows, labels, "toxic", F.lit(False), 40, F.xxhash64("text")).collect()]
-    again = [r["text"] + str(r["y"]) for r in quality.labelled_sample(rows.repartition(5), labels, "toxic", F.lit(False), 40, F.xxhash64("text")).collect()]
+    def sample(rows):
+        found = quality.labelled_sample(rows, labels, "toxic", F.lit(False), 40)
+        return [r["text"] + str(r["y"]) for r in quality.bounded(found, 40, "text").collect()]
+
+    got, again = sample(rows), sample(rows.repartition(5))
     assert len(got) == 40 and sorted(got) == sorted(again)
 
 
