@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from .bpe import op9_byte_bpe
+from .centroids import OP12_SQL, op12_centroid_clustering
 from .html_main import op1_html_extraction
+from .language import op11_language_id
 from .merkle import OP6_SQL, op6_document_fingerprints
 from .minhash import op10_minhash_near_dedup
 from .ogg import op7_media_columns
@@ -24,9 +26,12 @@ QUERIES = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op11_language_id": op11_language_id,
+    "op12_centroid_clustering": op12_centroid_clustering,
 }
 
 SQL = {
     "op4_url_filter": OP4_SQL,
     "op6_document_fingerprints": OP6_SQL,
+    "op12_centroid_clustering": OP12_SQL,
 }
