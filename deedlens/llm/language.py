@@ -114,8 +114,8 @@ class Languages:
 
     def evidence(self, words: list[str]) -> np.ndarray:
         """Every word's score for every language: 0 where it says nothing, the least for languages that do not use its script."""
-        if not words:
-            return np.zeros((0, len(self.names)), np.float32)
+        if not words or not self.names:
+            return np.zeros((len(words), len(self.names)), np.float32)
         bucket, of, script = grams(words)
         sums = np.stack([np.bincount(of, self.logs[bucket, k], len(words)) for k in range(len(self.names))], 1)
         may = self.uses[script]
