@@ -171,7 +171,7 @@ _JOINED = "coalesce(string_agg(text, '{}' ORDER BY page_no) FILTER (text <> ''),
 _ENGINES = "WITH e AS (" + q.ENGINES_SQL + ")"
 
 
-def _clean(x):
+def clean_sql(x):
     steps = [
         (r"\s+", " "), (r"\bO\b", "0"), (r"\bl\b", "1"), (r"\bS\b", "5"), (r"\b(RILS|NRLS|ARLS)\b", "NMLS"), (r"\$\s+", "$"),
         (r"(\d)\s+(\d)", r"\1\2"), (r"\b(\d{1,2})\s*/\s*(\d{1,2})\s*/\s*(\d{4})\b", r"\1/\2/\3"), (r"[|_]{2,}", ""), (r"[\[\]{}]", ""),
@@ -193,7 +193,7 @@ _PROMPT = (
 _LOW = " + ".join(f"({f}.score < 50)::INT" for f in FIELDS)
 
 SQL = {
-    "clean_text": f"WITH n AS ({q.NOISY_SQL}) SELECT doc_id, {_clean('text')} AS cleaned FROM n",
+    "clean_text": f"WITH n AS ({q.NOISY_SQL}) SELECT doc_id, {clean_sql('text')} AS cleaned FROM n",
     "ocr_correct": f"{SRC} SELECT doc_id, {ocr('lender_name')} AS lender, {ocr('borrowers')} AS borrowers FROM mortgages",
     "title_case": f"{SRC} SELECT doc_id, {title('loan_originator_name')} AS name, {title(ocr('borrowers'))} AS borrowers FROM mortgages",
     "parse_scalar": f"""WITH a AS ({q.ANSWERS_SQL}), b AS (SELECT doc_id, regexp_replace({strip('answer')}, '^["'']+|["'']+$', '', 'g') AS v FROM a)
