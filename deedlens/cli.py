@@ -66,7 +66,7 @@ def extracted(spark: SparkSession, args: argparse.Namespace, settings: config.Se
     if rasterizer is None:
         if args.save_intermediates:
             write_texts(docs, f"{args.output}/ocr_text")
-        results = process_documents(docs.select("doc_id", "text"), year, args.fixups, settings, client, work=work)
+        results = process_documents(docs.select("doc_id", "text", "error"), year, args.fixups, settings, client, work=work)
     else:
         results = process_files(docs, rasterizer, plug.engines, work, year, settings, client, getattr(plug, "enhancer", None), args.fixups)
     return results.withColumn("document", F.element_at(F.split("doc_id", "/"), -1))

@@ -23,3 +23,11 @@ def parse_json(x: Column) -> Column:
 def record(parsed: Column) -> Column:
     """The nine fields of a parsed answer, others dropped."""
     return F.struct(*[F.try_element_at(parsed, F.lit(f)).alias(f) for f in FIELDS])
+
+
+def merge_answers(answers: Column) -> Column:
+    """An array of maps folded in its order: later keys win, also with a null; a null map changes nothing."""
+    def over(merged: Column, more: Column) -> Column:
+        return F.when(more.isNull(), merged).otherwise(F.map_concat(F.map_filter(merged, lambda k, _: ~F.map_contains_key(more, k)), more))
+
+    return F.aggregate(answers, F.from_json(F.lit("{}"), MAP), over)

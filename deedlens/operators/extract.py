@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..fields import FIELDS
 from ..functions.scoring import extraction_confidence
+from ..functions.text import bound
 
 #: Labels a value follows on its line.
 LABELS = {
@@ -72,6 +73,25 @@ def section_texts(docs: DataFrame, text: str = "text") -> list[tuple[str, DataFr
     return [(s, parts.select("doc_id", F.col(f"part.{s}").alias("text"))) for s in SECTIONS]
 
 
+def rule_candidates(text: Column) -> Column:
+    """The rule extractor on the whole text and on every section: an array of candidates in the row.
+
+    The patterns stand once in the plan, in a lambda that runs for each part.
+    """
+    def found(part: Column) -> Column:
+        return F.struct(part["strategy"].alias("strategy"), part["rank"].alias("rank"), *[x.alias(f) for f, x in extract_rules(part["text"]).items()])
+
+    def scored(c: Column) -> Column:
+        confidence = extraction_confidence({f: c[f] for f in FIELDS}, F.coalesce(*[c[f] for f in FIELDS]).isNotNull())
+        return F.struct(c["strategy"].alias("strategy"), c["rank"].alias("rank"), *[c[f].alias(f) for f in FIELDS], confidence.alias("confidence"), F.lit(1).alias("attempts"), F.lit(0.0).alias("processing_time"))
+
+    parts = bound(split_sections(text), lambda s: F.array(
+        F.struct(F.lit("full_document").alias("strategy"), F.lit(0).alias("rank"), text.alias("text")),
+        *[F.struct(F.lit(f"{name}_section").alias("strategy"), F.lit(i).alias("rank"), s[name].alias("text")) for i, name in enumerate(SECTIONS, 1)],
+    ))
+    return F.transform(F.transform(parts, found), scored)
+
+
 def rule_sections(docs: DataFrame) -> list[tuple[str, DataFrame]]:
     """The rule extractor on every section, one candidate each."""
     return [(f"{s}_section", rule_strategy(df)) for s, df in section_texts(docs)]

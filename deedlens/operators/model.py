@@ -14,9 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..fields import FIELDS
-from ..functions.jsonparse import parse_json
+from ..functions.jsonparse import merge_answers, parse_json
 from ..functions.scoring import extraction_confidence
-from ..functions.text import parse_scalar
+from ..functions.text import bound, parse_scalar
 from ..sources.plugins import LlmClient, ask
 from .extract import FULL_TEMPLATE, SECTIONS, field_prompt, section_prompt, section_texts
 
@@ -59,7 +59,7 @@ def full_document(docs: DataFrame, client: LlmClient, tries: int = 2, retries: i
 
 
 def field_by_field(docs: DataFrame, client: LlmClient, tries: int = 2, retries: int = 3, delay: float = 1.0) -> DataFrame:
-    """Five prompts a document, put together; one row a document."""
+    """Five prompts a document; their answers are merged in this order, later ones over earlier ones."""
     rows = ask(docs, client, {name: group_prompt(fields) for name, fields in GROUPS.items()}, tries, retries, delay)
     answer = lambda name: F.max(F.when(F.col("prompt") == name, F.col("answer"))).alias(f"a_{name}")
     errors = F.array_sort(F.collect_list(F.struct("prompt", "errors")))  # five rows a document
@@ -68,12 +68,10 @@ def field_by_field(docs: DataFrame, client: LlmClient, tries: int = 2, retries:
         F.sum("attempts").cast("int").alias("attempts"), F.sum("processing_time").alias("processing_time"),
         F.flatten(F.transform(errors, lambda e: e["errors"])).alias("errors"),
     )
-    wide = wide.withColumns({f"p_{name}": parse_json(F.coalesce(f"a_{name}", F.lit(""))) for name, fields in GROUPS.items() if len(fields) > 1})
-    values = {}
-    for name, fields in GROUPS.items():
-        for f in fields:
-            values[f] = parse_scalar(F.col(f"a_{name}")) if len(fields) == 1 else F.try_element_at(f"p_{name}", F.lit(f))
-    wide = wide.withColumns({f: values[f] for f in FIELDS})
+    one = lambda name: bound(parse_scalar(F.col(f"a_{name}")), lambda x: F.when(x.isNotNull(), F.create_map(F.lit(GROUPS[name][0]), x)))
+    parts = [one(name) if len(fields) == 1 else parse_json(F.coalesce(f"a_{name}", F.lit(""))) for name, fields in GROUPS.items()]
+    wide = wide.withColumn("merged", merge_answers(F.array(*parts)))
+    wide = wide.withColumns({f: F.try_element_at("merged", F.lit(f)) for f in FIELDS})
     return _scored(wide, F.coalesce(*FIELDS).isNotNull()).select("doc_id", *FIELDS, "confidence", "attempts", "processing_time", "errors")
 
 

@@ -6,6 +6,7 @@ and argmax is ``max(struct(score, -rank, ...))``: one partial-aggregated shuffle
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..fields import FIELDS
 from ..functions.scoring import extraction_confidence, is_filled
+from ..functions.text import bound
 
 MIN_CONFIDENCE = 30.0
 
@@ -90,3 +92,38 @@ def best_extraction(df: DataFrame, key: str = "doc_id", min_confidence: float =
         pick(F.col("all_attempts"), F.col("best.attempts").cast("long")).alias("attempts"),
         pick(F.col("all_time"), F.col("best.processing_time")).alias("processing_time"),
     )
+
+
+def best_in(candidates: Column, min_confidence: float = MIN_CONFIDENCE) -> Column:
+    """The same choice within a row: of an array of structs to one struct, without a shuffle.
+
+    A candidate has strategy, rank, nine fields, confidence, attempts and processing_time.
+    """
+    def largest(rows: Column, score: Callable[[Column], Column], value: Callable[[Column], Column]) -> Column:
+        return F.array_max(F.transform(rows, lambda c: F.struct(score(c).alias("score"), (-c["rank"]).alias("order"), value(c).alias("value"))))["value"]
+
+    def merged_field(f: str) -> Column:
+        return largest(F.filter(candidates, lambda c: is_filled(c[f])), lambda c: F.length(c[f]) * c["confidence"] / 100, lambda c: c[f])
+
+    total = lambda name, zero: F.aggregate(candidates, zero, lambda s, c: s + c[name])
+    both = F.struct(
+        largest(candidates, lambda c: c["confidence"], lambda c: c).alias("best"), F.struct(*[merged_field(f).alias(f) for f in FIELDS]).alias("merged"),
+        total("attempts", F.lit(0).cast("long")).alias("attempts"), total("processing_time", F.lit(0.0)).alias("time"),
+    )
+
+    def chosen(b: Column) -> Column:
+        merged = {f: b["merged"][f] for f in FIELDS}
+        score = extraction_confidence(merged, reduce(lambda x, y: x | y, [is_filled(x) for x in merged.values()]))
+        return bound(F.struct(b.alias("b"), score.alias("score")), pick)
+
+    def pick(x: Column) -> Column:
+        b, score = x["b"], x["score"]
+        use = (b["best"]["confidence"] < min_confidence) & (score > b["best"]["confidence"])
+        one = lambda merged, best: F.when(use, merged).otherwise(best)
+        return F.struct(
+            *[one(b["merged"][f], b["best"][f]).alias(f) for f in FIELDS], one(score, b["best"]["confidence"]).alias("confidence"),
+            one(F.lit("merged"), b["best"]["strategy"]).alias("strategy_used"), one(b["attempts"], b["best"]["attempts"].cast("long")).alias("attempts"),
+            one(b["time"], b["best"]["processing_time"]).alias("processing_time"),
+        )
+
+    return bound(both, chosen)

@@ -171,6 +171,14 @@ _JOINED = "coalesce(string_agg(text, '{}' ORDER BY page_no) FILTER (text <> ''),
 _ENGINES = "WITH e AS (" + q.ENGINES_SQL + ")"
 
 
+def _has(i, key):
+    return f"coalesce(list_contains(json_keys(j{i}), '{key}'), false)"
+
+
+def _stated(i, key):
+    return f"WHEN {_has(i, key)} THEN j{i}->>'$.{key}'"
+
+
 def clean_sql(x):
     steps = [
         (r"\s+", " "), (r"\bO\b", "0"), (r"\bl\b", "1"), (r"\bS\b", "5"), (r"\b(RILS|NRLS|ARLS)\b", "NMLS"), (r"\$\s+", "$"),
@@ -201,6 +209,10 @@ SQL = {
     "parse_json": f"""WITH r AS ({q.REPLIES_SQL}), i AS (SELECT doc_id, coalesce(nullif(regexp_extract(reply, '(?s)(\\{{.*\\}})', 1), ''), reply) AS j FROM r),
         g AS (SELECT doc_id, CASE WHEN json_valid(j) THEN j ELSE '{{}}' END AS j FROM i)
         SELECT doc_id, j->>'k' AS k, j->>'borrowers' AS borrowers, j->>'loan_amount' AS loan_amount, len(json_keys(coalesce(j, '{{}}')))::BIGINT AS n_keys FROM g""",
+    "json_merge": f"""WITH p AS ({q.PARTS_SQL}),
+j AS (SELECT doc_id, {', '.join(f"try_cast(nullif(regexp_extract(p{i}, '(?s)({chr(92)}{{.*{chr(92)}}})', 1), '') AS JSON) AS j{i}" for i in (1, 2, 3))} FROM p)
+SELECT doc_id, {', '.join(f"CASE {' '.join(_stated(i, k) for i in (3, 2, 1))} END AS {k}" for k in ('borrowers', 'loan_amount', 'lender_name', 'lender_nmls_id'))},
+  CAST({' + '.join(f"({' OR '.join(_has(i, k) for i in (1, 2, 3))})::INT" for k in ('borrowers', 'loan_amount', 'lender_name', 'lender_nmls_id', 'x'))} AS BIGINT) AS n_keys FROM j""",
     "render_prompt": f"WITH n AS ({q.NOISY_SQL}) SELECT doc_id, {_lit(_PROMPT[0])} || coalesce(text, '') || {_lit(_PROMPT[1])} AS prompt FROM n",
     "split_sections": """WITH d AS (SELECT doc_id, text, length(text) AS n, floor(length(text) * 0.2)::BIGINT AS e FROM documents)
         SELECT doc_id, left(text, e) AS header, substr(text, e + 1, n - 2 * e) AS body, substr(text, n - e + 1, e) AS signature FROM d""",

@@ -11,14 +11,18 @@ from ..config import Settings, ValidationSettings
 from ..fields import FIELDS
 from ..functions.text import clean_text
 from ..functions.validate import DEFAULTS
-from ..operators.extract import rule_sections, rule_strategy
+from ..operators.extract import rule_candidates
 from ..operators.model import run_strategies
 from ..operators.pages import doc_ocr
-from ..operators.selection import MIN_CONFIDENCE, best_extraction, best_ocr, strategies
+from ..operators.selection import MIN_CONFIDENCE, best_extraction, best_in, best_ocr, strategies
 from ..operators.validation import quality_report, validate_all, with_corrections
 from ..sources.plugins import ImageEnhancer, LlmClient, OcrEngine, Rasterizer, enhance, rasterize, recognise
 
 
+#: What a final record tells beside its fields.
+FOUND = ("confidence", "strategy_used", "attempts", "overall", "is_valid", "completeness", "issues", "field_breakdown", "recommendations", "field_scores", "processing_time")
+
+
 def kept(df: DataFrame, work: str, name: str) -> DataFrame:
     """``df`` written below ``work``, a folder all executors share, and read back.
 
@@ -29,10 +33,13 @@ def kept(df: DataFrame, work: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def extract_documents(docs: DataFrame, text: str = "text", min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """Best extraction of every (doc_id, text) by rules: of the whole document or of its three sections."""
-    docs = docs.select("doc_id", F.col(text).alias("text"))
-    return best_extraction(strategies([("full_document", rule_strategy(docs)), *rule_sections(docs)]), "doc_id", min_confidence)
+def extract_documents(docs: DataFrame, text: str = "text", min_confidence: float = MIN_CONFIDENCE, *keep: str) -> DataFrame:
+    """Best extraction of every (doc_id, text) by rules, of the whole document or of its three sections, and the columns ``keep``.
+
+    A row's candidates are chosen from within the row: one pass, no shuffle.
+    """
+    best = docs.select("doc_id", *keep, best_in(rule_candidates(F.col(text)), min_confidence).alias("best"))
+    return best.select("doc_id", *keep, "best.*")
 
 
 def process(records: DataFrame, as_of_year: int, fixups: bool = False, settings: ValidationSettings = DEFAULTS) -> DataFrame:
@@ -50,22 +57,23 @@ def process_documents(
     ``work``; without one, rules extract.  A document without text failed; all others
     succeed, whatever was found.
     """
-    bad = F.col("text").isNull()
+    error = F.coalesce(F.col("error"), F.lit("no text")) if "error" in docs.columns else F.lit("no text")
+    docs = docs.select("doc_id", "text", F.when(F.col("text").isNull(), error).alias("error"))
+    bad = F.col("error").isNotNull()
     if client is None:
-        best = extract_documents(docs.where(~bad), min_confidence=settings.ai.min_confidence)
-    else:
-        if work is None:
-            raise ValueError("answers of a model need a folder to be kept in")
-        asked = run_strategies(docs.where(~bad).select("doc_id", "text"), client, names, retries=settings.ai.max_retries, delay=settings.ai.retry_delay)
-        best = best_extraction(strategies([(name, kept(df, work, name)) for name, df in asked]), "doc_id", settings.ai.min_confidence)
+        done = process(extract_documents(docs, "text", settings.ai.min_confidence, "error"), as_of_year, fixups, settings.validation)
+        good = lambda x, name: F.when(~bad, x).alias(name)
+        return done.select(
+            "doc_id", F.when(bad, "failed").otherwise("success").alias("status"), "error",
+            *[good(F.col(f"final.{f}"), f) for f in FIELDS], *[good(F.col(c), c) for c in FOUND],
+        )
+    if work is None:
+        raise ValueError("answers of a model need a folder to be kept in")
+    asked = run_strategies(docs.where(~bad).select("doc_id", "text"), client, names, retries=settings.ai.max_retries, delay=settings.ai.retry_delay)
+    best = best_extraction(strategies([(name, kept(df, work, name)) for name, df in asked]), "doc_id", settings.ai.min_confidence)
     done = process(best, as_of_year, fixups, settings.validation)
-    ok = done.select(
-        "doc_id", F.lit("success").alias("status"), F.lit(None).cast("string").alias("error"),
-        *[F.col(f"final.{f}").alias(f) for f in FIELDS],
-        "confidence", "strategy_used", "attempts", "overall", "is_valid", "completeness", "issues", "field_breakdown", "recommendations", "field_scores", "processing_time",
-    )
-    failed = docs.where(bad).select("doc_id", F.lit("failed").alias("status"), (F.col("error") if "error" in docs.columns else F.lit("no text")).alias("error"))
-    return ok.unionByName(failed, allowMissingColumns=True)
+    ok = done.select("doc_id", F.lit("success").alias("status"), F.lit(None).cast("string").alias("error"), *[F.col(f"final.{f}").alias(f) for f in FIELDS], *FOUND)
+    return ok.unionByName(docs.where(bad).select("doc_id", F.lit("failed").alias("status"), "error"), allowMissingColumns=True)
 
 
 def read_documents(
@@ -75,17 +83,16 @@ def read_documents(
     """(doc_id, content) files to (doc_id, text, ocr_confidence, ocr_seconds, pages, error).
 
     Pages are rendered, enhanced, read by every engine and joined from the best.  A
-    document that cannot be rendered, or has no page, has a null text and an error.
+    document with a page that cannot be rendered or enhanced, or without pages, has a
+    null text and an error; the others go on.
     """
     pages = kept(rasterize(docs, rasterizer), work, "pages")
-    images = pages.where(F.col("image").isNotNull())
-    if enhancer is not None:
-        images = enhance(images, enhancer)
-    read = kept(recognise(images, engines), work, "ocr")
-    best = best_ocr(read, ["doc_id", "page_no"], preferred)
-    seconds = read.groupBy("doc_id", "page_no").agg(F.sum("processing_time").alias("processing_time"))
+    read = kept(recognise(pages if enhancer is None else enhance(pages, enhancer), engines), work, "ocr")
+    seen = read.where(F.col("engine").isNotNull())
+    best = best_ocr(seen, ["doc_id", "page_no"], preferred)
+    seconds = seen.groupBy("doc_id", "page_no").agg(F.sum("processing_time").alias("processing_time"))
     text = doc_ocr(best.join(seconds, ["doc_id", "page_no"]), "doc_id", simple=True)
-    wrong = pages.groupBy("doc_id").agg(F.max("error").alias("error"))
+    wrong = read.where(F.col("engine").isNull()).groupBy("doc_id").agg(F.min_by("error", "page_no").alias("error"))
     out = docs.select("doc_id").join(wrong, "doc_id", "left").join(text, "doc_id", "left")
     whole = F.when(F.col("error").isNull() & F.col("text").isNotNull(), clean_text(F.col("text")) if clean else F.col("text"))
     return out.select(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..fields import FIELDS
 from ..functions import text as t
 from ..functions import validate as v
-from ..functions.jsonparse import parse_json
+from ..functions.jsonparse import merge_answers, parse_json
 from ..functions.scoring import extraction_confidence
 from ..operators import extract, pages, selection, summary, validation
 from ..sources.files import doc_info
@@ -39,6 +39,13 @@ REPLY = pick("event_id", [
 ])
 ODD_REPLIES = "SELECT CAST(-1 AS BIGINT), CAST(NULL AS STRING) UNION ALL SELECT CAST(-2 AS BIGINT), 'no json' UNION ALL SELECT CAST(-3 AS BIGINT), '{\"k\": 5' UNION ALL SELECT CAST(-4 AS BIGINT), ''"
 REPLIES_SQL = f"SELECT event_id AS doc_id, {REPLY} AS reply FROM events UNION ALL {ODD_REPLIES}"
+#: Partial answers of an order, in the order of their prompts.
+PARTS = [
+    "concat('{\"borrowers\": \"B', CAST(o_custkey AS STRING), '\", \"loan_amount\": ', CAST(CAST(floor(o_totalprice) AS BIGINT) AS STRING), '}')",
+    pick("o_orderkey", ["'{\"loan_amount\": null, \"lender_name\": \"L\"}'", "'So: {\"lender_name\": \"M\", \"borrowers\": \"C\"}.'", "'no json'", "NULL", "''"]),
+    pick("(o_orderkey + 1)", ["'{\"lender_name\": null, \"lender_nmls_id\": \"12\"}'", "'{}'", "concat('{\"borrowers\": \"', o_orderpriority, '\", \"x\": 1}')"]),
+]
+PARTS_SQL = f"SELECT o_orderkey AS doc_id, {', '.join(f'{sql} AS p{i}' for i, sql in enumerate(PARTS, 1))} FROM orders"
 PAGES_SQL = (
     "SELECT conv_id AS doc_id, turn AS page_no, text, CASE WHEN turn % 4 = 3 THEN NULL ELSE CAST((turn * 7 + conv_id) % 100 AS DOUBLE) END AS confidence, "
     "CAST(0.25 AS DOUBLE) AS processing_time FROM conversations UNION ALL "
@@ -101,6 +108,12 @@ def parse_json_query(spark, sf_dir):
     return rows.select("doc_id", at("k").alias("k"), at("borrowers").alias("borrowers"), at("loan_amount").alias("loan_amount"), F.size("m").cast("long").alias("n_keys"))
 
 
+def json_merge(spark, sf_dir):
+    rows = _sql(spark, sf_dir, PARTS_SQL, "orders").withColumn("m", merge_answers(F.array(*[parse_json(F.coalesce(f"p{i}", F.lit(""))) for i in (1, 2, 3)])))
+    at = lambda k: F.try_element_at("m", F.lit(k)).alias(k)
+    return rows.select("doc_id", *map(at, ("borrowers", "loan_amount", "lender_name", "lender_nmls_id")), F.size("m").cast("long").alias("n_keys"))
+
+
 def render_prompt(spark, sf_dir):
     rows = _sql(spark, sf_dir, NOISY_SQL, "documents")
     return rows.select("doc_id", extract.render_prompt(extract.field_prompt("loan_amount"), F.coalesce("text", F.lit(""))).alias("prompt"))
@@ -267,6 +280,7 @@ QUERIES = {
     "title_case": title_case,
     "parse_scalar": parse_scalar,
     "parse_json": parse_json_query,
+    "json_merge": json_merge,
     "render_prompt": render_prompt,
     "split_sections": split_sections,
     "doc_info": doc_info_query,

@@ -13,14 +13,20 @@ from ..fields import FIELDS
 def documents(spark: SparkSession, path: str, pattern: str = "*.pdf", text: bool = False) -> DataFrame:
     """(doc_id, document, content, length) of a file, or of a folder's files by pattern.
 
-    ``content`` is only read where it is used.  ``text=True`` adds ``text``.
-    An empty folder gives no rows.
+    ``content`` is only read where it is used.  ``text=True`` adds ``text`` and ``error``
+    (see ``decoded``).  An empty folder gives no rows; Spark's reader passes over files of no bytes.
     """
     df = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
     df = df.select(
         F.col("path").alias("doc_id"), F.element_at(F.split("path", "/"), -1).alias("document"), "content", "length"
     )
-    return df.withColumn("text", F.decode("content", "UTF-8")) if text else df
+    return decoded(df) if text else df
+
+
+def decoded(df: DataFrame) -> DataFrame:
+    """Adds ``text``, the content as UTF-8, and ``error``: a file that is none fails alone, with a null text."""
+    text = F.try_validate_utf8(F.col("content").cast("string"))
+    return df.withColumns({"text": text, "error": F.when(text.isNull(), F.when(F.col("content").isNull(), "no content").otherwise("not valid UTF-8"))})
 
 
 def png_size(image: Column) -> Column:

@@ -86,23 +86,39 @@ def save_pages(images: DataFrame, save: Callable[[str, bytes], None], base: str
 
 
 def enhance(df: DataFrame, enhancer: ImageEnhancer) -> DataFrame:
-    """``df`` with its images enhanced."""
+    """``df`` with its images enhanced; one that cannot be gets a null image and an ``error``."""
 
-    @F.pandas_udf("binary")
-    def run(images: pd.Series) -> pd.Series:
-        return images.map(lambda x: None if x is None else enhancer.enhance(bytes(x)))
+    @F.pandas_udf("image binary, error string")
+    def run(images: pd.Series) -> pd.DataFrame:
+        def one(image):
+            try:
+                return (None if image is None else enhancer.enhance(bytes(image))), None
+            except Exception as e:  # noqa: BLE001
+                return None, f"enhancement failed: {e}"
 
-    return df.withColumn("image", run.asNondeterministic()("image"))
+        return pd.DataFrame([one(x) for x in images], columns=["image", "error"])
+
+    done = df.withColumn("_enhanced", run.asNondeterministic()("image"))
+    error = F.coalesce("error", "_enhanced.error") if "error" in df.columns else F.col("_enhanced.error")
+    return done.withColumns({"image": F.col("_enhanced.image"), "error": error}).drop("_enhanced")
 
 
 def recognise(df: DataFrame, engines: list[OcrEngine]) -> DataFrame:
-    """(doc_id, page_no, engine, rank, text, confidence, processing_time, error) per page and engine."""
+    """(doc_id, page_no, engine, rank, text, confidence, processing_time, error) per page and engine.
+
+    A page without an image is not read: it gives one row without an engine, with its ``error``.
+    """
+    if "error" not in df.columns:
+        df = df.withColumn("error", F.lit(None).cast("string"))
     columns = ["doc_id", "page_no", "engine", "rank", "text", "confidence", "processing_time", "error"]
 
     def run(batches):
         for pdf in batches:
             rows = []
-            for doc_id, page_no, image in zip(pdf["doc_id"], pdf["page_no"], pdf["image"]):
+            for doc_id, page_no, image, error in zip(pdf["doc_id"], pdf["page_no"], pdf["image"], pdf["error"]):
+                if image is None:
+                    rows.append((doc_id, page_no, None, None, "", 0.0, 0.0, error or "no image"))
+                    continue
                 for rank, engine in enumerate(engines):
                     began = time.perf_counter()
                     try:
@@ -112,10 +128,10 @@ def recognise(df: DataFrame, engines: list[OcrEngine]) -> DataFrame:
                     except Exception as e:  # noqa: BLE001
                         row = ("", 0.0, str(e))
                     rows.append((doc_id, page_no, engine.name, rank, row[0], row[1], time.perf_counter() - began, row[2]))
-            yield pd.DataFrame(rows, columns=columns)
+            yield pd.DataFrame(rows, columns=columns).astype({"rank": "Int32"})
 
     kind = dict(df.dtypes)["doc_id"]
-    return df.select("doc_id", "page_no", "image").mapInPandas(
+    return df.select("doc_id", "page_no", "image", "error").mapInPandas(
         run, f"doc_id {kind}, page_no int, engine string, rank int, text string, confidence double, processing_time double, error string"
     )
 

@@ -7,18 +7,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..plans.pipeline import process_documents
-from ..sources.files import write_results
+from ..sources.files import decoded, write_results
 
 _BINARY = "path string, modificationTime timestamp, length long, content binary"
 
 
 def text_stream(spark: SparkSession, path: str, pattern: str = "*.txt", max_files: int = 1000) -> DataFrame:
-    """(doc_id, text) of files as they arrive."""
+    """(doc_id, text, error) of files as they arrive; one that is no UTF-8 has a null text and an error."""
     files = (
         spark.readStream.format("binaryFile").schema(_BINARY)
         .option("pathGlobFilter", pattern).option("maxFilesPerTrigger", max_files).load(path)
     )
-    return files.select(F.col("path").alias("doc_id"), F.decode("content", "UTF-8").alias("text"))
+    return decoded(files).select(F.col("path").alias("doc_id"), "text", "error")
 
 
 def run(stream: DataFrame, output: str, checkpoint: str, as_of_year: int, once: bool = True) -> StreamingQuery:

@@ -104,7 +104,8 @@ def test_model_strategies(spark):
     assert [name for name, _ in frames] == ["full_document", "field_by_field"]
     full, each = (df.first() for _, df in frames)
     assert (full["borrowers"], full["loan_amount"], full["lender_nmls_id"], full["attempts"]) == ("A B", "20000", None, 2)
-    assert (each["borrowers"], each["loan_amount"], each["lender_name"], each["recording_date"]) == ("Frank Baker", None, "Bank", None)
+    # the groups' objects come after the single answers and state these fields, too: later answers win
+    assert (each["borrowers"], each["loan_amount"], each["lender_name"], each["recording_date"]) == ("A B", "20000", "Bank", None)
     best = selection.best_extraction(selection.strategies(frames)).first()
     assert best["strategy_used"] == "full_document"
 
@@ -268,3 +269,72 @@ def test_first_page_size(spark):
 def test_enhance(spark):
     df = spark.createDataFrame([(1, bytearray(b"ab")), (2, None)], "n int, image binary")
     assert [None if r["image"] is None else bytes(r["image"]) for r in plugins.enhance(df, Enhancer()).orderBy("n").collect()] == [b"AB", None]
+
+
+def test_choice_within_the_row(spark):
+    """Equal to the choice by groups, in one scan without an exchange."""
+    from deedlens.operators import extract
+    from deedlens.plans.fixtures import mortgages
+    from deedlens.plans.queries import DOCUMENT_SQL
+
+    from .conftest import SF
+
+    mortgages(spark, SF).createOrReplaceTempView("mortgages")
+    docs = spark.sql(DOCUMENT_SQL).unionByName(spark.createDataFrame([(-1, "x" * 300 + "\nLender: Last Bank\n"), (-2, "")], "doc_id long, text string"))
+    docs.write.mode("overwrite").saveAsTable("rule_documents")
+    docs = spark.table("rule_documents")
+    frames = [("full_document", extract.rule_strategy(docs)), *extract.rule_sections(docs)]
+    order = lambda df: sorted(map(str, df.select(sorted(df.columns)).collect()))
+    for least in (30.0, 100.0):
+        want = selection.best_extraction(selection.strategies(frames), "doc_id", least)
+        got = pipeline.extract_documents(docs, "text", least)
+        assert order(got) == order(want.select(got.columns)), least
+    plan = process_documents(docs, 2026)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Exchange" not in plan
+
+
+def test_documents_fail_alone(spark, tmp_path):
+    """One broken file and one broken image give a failed row each, in the batch and in the stream."""
+    source = tmp_path / "in"
+    source.mkdir()
+    (source / "a.txt").write_text(TEXT)
+    (source / "b.txt").write_bytes(b"\xff\xfe broken")
+    (source / "c.txt").write_text("é")
+    (source / "d.txt").write_text(" ")
+    docs = files.documents(spark, str(source), "*.txt", text=True)
+    of = lambda df: {r["doc_id"].rsplit("/", 1)[-1]: (r["status"], r["error"]) for r in df.collect()}
+    want = {"a.txt": ("success", None), "b.txt": ("failed", "not valid UTF-8"), "c.txt": ("success", None), "d.txt": ("success", None)}
+    assert of(process_documents(docs, 2026)) == want
+    assert of(process_documents(docs, 2026, client=Answers(), work=str(tmp_path / "w"))) == want
+    ingest.run(ingest.text_stream(spark, str(source)), str(tmp_path / "s"), str(tmp_path / "cp"), 2026).awaitTermination(120)
+    assert of(spark.read.json(str(tmp_path / "s"))) == want
+    assert cli.main(["-i", str(source), "-o", str(tmp_path / "o"), "--rules", "--batch"]) == 0
+    assert json.loads((tmp_path / "o/b_result.json").read_text())["error"] == "not valid UTF-8"
+
+    class Picky:
+        def enhance(self, image):
+            if image == b"q2":
+                raise ValueError("no image data")
+            return image
+
+    scans = spark.createDataFrame([("p", bytearray(b"p")), ("q", bytearray(b"q")), ("r", bytearray(b"bad"))], "doc_id string, content binary")
+    got = {r["doc_id"]: (r["text"] is None, r["error"]) for r in pipeline.read_documents(scans, Pages(), [Engine()], str(tmp_path / "w"), Picky()).collect()}
+    assert got == {"p": (False, None), "q": (True, "enhancement failed: no image data"), "r": (True, "not a document")}
+    done = pipeline.process_files(scans, Pages(), [Engine()], str(tmp_path / "w"), 2026, enhancer=Picky())
+    assert of(done) == {"p": ("success", None), "q": ("failed", "enhancement failed: no image data"), "r": ("failed", "not a document")}
+
+
+def test_merged_answers(spark):
+    """Later answers win, also with nulls; keys beyond a prompt's own count, too."""
+    class Overlapping:
+        def complete(self, prompt):
+            if "one JSON object" not in prompt:
+                return "null" if "loan amount" in prompt else "A B"
+            if "recording_date" in prompt:
+                return '{"recording_date": "1/1/2020", "lender_name": "Early", "borrowers": "C D"}'
+            return '{"lender_name": null}' if "lender_nmls_id" in prompt else "no json"
+
+    docs = spark.createDataFrame([(1, "x")], "doc_id long, text string")
+    ((_, df),) = model.run_strategies(docs, Overlapping(), ("field_by_field",), delay=0.0)
+    r = df.first()
+    assert (r["borrowers"], r["recording_date"], r["lender_name"], r["loan_amount"], r["attempts"]) == ("C D", "1/1/2020", None, None, 5)
