@@ -293,6 +293,16 @@ def test_toxicity_fit_is_training_on_the_texts(spark, texts):
     assert np.array_equal(got.bucket, want.bucket) and got.bias == want.bias
 
 
+def test_toxicity_scores_the_bag_it_was_trained_on(texts):
+    model = toxicity.Subwords(np.random.default_rng(1).normal(0, 1, toxicity.BUCKETS).astype(np.float32), -0.5)
+    odd = ["bad idiot. idiot, \"idiot\" idiot! fool fool. a good day", "", "... ! ?", "Ünïted (wörds) 'a'b'"]
+    for text in [*texts.values(), *odd]:
+        words, _, share = toxicity.bag(text)
+        mean = sum(float(x) * float(model.bucket[toxicity.buckets(w)].sum()) / len(toxicity.buckets(w)) for w, x in zip(words, share))
+        assert abs(model.scores([text], {})[0] - 1 / (1 + np.exp(-np.clip(mean - 0.5, -30, 30)))) < 1e-5
+    assert len(toxicity.bag(odd[0])[0]) == len(toxicity.counted(odd[0])) == 6
+
+
 def test_toxicity_held_out(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     got = toxicity.toxicity_scores(docs, labels).join(labels, "doc_id").where("held_out").toPandas()
