@@ -8,6 +8,9 @@ from dataclasses import asdict, dataclass, fields, replace
 from pathlib import Path
 
 
+# The defaults and the profiles are fixed values.
+
+
 @dataclass(frozen=True)
 class OcrSettings:
     tesseract_cmd: str = ""
@@ -15,6 +18,8 @@ class OcrSettings:
     image_format: str = "PNG"
     enhance_images: bool = True
     page_seg_mode: int = 6
+    preferred_engine: str = ""
+    pages_per_task: int = 0  # 0: a task renders a whole document
 
 
 @dataclass(frozen=True)
@@ -25,6 +30,9 @@ class AiSettings:
     min_confidence: float = 30.0
     max_retries: int = 3
     retry_delay: float = 1.0
+    max_concurrent: int = 4
+    seconds_between_calls: float = 0.0
+    ask_again_below: float = 0.0  # fields that score lower are asked for once more
 
 
 @dataclass(frozen=True)
@@ -142,6 +150,10 @@ def validate(settings: Settings) -> dict:
         issues.append("temperature must be between 0 and 2")
     if not 10 <= settings.ai.min_confidence <= 100:
         issues.append("minimum confidence must be between 10 and 100")
+    if settings.ai.max_concurrent < 1 or settings.processing.batch_size < 1:
+        issues.append("calls at once and batch size must be 1 or more")
+    if settings.processing.output_format not in ("json", "csv"):
+        issues.append("output format must be json or csv")
     if settings.ocr.tesseract_cmd and not Path(settings.ocr.tesseract_cmd).exists():
         issues.append("OCR program not found")
     return {"is_valid": not issues, "issues": issues}

@@ -17,7 +17,7 @@ from ..fields import FIELDS
 from ..functions.jsonparse import merge_answers, parse_json
 from ..functions.scoring import extraction_confidence
 from ..functions.text import bound, parse_scalar
-from ..sources.plugins import LlmClient, ask
+from ..sources.plugins import LlmClient, ask, ask_each
 from .extract import FULL_TEMPLATE, SECTIONS, field_prompt, section_prompt, section_texts
 
 #: Prompts of the field-by-field strategy: the fields each answers, one as text, more as JSON.
@@ -50,17 +50,17 @@ def _scored(df: DataFrame, has_data: Column) -> DataFrame:
     return df.withColumn("confidence", extraction_confidence({f: F.col(f) for f in FIELDS}, has_data))
 
 
-def full_document(docs: DataFrame, client: LlmClient, tries: int = 2, retries: int = 3, delay: float = 1.0) -> DataFrame:
+def full_document(docs: DataFrame, client: LlmClient, tries: int = 2, retries: int = 3, delay: float = 1.0, asker=ask_each) -> DataFrame:
     """One prompt a document; the first answer with a non-empty object counts."""
-    rows = ask(docs, client, {"full_document": FULL_TEMPLATE}, tries, retries, delay, accept=has_object)
+    rows = ask(docs, client, {"full_document": FULL_TEMPLATE}, tries, retries, delay, has_object, asker)
     rows = rows.withColumn("parsed", parse_json(F.coalesce("answer", F.lit(""))))
     rows = rows.withColumns({f: F.try_element_at("parsed", F.lit(f)) for f in FIELDS})
     return _scored(rows, F.size("parsed") > 0).select("doc_id", *FIELDS, "confidence", "attempts", "processing_time", "errors")
 
 
-def field_by_field(docs: DataFrame, client: LlmClient, tries: int = 2, retries: int = 3, delay: float = 1.0) -> DataFrame:
+def field_by_field(docs: DataFrame, client: LlmClient, tries: int = 2, retries: int = 3, delay: float = 1.0, asker=ask_each) -> DataFrame:
     """Five prompts a document; their answers are merged in this order, later ones over earlier ones."""
-    rows = ask(docs, client, {name: group_prompt(fields) for name, fields in GROUPS.items()}, tries, retries, delay)
+    rows = ask(docs, client, {name: group_prompt(fields) for name, fields in GROUPS.items()}, tries, retries, delay, asker=asker)
     answer = lambda name: F.max(F.when(F.col("prompt") == name, F.col("answer"))).alias(f"a_{name}")
     errors = F.array_sort(F.collect_list(F.struct("prompt", "errors")))  # five rows a document
     wide = rows.groupBy("doc_id").agg(
@@ -75,9 +75,9 @@ def field_by_field(docs: DataFrame, client: LlmClient, tries: int = 2, retries:
     return _scored(wide, F.coalesce(*FIELDS).isNotNull()).select("doc_id", *FIELDS, "confidence", "attempts", "processing_time", "errors")
 
 
-def section_based(docs: DataFrame, client: LlmClient, tries: int = 1, retries: int = 3, delay: float = 1.0) -> DataFrame:
+def section_based(docs: DataFrame, client: LlmClient, tries: int = 1, retries: int = 3, delay: float = 1.0, asker=ask_each) -> DataFrame:
     """One prompt a section, put together: a field comes from the first section that states it."""
-    asked = [ask(df, client, {s: section_prompt(s)}, tries, retries, delay) for s, df in section_texts(docs)]
+    asked = [ask(df, client, {s: section_prompt(s)}, tries, retries, delay, asker=asker) for s, df in section_texts(docs)]
     rows = reduce(DataFrame.unionByName, asked)
     answer = lambda s: F.max(F.when(F.col("prompt") == s, F.col("answer"))).alias(f"a_{s}")
     errors = F.array_sort(F.collect_list(F.struct("prompt", "errors")))  # three rows a document

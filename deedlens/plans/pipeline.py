@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +17,9 @@ from ..operators.model import run_strategies
 from ..operators.pages import doc_ocr
 from ..operators.selection import MIN_CONFIDENCE, best_extraction, best_in, best_ocr, strategies
 from ..operators.validation import quality_report, validate_all, with_corrections
-from ..sources.plugins import ImageEnhancer, LlmClient, OcrEngine, Rasterizer, enhance, rasterize, recognise
+from ..operators.verify import improved, second_answers, weak_fields
+from ..sources.answers import Store
+from ..sources.plugins import ImageEnhancer, LlmClient, OcrEngine, Rasterizer, ask_each, enhance, rasterize, recognise
 
 
 #: What a final record tells beside its fields.
@@ -50,12 +53,15 @@ def process(records: DataFrame, as_of_year: int, fixups: bool = False, settings:
 def process_documents(
     docs: DataFrame, as_of_year: int, fixups: bool = False, settings: Settings = Settings(),
     client: LlmClient | None = None, names: tuple[str, ...] = ("full_document", "field_by_field"), work: str | None = None,
+    answers: Store | None = None, second: float | None = None,
 ) -> DataFrame:
     """Texts to final records: status, final fields, scores and report.
 
     With a ``client`` the named strategies ask it and their answers are kept below
-    ``work``; without one, rules extract.  A document without text failed; all others
-    succeed, whatever was found.
+    ``work``; without one, rules extract.  A store of ``answers`` keeps each of them for
+    later runs, which ask only what is open.  Fields that validate under ``second`` are asked
+    for once more, and the new value is taken where it scores higher.  A document without
+    text failed; all others succeed, whatever was found.
     """
     error = F.coalesce(F.col("error"), F.lit("no text")) if "error" in docs.columns else F.lit("no text")
     docs = docs.select("doc_id", "text", F.when(F.col("text").isNull(), error).alias("error"))
@@ -69,24 +75,34 @@ def process_documents(
         )
     if work is None:
         raise ValueError("answers of a model need a folder to be kept in")
-    asked = run_strategies(docs.where(~bad).select("doc_id", "text"), client, names, retries=settings.ai.max_retries, delay=settings.ai.retry_delay)
+    how = dict(retries=settings.ai.max_retries, delay=settings.ai.retry_delay, asker=answers.ask if answers else ask_each)
+    texts = docs.where(~bad).select("doc_id", "text")
+    asked = run_strategies(texts, client, names, **how)
     best = best_extraction(strategies([(name, kept(df, work, name)) for name, df in asked]), "doc_id", settings.ai.min_confidence)
-    done = process(best, as_of_year, fixups, settings.validation)
+    validate = lambda df: validate_all(df, as_of_year, settings.validation, fixups)
+    checked = validate(best)
+    if second is not None:
+        checked = validate(kept(best, work, "best"))
+        again = kept(second_answers(weak_fields(checked, texts, second), client, **how), work, "second")
+        checked = improved(checked, again, validate)
+    done = with_corrections(quality_report(checked), fixups)
     ok = done.select("doc_id", F.lit("success").alias("status"), F.lit(None).cast("string").alias("error"), *[F.col(f"final.{f}").alias(f) for f in FIELDS], *FOUND)
     return ok.unionByName(docs.where(bad).select("doc_id", F.lit("failed").alias("status"), "error"), allowMissingColumns=True)
 
 
 def read_documents(
     docs: DataFrame, rasterizer: Rasterizer, engines: list[OcrEngine], work: str, enhancer: ImageEnhancer | None = None,
-    preferred: str | None = None, clean: bool = False,
+    preferred: str | None = None, clean: bool = False, pages_per_task: int | None = None, keep: Callable[[DataFrame], None] | None = None,
 ) -> DataFrame:
     """(doc_id, content) files to (doc_id, text, ocr_confidence, ocr_seconds, pages, error).
 
     Pages are rendered, enhanced, read by every engine and joined from the best.  A
     document with a page that cannot be rendered or enhanced, or without pages, has a
-    null text and an error; the others go on.
+    null text and an error; the others go on.  ``keep`` gets the rendered pages, as kept.
     """
-    pages = kept(rasterize(docs, rasterizer), work, "pages")
+    pages = kept(rasterize(docs, rasterizer, pages_per_task=pages_per_task), work, "pages")
+    if keep is not None:
+        keep(pages)
     read = kept(recognise(pages if enhancer is None else enhance(pages, enhancer), engines), work, "ocr")
     seen = read.where(F.col("engine").isNotNull())
     best = best_ocr(seen, ["doc_id", "page_no"], preferred)
@@ -103,10 +119,21 @@ def read_documents(
 
 def process_files(
     docs: DataFrame, rasterizer: Rasterizer, engines: list[OcrEngine], work: str, as_of_year: int,
-    settings: Settings = Settings(), client: LlmClient | None = None, enhancer: ImageEnhancer | None = None, fixups: bool = False, **how,
+    settings: Settings = Settings(), client: LlmClient | None = None, enhancer: ImageEnhancer | None = None, fixups: bool = False,
+    keep_pages: Callable[[DataFrame], None] | None = None, keep_texts: Callable[[DataFrame], None] | None = None, **how,
 ) -> DataFrame:
-    """(doc_id, content) files to final records, with what each stage found in ``stages``."""
-    read = kept(read_documents(docs, rasterizer, engines, work, enhancer if settings.ocr.enhance_images else None), work, "texts")
+    """(doc_id, content) files to final records, with what each stage found in ``stages``.
+
+    ``keep_pages`` and ``keep_texts`` get the rendered pages and the texts as they are kept
+    for the later stages: nothing is rendered or read twice to save them.
+    """
+    ocr = settings.ocr
+    texts = read_documents(
+        docs, rasterizer, engines, work, enhancer if ocr.enhance_images else None, ocr.preferred_engine or None, pages_per_task=ocr.pages_per_task or None, keep=keep_pages
+    )
+    read = kept(texts, work, "texts")
+    if keep_texts is not None:
+        keep_texts(read)
     done = process_documents(read, as_of_year, fixups, settings, client, work=work, **how)
     return with_stages(done, read)
 

@@ -60,21 +60,35 @@ def exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a path and what is below it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def write_results(df: DataFrame, path: str) -> None:
     """One JSON object per document; nulls are kept."""
     df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
+def with_names(df: DataFrame, path: str = "doc_id") -> DataFrame:
+    """Adds ``name``: the file's name without its ending, and a hash of its path where several files would share one."""
+    stem = F.regexp_replace(F.element_at(F.split(F.col(path).cast("string"), "/"), -1), r"\.[^.]*$", "")
+    named = df.withColumn("name", F.coalesce(stem, F.lit("")))
+    several = named.groupBy("name").agg(F.count_distinct(path).alias("_files")).where("_files > 1").select("name", F.lit(True).alias("_several"))
+    own = F.concat("name", F.lit("-"), F.substring(F.sha2(F.col(path).cast("string"), 256), 1, 12))
+    return named.join(several, "name", "left").withColumn("name", F.when(F.col("_several"), own).otherwise(F.col("name"))).drop("_several")
+
+
 def result_document(df: DataFrame) -> DataFrame:
     """(name, json): one document's whole result, for ``<name>_result.json``."""
     have = lambda c, kind="string": F.col(c) if c in df.columns else F.lit(None).cast(kind)
-    name = F.regexp_replace("document", r"\.[^.]*$", "")
     quality = F.struct(F.col("overall").alias("overall_score"), "is_valid", "completeness", "field_breakdown", "recommendations")
     whole = F.struct(
-        name.alias("document_name"), F.col("doc_id").cast("string").alias("path"), "status", "error", F.struct(*FIELDS).alias("final_data"), quality.alias("quality_report"),
+        F.col("name").alias("document_name"), F.col("doc_id").cast("string").alias("path"), "status", "error", F.struct(*FIELDS).alias("final_data"), quality.alias("quality_report"),
         F.struct("issues", "field_scores").alias("validation_details"), have("stages").alias("stages"), F.col("processing_time").alias("total_processing_time"),
     )
-    return df.select(name.alias("name"), F.to_json(whole, {"ignoreNullFields": "false"}).alias("json"))
+    return with_names(df).select("name", F.to_json(whole, {"ignoreNullFields": "false"}).alias("json"))
 
 
 def save_results(df: DataFrame, save: Callable[[str, bytes], None]) -> None:
@@ -87,6 +101,14 @@ def save_results(df: DataFrame, save: Callable[[str, bytes], None]) -> None:
     result_document(df).foreachPartition(run)
 
 
+def write_each(named: DataFrame, path: str, value: str) -> None:
+    """One text file for every row, in a folder ``name=<name>`` below ``path``, in any store Spark can write.
+
+    Spark's writer commits the files together: a task that fails leaves none of its own.
+    """
+    named.select("name", F.col(value).alias("value")).write.mode("overwrite").partitionBy("name").text(path)
+
+
 def write_summary(df: DataFrame, path: str) -> None:
     """A one-row summary as JSON."""
     df.coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(path)

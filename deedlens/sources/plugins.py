@@ -35,6 +35,33 @@ class ImageEnhancer(Protocol):
     def enhance(self, image: bytes) -> bytes: ...
 
 
+class Made:
+    """A plug-in that its factory makes where it is used, once in a process, from settings.
+
+    Only the factory and the settings travel to the executors; what the factory makes may
+    hold what cannot travel (a loaded model, a connection).  A list of engines is made whole.
+    """
+
+    _there: dict = {}
+
+    def __init__(self, factory: Callable[[dict], object], settings: dict) -> None:
+        self.factory, self.settings = factory, settings
+
+    def made(self):
+        key = (self.factory.__module__, self.factory.__qualname__, repr(sorted(self.settings.items())))
+        if key not in Made._there:
+            Made._there[key] = self.factory(self.settings)
+        return Made._there[key]
+
+    def __iter__(self):
+        return iter(self.made())
+
+    def __getattr__(self, name: str):
+        if name.startswith("__") or name in ("factory", "settings"):
+            raise AttributeError(name)
+        return getattr(self.made(), name)
+
+
 def with_retry(call: Callable[[], str], tries: int = 3, delay: float = 1.0, sleep: Callable[[float], None] = time.sleep) -> str:
     """``call``, tried again after 1, 2, ... times ``delay``; the last error is raised."""
     for attempt in range(1, tries + 1):
@@ -52,26 +79,68 @@ def page_name(base: str, page_no: int, image_format: str = "png") -> str:
     return f"{base}_page_{page_no:03d}.{image_format.lower()}"
 
 
-def rasterize(df: DataFrame, rasterizer: Rasterizer, page_range: tuple[int, int] | None = None) -> DataFrame:
-    """(doc_id, page_no, image, error) of every page of (doc_id, content)."""
+IMAGES = "page_no int, image binary, error string"
 
-    def run(batches):
+
+def rasterize(df: DataFrame, rasterizer: Rasterizer, page_range: tuple[int, int] | None = None, pages_per_task: int | None = None) -> DataFrame:
+    """(doc_id, page_no, image, error) of every page of (doc_id, content).
+
+    With ``pages_per_task`` and a rasterizer that has ``count(content)`` and
+    ``pages(content, first, last)``, a document's pages are dealt out in ranges: many tasks
+    share a long document, and a lost one renders its ranges again, not the document.
+    """
+    kind = dict(df.dtypes)["doc_id"]
+    if pages_per_task is not None:
+        return _ranges(df.select("doc_id", "content"), rasterizer, page_range, pages_per_task).mapInPandas(_rendered(rasterizer), f"doc_id {kind}, {IMAGES}")
+    whole = df.select("doc_id", "content", F.lit(page_range[0] if page_range else 1).alias("first"), F.lit(page_range[1] if page_range else None).cast("int").alias("last"))
+    return whole.mapInPandas(_rendered(rasterizer, counted=False), f"doc_id {kind}, {IMAGES}")
+
+
+def _ranges(docs: DataFrame, rasterizer: Rasterizer, page_range: tuple[int, int] | None, size: int) -> DataFrame:
+    """(doc_id, content, first, last, error): a row a range, dealt out evenly; a document that cannot be counted is one row with its error."""
+    def count(batches):
         for pdf in batches:
+            rows = []
             for doc_id, content in zip(pdf["doc_id"], pdf["content"]):
+                try:
+                    rows.append((doc_id, content, int(rasterizer.count(bytes(content))), None))
+                except Exception as e:  # noqa: BLE001
+                    rows.append((doc_id, None, 1, str(e)))
+            yield pd.DataFrame(rows, columns=["doc_id", "content", "n", "error"])
+
+    low, high = page_range or (1, None)
+    n = F.col("n") if high is None else F.least("n", F.lit(high))
+    counted = docs.mapInPandas(count, f"doc_id {dict(docs.dtypes)['doc_id']}, content binary, n int, error string").where(n >= F.when(F.col("error").isNotNull(), 1).otherwise(low))
+    start = F.when(F.col("error").isNotNull(), F.lit(1)).otherwise(F.lit(low))
+    each = counted.select("doc_id", "content", "error", F.explode(F.sequence(start, n, F.lit(size))).alias("first"), n.alias("n"))
+    rows = each.select("doc_id", "content", "first", F.least(F.col("first") + (size - 1), "n").alias("last"), "error")
+    # by number: adaptive execution would join these partitions, small in bytes and long in work
+    return rows.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id", "first")
+
+
+def _rendered(rasterizer: Rasterizer, counted: bool = True):
+    columns = ["doc_id", "page_no", "image", "error"]
+
+    def run(batches):
+        for pdf in batches:
+            failed = pdf["error"] if "error" in pdf else [None] * len(pdf)
+            for doc_id, content, first, last, error in zip(pdf["doc_id"], pdf["content"], pdf["first"], pdf["last"], failed):
                 rows = []
                 try:
-                    for n, image in enumerate(rasterizer.pages(bytes(content)), 1):
-                        if page_range is None or page_range[0] <= n <= page_range[1]:
+                    if error is not None:
+                        raise ValueError(error)
+                    found = rasterizer.pages(bytes(content), int(first), int(last)) if counted else rasterizer.pages(bytes(content))
+                    for n, image in enumerate(found, int(first) if counted else 1):
+                        if counted or (n >= first and (pd.isna(last) or n <= last)):
                             rows.append((doc_id, n, image, None))
                             if len(rows) >= 16:  # pages stream; a document is never held whole
-                                yield pd.DataFrame(rows, columns=["doc_id", "page_no", "image", "error"])
+                                yield pd.DataFrame(rows, columns=columns)
                                 rows = []
                 except Exception as e:  # noqa: BLE001
                     rows.append((doc_id, 0, None, str(e)))
-                yield pd.DataFrame(rows, columns=["doc_id", "page_no", "image", "error"])
+                yield pd.DataFrame(rows, columns=columns)
 
-    kind = dict(df.dtypes)["doc_id"]
-    return df.select("doc_id", "content").mapInPandas(run, f"doc_id {kind}, page_no int, image binary, error string")
+    return run
 
 
 def save_pages(images: DataFrame, save: Callable[[str, bytes], None], base: str = "doc_id", image_format: str = "png") -> None:
@@ -136,30 +205,49 @@ def recognise(df: DataFrame, engines: list[OcrEngine]) -> DataFrame:
     )
 
 
-def ask(df: DataFrame, client: LlmClient, prompts: dict[str, str], tries: int = 2, retries: int = 3, delay: float = 1.0, accept: Callable[[str], bool] = lambda answer: bool(answer.strip())) -> DataFrame:
-    """Answers per document and prompt: (doc_id, prompt, answer, attempts, processing_time, errors).
+def not_blank(answer: str) -> bool:
+    return bool(answer.strip())
 
-    Every prompt is tried up to ``tries`` times, until an answer is accepted (by default: not blank).
-    """
+
+def one_answer(client: LlmClient, prompt: str, question: str, tries: int, retries: int, delay: float, accept: Callable[[str], bool]) -> tuple[str | None, int, float, list[str]]:
+    """(answer, attempts, seconds, errors) of one question, tried up to ``tries`` times until an answer is accepted."""
+    began, errors, answer, attempts = time.perf_counter(), [], None, 0
+    while answer is None and attempts < tries:
+        attempts += 1
+        try:
+            got = with_retry(lambda: client.complete(question), retries, delay)
+            answer = got if got and accept(got) else None
+        except Exception as e:  # noqa: BLE001
+            errors.append(f"{prompt}: {e}")
+    return answer, attempts, time.perf_counter() - began, errors
+
+
+def questions(docs: DataFrame, prompts: dict[str, str]) -> DataFrame:
+    """(doc_id, prompt, question): every (doc_id, text) put into every template."""
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("prompt"), F.lit(template).alias("template")) for name, template in prompts.items()]))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), each.alias("p"))
+    return rows.select("doc_id", "p.prompt", F.replace(F.col("p.template"), F.lit("{document_text}"), F.col("text")).alias("question"))
+
+
+def ask_each(asked: DataFrame, client: LlmClient, tries: int = 2, retries: int = 3, delay: float = 1.0, accept: Callable[[str], bool] = not_blank) -> DataFrame:
+    """(doc_id, prompt, question) to (doc_id, prompt, answer, attempts, processing_time, errors), one call at a time in each task."""
     columns = ["doc_id", "prompt", "answer", "attempts", "processing_time", "errors"]
 
     def run(batches):
         for pdf in batches:
-            rows = []
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
-                for name, template in prompts.items():
-                    began, errors, answer, attempts = time.perf_counter(), [], None, 0
-                    while answer is None and attempts < tries:
-                        attempts += 1
-                        try:
-                            got = with_retry(lambda t=template: client.complete(t.replace("{document_text}", text or "")), retries, delay)
-                            answer = got if got and accept(got) else None
-                        except Exception as e:  # noqa: BLE001
-                            errors.append(f"{name}: {e}")
-                    rows.append((doc_id, name, answer, attempts, time.perf_counter() - began, errors))
+            rows = [(doc_id, prompt, *one_answer(client, prompt, q, tries, retries, delay, accept)) for doc_id, prompt, q in zip(pdf["doc_id"], pdf["prompt"], pdf["question"])]
             yield pd.DataFrame(rows, columns=columns)
 
-    kind = dict(df.dtypes)["doc_id"]
-    return df.select("doc_id", "text").mapInPandas(
+    kind = dict(asked.dtypes)["doc_id"]
+    return asked.select("doc_id", "prompt", "question").mapInPandas(
         run, f"doc_id {kind}, prompt string, answer string, attempts int, processing_time double, errors array<string>"
     )
+
+
+def ask(df: DataFrame, client: LlmClient, prompts: dict[str, str], tries: int = 2, retries: int = 3, delay: float = 1.0, accept: Callable[[str], bool] = not_blank, asker=ask_each) -> DataFrame:
+    """Answers per document and prompt: (doc_id, prompt, answer, attempts, processing_time, errors).
+
+    Every prompt is tried up to ``tries`` times, until an answer is accepted (by default:
+    not blank).  ``asker`` may be a store's ``ask``, which keeps and resumes.
+    """
+    return asker(questions(df, prompts), client, tries, retries, delay, accept)
