@@ -1,4 +1,9 @@
-"""A training corpus in five stages; each calls one of the operators of ``deedlens.llm``."""
+"""A training corpus in five stages; each calls one of the operators of ``deedlens.llm``.
+
+Every stage takes null, empty and very long texts (a null text counts as empty, and stays
+null in what a filtering stage keeps), repeated rows, null ids, extra columns of any name,
+and empty tables, which give empty results.  Its operator's module states what they give.
+"""
 
 from __future__ import annotations
 
@@ -13,17 +18,17 @@ from deedlens.llm.toxicity import keep_clean
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
+    """Documents that the quality classifier accepts; all of them where no label of both kinds can be learned from."""
     return keep_quality(docs, table(spark, sf_dir, "labels"))
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not toxic."""
+    """Documents that are not toxic; all of them where no toxic label can be learned from.  Equal texts go or stay together."""
     return keep_clean(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the smallest doc_id."""
+    """One document of each group of near copies: the smallest doc_id.  Empty texts are copies; rows without an id go."""
     return keep_first(docs)
 
 

@@ -47,6 +47,26 @@ def test_stages_return_documents(spark):
         assert stage(spark, odd, SF).count() == (2 if name == "near_dedup" else 3), name
 
 
+def test_classifying_stages_of_odd_rows(spark):
+    """Null, empty, very long and repeated texts, null ids and clashing names, with and without labels to learn from."""
+    good = "This is a plain sentence of the kind that a person writes, with a few words more. " * 4
+    texts = [None, "", "x y", "wide world " * 100_000, good, good, "bad idiot fool " * 10]
+    rows = [(i, t, "en", "s", 0, 1.0, "y", "n") for i, t in enumerate(texts)] + [(4, good, "en", "s", 0, 1.0, "y", "n"), (None, good, "en", "s", 0, 1.0, "y", "n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double, y string, k string")
+    seen = collections.Counter(tuple(r) for r in docs.collect())
+    for name, stage in pipeline.STAGES[:2]:
+        kept = stage(spark, docs, SF)
+        assert kept.columns == docs.columns
+        got = collections.Counter(tuple(r) for r in kept.collect())
+        assert got <= seen, name
+        by_text = collections.defaultdict(set)
+        for r in docs.collect():
+            by_text[r["text"]].add(tuple(r) in got)
+        assert all(len(x) == 1 for x in by_text.values()), name  # equal texts go or stay together
+        nothing = docs.where("doc_id is null")  # no label can be learned from: all rows stay
+        assert stage(spark, nothing, SF).count() == 1, name
+
+
 def test_run(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
