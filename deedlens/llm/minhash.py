@@ -1,9 +1,10 @@
 """Near-duplicate classes by improved consistent weighted sampling.
 
 A document is a weighted set of five-word shingles: a shingle's weight is its
-count times its inverse document frequency.  Document frequencies of shingles are
-counted over all documents, in ``IDF_BUCKETS`` hash buckets, so the table has a
-fixed size.  Improved consistent weighted sampling draws ``BANDS * ROWS`` samples;
+count times its inverse document frequency.  Frequencies of shingles that stand in
+over one in ``RARE`` documents are counted exactly over all documents; all others are
+rare and weigh the most.  There are at most ``RARE`` times as many such shingles as a
+document has on average, however large the table is.  Improved consistent weighted sampling draws ``BANDS * ROWS`` samples;
 two documents agree in a sample with the probability of their weighted Jaccard
 similarity.  Samples are banded; documents that share a band meet in a bucket.
 
@@ -39,7 +40,10 @@ from .common import dropped, full_text, join_split, stored, table, text_blocks
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 14, 3
-IDF_BUCKETS = 1 << 16
+#: A shingle in at most one of so many documents is rare.
+RARE = 256
+#: Shingles that a task counts before it gives those that may be frequent.
+COUNTED = 2_000_000
 #: Members that one task compares with a leader.
 STAR_PART = 64
 #: Size of a block: one for each member and one for each so many of its weight.
@@ -89,7 +93,38 @@ def shingle_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return owner, mixed(value)
 
 
-def shingles(texts: list[str], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+class Frequencies:
+    """Inverse document frequencies: those of frequent shingles, and one for all others."""
+
+    def __init__(self, value: np.ndarray, frequency: np.ndarray, documents: int):
+        order = np.argsort(value)
+        self.value = value[order]
+        # between 1, in all documents, and 2, in one of ``RARE`` or fewer
+        self.weight = 1 + np.clip(np.log(max(documents, 1) / frequency[order]) / np.log(RARE), 0, 1)
+        self.there = np.zeros(1 << 20, bool)
+        self.there[self._low(self.value)] = True
+
+    @staticmethod
+    def _low(value: np.ndarray) -> np.ndarray:
+        return (value & np.uint64((1 << 20) - 1)).astype(np.int64)
+
+    def found(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where ``value`` holds frequent shingles, and their places among those."""
+        at = np.flatnonzero(self.there[self._low(value)])
+        i = np.searchsorted(self.value, value[at])
+        same = i < len(self.value)
+        same[same] = self.value[i[same]] == value[at[same]]
+        return at[same], i[same]
+
+    def of(self, value: np.ndarray) -> np.ndarray:
+        """The inverse document frequency of every shingle."""
+        out = np.full(len(value), 2.0)
+        at, i = self.found(value)
+        out[at] = self.weight[i]
+        return out
+
+
+def shingles(texts: list[str], idf: Frequencies) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first, hash, weight): distinct shingles of each text, ascending by hash.
 
     Text ``i`` has the shingles from ``first[i]`` to ``first[i + 1]``.
@@ -103,7 +138,7 @@ def shingles(texts: list[str], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     times = np.diff(np.append(begin, len(value)))
     first = np.concatenate([[0], np.cumsum(np.bincount(owner[begin], minlength=len(texts)))]).astype(np.int64)
     value = value[begin]
-    return first, value, idf[(value & np.uint64(IDF_BUCKETS - 1)).astype(np.int64)] * times
+    return first, value, idf.of(value) * times
 
 
 def _gamma_quantiles(n: int = 1 << 15) -> np.ndarray:
@@ -136,7 +171,7 @@ def samples(first: np.ndarray, value: np.ndarray, weight: np.ndarray, k: int) ->
     return mixed(value[best] ^ mixed(t[best].astype(np.int64).astype(np.uint64) + np.uint64(k)))
 
 
-def band_keys(texts: list[str], idf: np.ndarray) -> tuple[list[list[int]], np.ndarray]:
+def band_keys(texts: list[str], idf: Frequencies) -> tuple[list[list[int]], np.ndarray]:
     """The band keys and the total weight of every text; no keys for a text without words."""
     first, value, weight = shingles(texts, idf)
     full = np.flatnonzero(np.diff(first))
@@ -168,34 +203,77 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return float(common / (a[1].sum() + b[1].sum() - common))
 
 
-def idf_table(docs: DataFrame) -> np.ndarray:
-    """Inverse document frequencies of the shingle buckets, over all documents."""
+def document_frequencies(owner: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles and the number of owners of each; owners ascend."""
+    order = np.argsort(value, kind="stable")
+    value, owner = value[order], owner[order]
+    new = np.append(True, value[1:] != value[:-1])
+    begin = np.flatnonzero(new)
+    new[1:] |= owner[1:] != owner[:-1]
+    return value[begin], np.add.reduceat(new, begin, dtype=np.int64)
+
+
+def _counts(value: np.ndarray, n: np.ndarray, documents: int) -> pa.RecordBatch:
+    """Counts of shingles, and the number of documents as the count of null."""
+    shingle = pa.concat_arrays([pa.array(value.view(np.int64)), pa.nulls(1, pa.int64())])
+    return pa.RecordBatch.from_arrays([shingle, pa.array(np.append(n, documents), pa.int64())], ["shingle", "n"])
+
 
-    def count(batches):
-        total, n = np.zeros(IDF_BUCKETS, np.int64), 0
+def idf_table(docs: DataFrame) -> Frequencies:
+    """Exact document frequencies of frequent shingles, over all documents.
+
+    A first pass finds what may be frequent: a shingle that a task leaves out of its
+    counts is in at most one of ``4 * RARE`` documents there, so all that are in over one
+    of ``RARE`` documents keep three quarters of that.  A second pass counts
+    these in every document, so the result does not depend on tasks.
+    """
+
+    def likely(batches):
+        owners, values, held, documents = [], [], 0, 0
+
+        def full():
+            value, n = document_frequencies(np.concatenate(owners), np.concatenate(values)) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            often = n * 4 * RARE > documents
+            return _counts(value[often], n[often], documents)
+
+        for b in batches:
+            for _, _, texts in text_blocks(b, "text", BLOCK_BYTES):
+                owner, value = shingle_hashes(texts)
+                owners.append(owner.astype(np.int32) + np.int32(documents))
+                values.append(value)
+                held, documents = held + len(value), documents + len(texts)
+                if held >= COUNTED:
+                    yield full()
+                    owners, values, held, documents = [], [], 0, 0
+        if documents:
+            yield full()
+
+    schema = "shingle long, n long"
+    texts = docs.select("text")
+    first = stored(texts.mapInArrow(likely, schema).groupBy("shingle").agg(F.sum("n").alias("n")), "likely")
+    documents = first.where("shingle is null").agg(F.sum("n")).first()[0] or 0
+    # at most 4 / 3 * RARE times the shingles of an average document
+    rows = first.where(F.col("shingle").isNotNull() & (F.col("n") * 4 * RARE >= 3 * documents)).select("shingle").toArrow()
+    dropped(first)
+    some = Frequencies(rows["shingle"].to_numpy().view(np.uint64), np.ones(rows.num_rows), 1)
+
+    def exact(batches):
+        total = np.zeros(len(some.value), np.int64)
         for b in batches:
             for _, _, texts in text_blocks(b, "text", BLOCK_BYTES):
                 owner, value = shingle_hashes(texts)
-                pairs = np.sort(owner.astype(np.uint64) << np.uint64(16) | (value & np.uint64(IDF_BUCKETS - 1)))
-                pairs = pairs[np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1]))] if len(pairs) else pairs
-                total += np.bincount((pairs & np.uint64(IDF_BUCKETS - 1)).astype(np.int64), minlength=IDF_BUCKETS)
-                n += len(texts)
+                at, i = some.found(value)
+                pairs = np.unique(i * len(texts) + owner[at])
+                total += np.bincount(pairs // len(texts), minlength=len(total))
         used = np.flatnonzero(total)
-        bucket = np.append(used, -1)  # bucket -1: the number of documents
-        yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(np.append(total[used], n), pa.int64())], ["bucket", "n"])
+        yield _counts(some.value[used], total[used], 0)
 
-    rows = docs.select("text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    frequency, documents = np.zeros(IDF_BUCKETS), 0
-    for r in rows.collect():  # at most IDF_BUCKETS + 1 rows
-        if r["bucket"] < 0:
-            documents = r["n"]
-        else:
-            frequency[r["bucket"]] = r["n"]
-    # smoothed to between 1 and 2: a rare shingle weighs at most twice what the commonest does
-    return 1 + np.log((documents + 1) / (frequency + 1)) / np.log(documents + 2)
+    counted = texts.mapInArrow(exact, schema).where("shingle is not null").groupBy("shingle").agg(F.sum("n").alias("n"))
+    counted = counted.where(F.col("n") * RARE > documents).toArrow()
+    return Frequencies(counted["shingle"].to_numpy().view(np.uint64), counted["n"].to_numpy().astype(float), documents)
 
 
-def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
+def signatures(docs: DataFrame, idf: Frequencies) -> DataFrame:
     """doc_id, h (a digest of the text), the band keys and the total weight."""
 
     def run(batches):
@@ -210,7 +288,7 @@ def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
     return docs.select("doc_id", "h", "text").mapInArrow(run, "doc_id long, h binary, bands array<long>, weight double")
 
 
-def _grouped(batches, idf: np.ndarray, *names: str):
+def _grouped(batches, idf: Frequencies, *names: str):
     """(group, rows) of sorted rows; a row is its columns ``names`` and the text's shingles and weights."""
     group, rows = None, []
     for b in batches:
@@ -231,7 +309,7 @@ def _links(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([min(x) for x in found], pa.int64()), pa.array([max(x) for x in found], pa.int64())], ["a", "b"])
 
 
-def star_links(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
+def star_links(pairs: DataFrame, texts: DataFrame, idf: Frequencies, threshold: float) -> DataFrame:
     """(a, b) of the pairs (leader, member, n) that are alike; ``n`` members split over tasks."""
     part = F.pmod(F.xxhash64("member"), F.ceil(F.col("n") / STAR_PART).cast("int"))
     edges = pairs.select("leader", "member", F.concat_ws(":", "leader.rep", F.hex("leader.h"), part).alias("group"))
@@ -327,7 +405,7 @@ def block_links(rows: list[tuple], key: int, threshold: float) -> list[tuple[int
     return out
 
 
-def class_links(open_: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
+def class_links(open_: DataFrame, texts: DataFrame, idf: Frequencies, threshold: float) -> DataFrame:
     """(a, b) of classes that members of unresolved buckets (key, rep, h, class, weight) join."""
     units = 1 + F.col("weight") / UNIT_WEIGHT
     per_class = open_.groupBy("key", "class").agg(F.sum(units).alias("units"), F.count("*").alias("n"))

@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import math
 import zlib
 
 import numpy as np
@@ -577,6 +578,36 @@ def test_bpe(spark, odd, texts):
 # -- op10 ----------------------------------------------------------------------------------
 
 
+def test_frequencies_are_exact(spark, monkeypatch):
+    """Counted frequencies equal those by sets, over any tasks, where every small hash bucket is full."""
+    rng = np.random.default_rng(5)
+    often = [f"this passage number {k} stands in many of all these documents here" for k in range(4)]
+    rows = []
+    for i in range(1500):
+        t = " ".join(f"w{x}" for x in rng.integers(0, 5000, 120))
+        t += "".join(" " + often[k] for k in range(4) if i % (2, 7, 60, 400)[k] == 0)
+        rows.append((i, t))
+    rows += [(2000, None), (2001, ""), (2002, "short")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    want = collections.Counter()
+    for _, t in rows:
+        want.update(set(minhash.shingle_hashes([t or ""])[1].tolist()))
+    assert len({v & 0xFFFF for v in want}) > 0.85 * 65536  # a table of so many buckets would be level
+    frequent = {v: n for v, n in want.items() if n * minhash.RARE > len(rows)}
+    made = []
+    for parts, counted in ((1, 2_000_000), (7, 5_000), (60, 2_000_000)):
+        monkeypatch.setattr(minhash, "COUNTED", counted)
+        idf = minhash.idf_table(df.repartition(parts))
+        assert set(idf.value.tolist()) == set(frequent)
+        made.append(dict(zip(idf.value.tolist(), idf.weight.tolist())))
+        rare = np.array([v for v, n in want.items() if v not in frequent], np.uint64)
+        assert (idf.of(rare) == 2).all()
+    assert made[0] == made[1] == made[2]
+    for v, n in frequent.items():
+        assert abs(made[0][v] - 1 - math.log(len(rows) / n) / math.log(minhash.RARE)) < 1e-9
+    assert len({round(w, 2) for w in made[0].values()}) >= 3
+
+
 def brute_classes(rows, idf):
     vectors = {i: [a[0:] for a in minhash.shingles([t or ""], idf)[1:]] for i, t in rows}
     parent = {i: i for i in vectors}
