@@ -9,7 +9,8 @@ candidate rules, and only the candidates' regular expressions run.
 Edge cases: a null URL, or one without ``://``, has an empty host and path and
 matches no host rule; pattern rules see the empty string and match nothing, so
 its verdict is ``allow``.  Rules without a usable token are kept under the
-empty token and always run.  Repeated rows give repeated results.  Equal-length
+empty token and always run.  Of pattern rules that fit, an exception goes before a block,
+and host rules go before both.  An empty table gives no rows.  Repeated rows give repeated results.  Equal-length
 rules that both fit: the smaller rule string wins.  Extra columns are ignored.
 """
 
@@ -20,7 +21,7 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TOKEN = re.compile(r"[A-Za-z0-9]+")
@@ -52,6 +53,10 @@ PATTERNS = (
 )
 
 
+#: What ``^`` is in public lists, where host names go on after a dot.
+LIST_SEPARATOR = "[^a-z0-9_.%-]"
+
+
 @dataclass(frozen=True)
 class Rule:
     """One rule: what it is called, says and matches, and its literal tokens."""
@@ -72,11 +77,18 @@ def host_rule(host: str, path: str, verdict: str) -> Rule:
     return Rule(host + path, verdict, regex, tuple(inner), True)
 
 
-def pattern_rule(pattern: str, verdict: str = "block") -> Rule:
-    """A pattern over the lower-cased URL, without query-order tricks."""
-    out, tokens = [], []
-    for part in re.split(r"([*^])", pattern):
-        out.append({"*": ".*", "^": r"(?:[^a-z0-9]|$)"}.get(part, re.escape(part)))
+def pattern_rule(pattern: str, verdict: str = "block", separator: str = "[^a-z0-9]") -> Rule:
+    """A pattern over the lower-cased URL, without query-order tricks; no letter or digit may be a ``separator``."""
+    out, tokens, inner, end = [], [], pattern, ""
+    if inner.startswith("||"):  # a host or one of its subdomains
+        out, inner = [r"^[a-z][a-z0-9+.-]*://(?:[^/?#]*\.)?"], inner[2:]
+    elif inner.startswith("|"):
+        out, inner = ["^"], inner[1:]
+    if inner.endswith("|"):
+        inner, end = inner[:-1], r"\Z"
+    for part in re.split(r"([*^])", inner):
+        out.append({"*": ".*", "^": rf"(?:{separator}|\Z)"}.get(part, re.escape(part)))
+    out.append(end)
     for m in TOKEN.finditer(pattern):
         left = pattern[m.start() - 1] if m.start() else "*"
         right = pattern[m.end()] if m.end() < len(pattern) else "*"
@@ -85,6 +97,39 @@ def pattern_rule(pattern: str, verdict: str = "block") -> Rule:
     return Rule(pattern, verdict, "(?s)" + "".join(out), tuple(tokens), False)
 
 
+def listed_rules(lines: Iterable[str]) -> tuple[list[Rule], list[str]]:
+    """Rules of a filter list in the common public format, and the lines that a url alone cannot decide.
+
+    ``||host^`` anchors a host, ``|`` an end of the url, ``*`` is any run, ``^`` a separator
+    or the end, ``@@`` an exception, ``!`` a comment.  Lines with options after ``$`` (they ask
+    for the page or the kind of request), rules for elements of pages and whole regular
+    expressions are given back, not applied.  Letters match in either case.
+    """
+    rules, left = {}, []
+    for line in lines:
+        line = (line or "").strip()
+        if not line or line.startswith(("!", "[")):
+            continue
+        pattern = line.removeprefix("@@").lower()
+        if "$" in pattern or re.search(r"#[@?$]*#", pattern) or (len(pattern) > 1 and pattern[0] == pattern[-1] == "/") or not pattern.strip("*|^"):
+            left.append(line)
+            continue
+        verdict = "allow" if line.startswith("@@") else "block"
+        rules[pattern, verdict] = pattern_rule(pattern, verdict, LIST_SEPARATOR)
+    return list(rules.values()), left
+
+
+def load_rules(spark: SparkSession, path: str, most: int = 1_000_000) -> tuple[list[Rule], list[str]]:
+    """``listed_rules`` of the text files at ``path``; a list of over ``most`` lines is an error.
+
+    The rule set is held by the driver and sent to every executor, hence the bound.
+    """
+    lines = [r["value"] for r in spark.read.text(path).limit(most + 1).collect()]
+    if len(lines) > most:
+        raise ValueError(f"the rule list has more than {most} lines")
+    return listed_rules(sorted(lines))
+
+
 def default_rules() -> list[Rule]:
     """The contract's host rules and the built-in pattern list."""
     return [host_rule(*r) for r in HOST_RULES] + [pattern_rule(p) for p in PATTERNS]
@@ -105,7 +150,7 @@ class RuleIndex:
         lower = url.lower()
         tokens = set(TOKEN.findall(lower)) | set(TOKEN.findall(path)) | {""}
         best: tuple[int, str, str] | None = None
-        pattern, ran = None, 0
+        blocked, excepted, ran = False, False, 0
         for token in tokens:
             for rule, regex in self.by_token.get(token, ()):
                 ran += 1
@@ -114,10 +159,10 @@ class RuleIndex:
                         found = (-len(rule.name), rule.name, rule.verdict)
                         best = min(best, found) if best else found
                 elif url and regex.search(lower):
-                    pattern = min(pattern, rule.name) if pattern else rule.name
+                    blocked, excepted = blocked or rule.verdict == "block", excepted or rule.verdict == "allow"
         if best:
             return best[1], best[2], ran
-        return None, "block" if pattern else None, ran
+        return None, "allow" if excepted else "block" if blocked else None, ran
 
 
 def url_host(url: Column) -> Column:

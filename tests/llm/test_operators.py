@@ -4,6 +4,7 @@ import base64
 import collections
 import hashlib
 import math
+import re
 import zlib
 
 import numpy as np
@@ -578,6 +579,41 @@ def test_bpe(spark, odd, texts):
 # -- op10 ----------------------------------------------------------------------------------
 
 
+def test_rule_lists(spark, tmp_path):
+    lines = ["! comment", "[List 1.0]", "", "||ads.example^", "@@||ads.example/good/", "|https://start.", "/end.gif|", "a*b^c", "site##.box", "/x[0-9]/", "||t.example^$third-party", "*", "||Big.Example^"]
+    (tmp_path / "list.txt").write_text("\n".join(lines))
+    rules, left = url_rules.load_rules(spark, str(tmp_path / "list.txt"))
+    assert len(rules) == 6 and sorted(left) == sorted(["site##.box", "/x[0-9]/", "||t.example^$third-party", "*"])
+    with pytest.raises(ValueError):
+        url_rules.load_rules(spark, str(tmp_path / "list.txt"), 3)
+    want = {
+        "http://ads.example/": "block", "http://x.ads.example": "block", "http://notads.example/": "allow", "http://ads.example.org/": "allow", "http://o.org/?ads.example/": "allow",
+        "http://ads.example/good/1": "allow", "https://start.org/": "block", "http://o.org/https://start.": "allow", "http://o.org/end.gif": "block", "http://o.org/end.gif?1": "allow",
+        "http://o.org/a-b/c": "block", "http://o.org/a-bc": "allow", "HTTP://BIG.EXAMPLE/": "block", "": "allow",
+    }
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(want)], "page_id long, url string")
+    got = url_rules.filter_urls(df, rules=rules).collect()
+    assert {u: next(r["verdict"] for r in got if r["page_id"] == i) for i, u in enumerate(want)} == want
+    assert url_rules.filter_urls(df.limit(0), rules=rules).count() == 0
+
+
+def test_rule_index_equals_every_rule():
+    rng = np.random.default_rng(8)
+    word = lambda: f"k{rng.integers(0, 400)}"
+    forms = ("||{}.{}^", "@@||{}.{}^", "/{}/*/{}.", "{}-{}^", "|http://{}.{}", "/{}_{}|", "^{}={}^", "{}{}")
+    rules, left = url_rules.listed_rules(forms[i % len(forms)].format(word(), word()) for i in range(5000))
+    assert not left and len(rules) > 4500
+    urls = [f"http://{word()}.{word()}.{word()}/{word()}/{word()}-{word()}/{word()}_{word()}" + (f"?{word()}={word()}" if i % 2 else "") for i in range(150)]
+    index, ran, seen = url_rules.RuleIndex(rules), 0, set()
+    for url in urls:
+        fits = {r.verdict for r in rules if re.search(r.regex, url)}
+        _, got, n = index.match(url, "", "")
+        assert got == ("allow" if "allow" in fits else "block" if fits else None)
+        seen.add(got)
+        ran += n
+    assert len(seen) > 1 and ran < 0.5 * len(urls) * len(rules)
+
+
 def test_frequencies_are_exact(spark, monkeypatch):
     """Counted frequencies equal those by sets, over any tasks, where every small hash bucket is full."""
     rng = np.random.default_rng(5)
