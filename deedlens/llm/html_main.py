@@ -8,14 +8,19 @@ to the text elements next to it).  What stands in the region but belongs to an
 element that is never content (navigation, notices, adverts, forms, reader
 comments, ...) costs the scan nothing and is left out; the rest is returned as blocks.
 
-What is never content follows from tags and from words in class names.  Such names
-only count beside other text: where they would leave only headings and links of a page, the scan takes the named element with the largest sum for content
+What is never content follows from tags and from class names.  The words of a name
+add their weights: fixed words of menus, notices, comments and the like are negative, words
+of layout weigh nothing, other words speak for content (``related`` and ``related-posts``
+are left out, ``related-work`` and ``copyright-law`` are not) until labelled pages show them
+outside the content only.  Such names only count beside other text: where they would leave only headings and links of a page, the scan takes the named element with the largest sum for content
 (``class="post comment-enabled"`` around the article), and decides again.
 
 Labels: pages whose markup names the article (``article``, ``main`` or
 ``itemprop=articleBody``).  Those names are the label and never a feature, so the
-weights carry over to pages without them.  The model is fitted on at most
-``FIT_PAGES`` pages (those of the smallest hash of their id).
+weights carry over to pages without them.  A label names the whole article with the adverts
+in it, so it teaches which names stand outside, never that a fixed word is content.  The
+model is fitted on at most ``FIT_PAGES`` page ids (those of the smallest hash); rows of a
+repeated id are all counted.
 
 Edge cases: null or empty html gives an empty text; a page whose best sum is
 not positive has no main text; markup that is cut off or badly nested is read as
@@ -57,13 +62,23 @@ BLOCKS = frozenset(
 CLOSES_P = BLOCKS - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot"}
 #: Elements that are never content.
 NEVER = frozenset("nav header footer aside form button menu dialog label".split())
-#: Words in class, id, role or aria-label of elements that are never content.
+#: Words in class, id, role or aria-label that speak against content.
 NEVER_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu "
     "breadcrumb breadcrumbs sidebar aside footer masthead header topbar cookie cookies consent gdpr notice notices alert popup modal "
     "newsletter subscribe subscription signup login share sharing social comment comments reply replies respond disqus discussion "
     "related recommended pagination pager widget toolbar skip search contentinfo complementary disclaimer copyright paywall".split()
 )
+#: Words of layout in such names: they say nothing about content.
+LAYOUT_NAMES = frozenset(
+    "area article articles bar block bottom box btn button buttons center col column container content count entry form global grid group "
+    "inner item items js layout left link links list main news outer page pages panel part post posts primary reader right row secondary "
+    "section site slot small stories story text thread title tools top unit user users view wrap wrapper".split()
+)
+#: A name below this weight marks what is never content.
+NEVER_WEIGHT = -2.0
+#: Pages that a name's prior counts as.
+PRIOR_PAGES = 4.0
 LABELS = frozenset(("article", "main"))
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Tags that running text is made with.
@@ -72,18 +87,21 @@ TEXT_TAGS = frozenset("p br b i u em strong span sup sub code pre q cite blockqu
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?>(?:[^>\"']+|\"[^\"]*\"|'[^']*')*)(?=>|$)|[^>]*)(?:>|$)|[^<]+|<", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 NAME_WORD = re.compile(r"[a-z]+")
+CAPITAL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 SPACE = re.compile(r"\s+")
 
 
 class Element:
     """An element and what it stands in."""
 
-    __slots__ = ("name", "parent", "depth", "named")
+    __slots__ = ("name", "parent", "depth", "named", "words")
 
-    def __init__(self, name, parent, named=False):
+    def __init__(self, name, parent, named=False, words=()):
         if parent and parent.depth >= MOST_DEPTH:
             parent = parent.parent
         self.name, self.parent, self.depth = name, parent, parent.depth + 1 if parent else 0
+        #: The words of its class names.
+        self.words = words
         #: The innermost element, from this one outwards, whose class names say it is never content.
         self.named = self if named else parent.named if parent else None
 
@@ -105,31 +123,38 @@ class Segment:
         self.block, self.inside, self.never, self.linked, self.element = block, inside, never, linked, element
 
 
-def _never(name: str, attributes: str) -> tuple[bool, bool]:
-    """Whether an element is never content by its tag or because it is hidden, and by its class names."""
+def _never(name: str, attributes: str, weights: dict[str, float]) -> tuple[bool, bool, list[str]]:
+    """Whether an element is never content by its tag or because it is hidden, and by its class names; their words."""
     if name in NEVER or name == "head":
-        return True, False
-    hidden = named = False
+        return True, False, []
+    hidden, named, words = False, False, []
     if name not in ("body", "html", "article", "main") and attributes:
         for key, value in ATTRIBUTE.findall(attributes):
             key = key.lower()
             if key in ("class", "id", "role", "aria-label"):
-                named = named or not NEVER_NAMES.isdisjoint(NAME_WORD.findall(_split_case(value)))
+                for token in value.strip("\"'").split():
+                    found = NAME_WORD.findall(CAPITAL.sub(" ", token).lower())
+                    words += found
+                    named = named or sum(name_weight(w, weights) for w in found) < NEVER_WEIGHT
             elif key == "hidden" or (key == "aria-hidden" and "true" in value.lower()) or (key == "style" and re.search(r"display\s*:\s*none", value, re.I)):
                 hidden = True
-    return hidden, named
+    return hidden, named, words
 
 
-def _split_case(value: str) -> str:
-    return re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value).lower()
+def name_weight(word: str, weights: dict[str, float]) -> float:
+    """The weight of a word of a class name: negative speaks against content."""
+    if word in LAYOUT_NAMES or len(word) < 2:
+        return 0.0
+    prior = math.log((PRIOR_PAGES + 0.5) / 0.5)
+    return -prior if word in NEVER_NAMES else weights.get("n:" + word, prior)
 
 
 def _is_label(name: str, attributes: str) -> bool:
     return name in LABELS or "articlebody" in attributes.lower()
 
 
-def segments(page: str) -> list[Segment]:
-    """The page's text runs and tags, in order."""
+def segments(page: str, weights: dict[str, float]) -> list[Segment]:
+    """The page's text runs and tags, in order; ``weights`` are those of class names."""
     out: list[Segment] = []
     # open elements: name, never-content, labelled, linked, text kind, element
     stack: list[tuple[str, bool, bool, bool, str, Element]] = [("", False, False, False, "none", Element("", None))]
@@ -185,9 +210,9 @@ def segments(page: str) -> list[Segment]:
             if stack[-1][0] == name or (name in ("dt", "dd") and stack[-1][0] in ("dt", "dd")):
                 close(len(stack) - 1)
         _, never, inside, linked, kind, parent = stack[-1]
-        hidden, named = _never(name, attributes)
+        hidden, named, words = _never(name, attributes, weights)
         never = never or hidden
-        element = Element(name, parent, named)
+        element = Element(name, parent, named, words)
         if name in RAW and not attributes.rstrip().endswith("/"):
             raw_until = name
             out.append(Segment("", 0, name, "", block, inside, True, linked, element))
@@ -230,10 +255,17 @@ def tag_key(s: Segment) -> str:
 
 
 def count_page(page: str) -> Counter | None:
-    """Tokens inside (``1``) and outside (``0``) of the labelled content; None: no label."""
-    found = segments(page)
+    """Tokens inside (``1``) and outside (``0``) of the labelled content, and pages that have most of a name's text there; None: no label."""
+    found = segments(page, {})
     if not any(s.inside for s in found):
         return None
+    beneath: Counter = Counter()  # words of text in elements with a name, inside less outside
+    for s in found:
+        element = s.element if s.words else None
+        while element is not None:
+            for w in element.words:
+                beneath[w] += s.words if s.inside else -s.words
+            element = element.parent
     mark_named(found, set())
     counts: Counter = Counter()
     for s in found:
@@ -242,6 +274,9 @@ def count_page(page: str) -> Counter | None:
             counts[tag_key(s), positive] += 1
         elif s.words:
             counts[word_key(s), positive] += s.words
+    for w, more in beneath.items():
+        if w not in NEVER_NAMES and w not in LAYOUT_NAMES and len(w) > 1:
+            counts["n:" + w, int(more >= 0)] += 1
     return counts
 
 
@@ -250,10 +285,13 @@ PRIOR_WORDS = 4.0
 
 
 def weights_from(counts: dict[tuple[str, int], float]) -> dict[str, float]:
-    """Weights in [-3, 1]: words tend to be positive, tags negative."""
+    """Weights in [-3, 1], of names in [-3, 3]: words tend to be positive, tags negative."""
     out = {}
     for key in {k for k, _ in counts}:
         inside, outside = counts.get((key, 1), 0), counts.get((key, 0), 0)
+        if key.startswith("n:"):  # a name speaks for content until pages show otherwise
+            out[key] = min(3.0, max(-3.0, math.log((inside + PRIOR_PAGES + 0.5) / (outside + 0.5))))
+            continue
         prior = default_weight(key)
         p = (inside + PRIOR_WORDS * (prior > 0) + 0.5) / (inside + outside + PRIOR_WORDS + 1)
         score = math.log(p / (1 - p))
@@ -354,7 +392,7 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
     """The main text of a page: its blocks joined by an empty line."""
     if not page:
         return ""
-    found, lifted = segments(page), set()
+    found, lifted = segments(page, weights), set()
     while True:
         hard = mark_named(found, lifted)
         text, running = region_text(found, weights)

@@ -102,6 +102,62 @@ def test_html_names_around_the_article():
     assert html_main.main_text(f'<body>{nav}<div><p>{TOLD[0]}</p></div><div class="promo">{STORY}</div></body>', {}) == TOLD[0]
 
 
+def test_html_names_of_sections():
+    """Names of an article's own sections keep their text, names of what is beside it do not, fixed words or learned ones."""
+    def page(name, box="div"):
+        return f'<body><div class="menu"><a href=/>Home</a></div><{box}><h1>Title</h1>{STORY}<div class="{name}"><p>More words of a section that has a name.</p></div></{box}><div>Other</div></body>'
+
+    def kept(name, weights):
+        got = html_main.main_text(page(name), weights).split("\n\n")
+        assert got[:5] == ["Title", *TOLD]
+        assert got[5:] in ([], ["More words of a section that has a name."]), name
+        return len(got) > 5
+
+    for name in ("related-work", "relatedWork", "copyright-law", "ad-hoc", "social-history", "header-compression", "teaser"):
+        assert kept(name, {}), name
+    for name in ("related", "relatedPosts", "related-posts", "x ad", "ad-slot-3", "comments-list", "cookie-banner", "post-share-buttons"):
+        assert not kept(name, {}), name
+
+    def counted(n, make):
+        total = collections.Counter()
+        for _ in range(n):
+            total.update(html_main.count_page(make()))
+        return html_main.weights_from(total)
+
+    beside = f'<body><div class="teaser"><p>{TOLD[0]}</p></div><div class="wrapping"><article class="told">{STORY}</article></div></body>'
+    assert kept("teaser", counted(5, lambda: beside))  # little is known yet
+    learned = counted(100, lambda: beside)
+    assert not kept("teaser", learned) and kept("wrapping", learned) and kept("teaser-trailer", learned)
+    # a label holds the adverts of its article: it does not make fixed words content
+    within = counted(100, lambda: f'<body><article>{STORY}<div class="promo">{STORY}</div></article></body>')
+    assert not kept("promo", within)
+    # on a page of nothing else a learned name is content
+    assert html_main.main_text(f'<body><div class="teaser">{STORY}</div></body>', learned).split("\n\n") == TOLD
+
+
+def test_html_pages_without_labels(spark):
+    """Pages made of bare ``div`` elements, from the given ones: the truth is their article, and the scan is needed for it."""
+    import html
+    import re
+
+    pages = spark.read.parquet(f"{SF}/pages.parquet").where("html is not null")
+    weights = html_main.fit(pages)
+    links = "".join(f"<div><a href=/{i}>Part {i}</a></div>" for i in range(30))
+    right = whole = n = 0
+    for p in pages.limit(100).collect():
+        inner = re.search(r"<article>(.*?)(</article>|$)", p["html"], re.S)[1]
+        blocks = [" ".join(html.unescape(re.sub("<[^>]*>", "", b)).split()) for b in re.split("</?(?:p|h1)>", inner.replace("<br>", " "))]
+        truth = "\n\n".join(b for b in blocks if b)
+        if len(truth.split()) < 60:
+            continue
+        bare = re.sub(r"<(/?)(?:nav|article|footer|ul|li)\b", r"<\1div", p["html"].replace('class="ad"', 'class="xq"'))
+        bare = bare.replace("<body>", f"<body><div>{links}</div>").replace("</body>", f"<div>{links}</div></body>")
+        n += 1
+        right += truth in html_main.main_text(bare, weights) and "Part 7" not in html_main.main_text(bare, weights)
+        whole += "Part 7" not in html_main.main_text(bare, {k: 1.0 if k[0] == "w" else 0.0 for k in weights} | {"w:div:a:short": 1.0})
+    assert n > 10 and right >= 0.95 * n and whole < 0.05 * n, (n, right, whole)
+
+
 def test_html_time_is_linear():
     import time
 
