@@ -21,6 +21,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import full_text, table, text_blocks
 
@@ -251,7 +252,8 @@ def media_column(df: DataFrame, text_col: str = "text", media_col: str = "media"
     """``df`` with its text stored as an Ogg binary column."""
     fields = [f for f in df.schema.fields if f.name != media_col]
     names = [f.name for f in fields]
-    out = df.select(*names, full_text(text_col).cast("binary").alias("__payload"))
+    quoted = [F.col("`" + x.replace("`", "``") + "`") for x in names]  # a name may hold dots
+    out = df.select(*quoted, full_text(text_col).cast("binary").alias("__payload"))
 
     def store(batches):
         for b in batches:
@@ -259,7 +261,7 @@ def media_column(df: DataFrame, text_col: str = "text", media_col: str = "media"
                 media = pa.array([encode(padded(x or b"")) for x in texts], pa.binary())
                 yield pa.RecordBatch.from_arrays([*b.slice(lo, hi - lo).columns[:-1], media], [*names, media_col])
 
-    schema = df.select(*names).schema.add(media_col, "binary")
+    schema = df.select(*quoted).schema.add(media_col, "binary")
     return out.mapInArrow(store, schema)
 
 

@@ -584,7 +584,7 @@ def test_ogg_round_trip(spark, odd):
         assert len(payload) % 576 == 0 and payload.startswith(data)
         r = got[i]
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
-    media = by_id(ogg.media_column(odd))
+    media = by_id(ogg.media_column(odd.withColumnRenamed("score", "a.b `c`")))
     assert hashlib.sha256(media[5]["media"]).hexdigest() == got[5]["media_sha256"] == got[7]["media_sha256"]
     assert ogg.media_digests(odd.limit(0)).count() == 0
 
