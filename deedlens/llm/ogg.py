@@ -252,17 +252,17 @@ def media_column(df: DataFrame, text_col: str = "text", media_col: str = "media"
     """``df`` with its text stored as an Ogg binary column."""
     fields = [f for f in df.schema.fields if f.name != media_col]
     names = [f.name for f in fields]
-    quoted = [F.col("`" + x.replace("`", "``") + "`") for x in names]  # a name may hold dots
-    out = df.select(*quoted, full_text(text_col).cast("binary").alias("__payload"))
+    places = [f"c{i}" for i in range(len(names))]  # a name may hold dots, which Spark reads as a path
+    out = df.select(*(F.col("`" + x.replace("`", "``") + "`").alias(c) for x, c in zip(names, places)), full_text(text_col).cast("binary").alias("__payload"))
 
     def store(batches):
         for b in batches:
-            for lo, hi, texts in text_blocks(b, len(names), BLOCK_BYTES):
+            for lo, hi, texts in text_blocks(b, len(places), BLOCK_BYTES):
                 media = pa.array([encode(padded(x or b"")) for x in texts], pa.binary())
-                yield pa.RecordBatch.from_arrays([*b.slice(lo, hi - lo).columns[:-1], media], [*names, media_col])
+                yield pa.RecordBatch.from_arrays([*b.slice(lo, hi - lo).columns[:-1], media], [*places, "media"])
 
-    schema = df.select(*quoted).schema.add(media_col, "binary")
-    return out.mapInArrow(store, schema)
+    schema = out.select(*places).schema.add("media", "binary")
+    return out.mapInArrow(store, schema).toDF(*names, media_col)
 
 
 def media_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
