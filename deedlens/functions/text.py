@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Generator
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PAGE_BREAK = "\n\n--- PAGE BREAK ---\n\n"
@@ -36,9 +36,74 @@ def bound(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
+#: A rule in steps: it yields each value that later steps use, gets a column that holds it, and returns its result.
+Steps = Generator[Column, Column, Column]
+
+
+def in_one(steps: Steps, value: Column | None = None) -> Column:
+    """A rule's steps as one column, by lambdas; ``staged`` runs many rules over whole projections."""
+    try:
+        step = steps.send(value)
+    except StopIteration as end:
+        return end.value
+    return bound(step, lambda v: in_one(steps, v))
+
+
+def apart(value: Column, beside: Column) -> Column:
+    """``value``, in a projection that is compiled apart from its neighbours, in small methods.
+
+    A generated stage is one method, and the JVM leaves those over 8,000 bytes uncompiled, which is many
+    times slower.  A projection with a lambda stands outside of stages; this one is of a null test of ``beside``.
+    """
+    return F.when(bound(beside.isNull(), lambda null: null).isNotNull(), value)
+
+
+def with_apart(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Adds the columns in one projection that is compiled apart."""
+    first = next(iter(columns))
+    return df.withColumns(columns | {first: apart(columns[first], F.col(df.columns[0]))})
+
+
+def staged(df: DataFrame, rules: dict[str, Steps]) -> DataFrame:
+    """Adds a column for each rule, the rules' steps side by side in one projection a step.
+
+    Lambdas are interpreted row by row, projections are compiled: this is for rules that run on every record.
+    """
+    running, results, held, sent = dict(rules), {}, [], {}
+    for level in range(1_000):
+        ready = {}
+        for name, steps in list(running.items()):
+            try:
+                ready[f"_{name}_{level}"] = (name, steps.send(sent.get(name)))
+            except StopIteration as end:
+                results[name] = end.value
+                del running[name]
+        if not running:
+            break
+        df = with_apart(df, {held_as: step for held_as, (_, step) in ready.items()})
+        held += ready
+        sent = {name: F.col(held_as) for held_as, (name, _) in ready.items()}
+    return with_apart(df, results).drop(*held)
+
+
+#: What ``(?U)\s`` matches.
+WHITE = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(x: Column) -> Column:
     """Python's strip: white space of any kind on both ends."""
-    return F.regexp_replace(x, r"(?U)^\s+|\s+\z", "")
+    return F.btrim(x, F.lit(WHITE))
+
+
+def strip_held(x: Column) -> Column:
+    """``strip`` of a column that holds its value: texts between two visible ASCII characters are taken as they are."""
+    first, last = F.ascii(x), F.ascii(F.substring(x, -1, 1))
+    return F.when((first > 32) & (first < 127) & (last > 32) & (last < 127), x).otherwise(strip(x))
+
+
+def is_ascii(x: Column) -> Column:
+    """Whether every character is one byte."""
+    return F.octet_length(x) == F.char_length(x)
 
 
 def clean_text(x: Column) -> Column:
@@ -59,11 +124,17 @@ def digits_corrected(x: Column) -> Column:
     return F.translate(x, OCR_LETTERS, OCR_DIGITS)
 
 
+#: A control character; texts that hold it take the longer way.
+MARK = "\x01"
+
+
 def title_case(x: Column) -> Column:
     """A letter after any non-letter is upper case, all others lower case."""
     words = F.regexp_extract_all(x, F.lit(r"(\p{L}+|[^\p{L}]+)"), F.lit(1))
     cased = F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(w.substr(F.lit(2), F.length(w)))))
-    return F.array_join(cased, "")
+    # of ASCII texts ``initcap`` makes it, which takes words at blanks: a marked blank stands before words elsewhere
+    marked = F.initcap(F.regexp_replace(F.lower(x), "(?<=[^a-z ])(?=[a-z])", MARK + " "))
+    return F.when(is_ascii(x) & ~x.contains(MARK), F.replace(marked, F.lit(MARK + " "), F.lit(""))).otherwise(F.array_join(cased, ""))
 
 
 def squeeze(x: Column) -> Column:
@@ -71,9 +142,15 @@ def squeeze(x: Column) -> Column:
     return strip(F.regexp_replace(x, r"(?U)\s+", " "))
 
 
-def drop_parens(x: Column) -> Column:
-    """Without parenthesised parts, stripped."""
-    return strip(F.regexp_replace(x, r"\([^)]+\)", ""))
+def squeeze_held(x: Column) -> Column:
+    """``squeeze`` of a column that holds its value: only texts with other white space than single blanks are rewritten."""
+    tidy = is_ascii(x) & ~x.contains("  ") & ~x.rlike(r"[\t-\r]")
+    return F.when(tidy, strip_held(x)).otherwise(squeeze(x))
+
+
+def without_parens(x: Column) -> Column:
+    """Without parenthesised parts."""
+    return F.regexp_replace(x, r"\([^)]+\)", "")
 
 
 def parse_scalar(x: Column) -> Column:

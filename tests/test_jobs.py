@@ -66,6 +66,12 @@ def test_review_reruns_and_redoes_years(spark, tmp_path, caplog):
     assert stricter.where("year = 1995 and outcome = 'accepted'").count() == 0 < stricter.where("outcome = 'accepted'").count()
 
 
+def test_review_reads_orders_once(spark):
+    for config in (record_review.Config(), record_review.Config(years=(1995,))):
+        plan = record_review.records_of(spark, SF, config)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("o_orderdate") > 0 and plan.count("ReadSchema: struct<o_orderkey") == 1
+
+
 def test_review_outcomes(spark):
     fields = {f: None for f in record_review.FIELDS}
     good = fields | {"borrowers": "Frank Baker (married)", "loan_amount": "$475,950.00", "lender_name": "US Mortgage Corporation"}

@@ -136,6 +136,33 @@ def test_patterns_run_once(spark):
     assert text.count(v.PERSON) == 2 and text.count(v.COMPANY) == 3 and text.count(v.DIGITS) == 2
 
 
+def test_validators_are_compiled(spark):
+    """Lambdas are interpreted row by row: no pattern of a validator runs within one."""
+    import re
+
+    text = validation.validate_all(records(spark, A), 2026)._jdf.queryExecution().optimizedPlan().toString()
+    lambdas = re.findall(r"lambdafunction\((.*?), lambda ", text)
+    assert not [x for x in lambdas if "RLIKE" in x or "regexp" in x or "gettimestamp" in x]
+
+
+def test_fast_paths_equal_the_patterns(spark):
+    """White space of every kind, letters whose case leaves or enters ASCII, several runs of digits."""
+    both = lambda quick, plain, values: [r for r in column(spark, lambda x: F.struct(quick(x).alias("a"), plain(x).alias("b")), values) if r["a"] != r["b"]]
+    white = lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+\z", "")
+    ends = [f"{c}x Y{c}" for c in map(chr, range(1, 0x3100))]
+    assert both(t.strip, white, ends) == both(t.strip_held, white, ends) == []
+    assert both(t.squeeze_held, lambda x: white(F.regexp_replace(x, r"(?U)\s+", " ")), ends + [f"a{c}{d}b" for c in "\t \x85\u2003" for d in " \n"]) == []
+    spelled = lambda x: "".join(c.upper() if not x[i - 1 : i].isalpha() else c.lower() for i, c in enumerate(x))
+    names = [f"{a}{b}x{a}Y" for a in map(chr, range(1, 128)) for b in map(chr, range(1, 128))]
+    assert column(spark, t.title_case, names) == [spelled(x) for x in names]
+    assert column(spark, t.title_case, ["\u017fmith \u0131an", "9", "\u00c9LAN vital", None]) == ["Smith Ian", "9", "\u00c9lan Vital", None]
+    assert [tuple(r) for r in column(spark, v.borrowers, ["\u017fam \u0131an", "\u00e9lan vital", "Fr)nk", "Mark (x) Tanner"])] == [
+        (True, "\u017fam \u0131an", 85.0), (False, "\u00e9lan vital", 30.0), (False, "Fr)nk", 30.0), (True, "Mark (x) Tanner", 85.0)]
+    assert [r[1] for r in column(spark, v.nmls_id, ["12 3456 7890", "no", "a1234b", "12345"])] == ["3456", "no", "1234", "12345"]
+    assert [r[1:] for r in column(spark, lambda x: v.date(x, 2026), ["May 1, 2025", "MayMay 1, 2025", "2/30/2024 1 Dec 2020"])] == [
+        ("May 1, 2025", 80.0), ("MayMay 1, 2025", 15.0), ("1 Dec 2020", 75.0)]
+
+
 def test_settings_reach_the_validators(spark):
     from deedlens.config import ValidationSettings
 
